@@ -153,7 +153,7 @@ def walk(table: dict, x: np.ndarray, tree: int) -> np.ndarray:
     features, thresholds, lefts, rights = (table[k] for k in ("feature", "threshold", "left", "right"))
     n, flat = x.shape[1], x.ravel()
     at = np.full(n, table["roots"][tree], dtype=np.int64)
-    moving, slot = np.arange(n), at
+    moving, slot = np.arange(n), at.copy()
     while moving.size:
         feature = features.take(slot)
         if feature.min() < 0:

@@ -47,15 +47,16 @@ class ComponentModel:
 def fit_pca(df: DataFrame, cols: Sequence[str], keep: float = 0.95) -> ComponentModel:
     """Principal components of standardised columns: the fewest whose ratios add up to more than ``keep``.
 
-    Each component is turned so that its largest loading is positive, since the
-    sign a solver returns means nothing.
+    Each component is turned so that its largest loading is positive (the first
+    of equally large ones), since the sign a solver returns means nothing.
     """
     vectors = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(df.select(*cols)).select("_v")
     model = PCA(k=len(cols), inputCol="_v", outputCol="_p").fit(vectors)
     weights, ratios = model.pc.toArray(), model.explainedVariance.toArray()
     kept = min(int(np.searchsorted(np.cumsum(ratios), keep, side="right")) + 1, len(ratios))
     weights, ratios = weights[:, :kept], ratios[:kept]
-    largest = weights[np.abs(weights).argmax(axis=0), np.arange(kept)]
+    size = np.abs(weights)
+    largest = weights[(size >= size.max(axis=0) - 1e-9).argmax(axis=0), np.arange(kept)]
     return ComponentModel(df.sparkSession, tuple(cols), weights * np.where(largest < 0, -1.0, 1.0), ratios)
 
 

@@ -206,8 +206,7 @@ def seed_stability(
     runs = []
     for i, seed in enumerate(seeds):
         flagged = sample_flag(df.select(key, *cols), size, seed, key, n)
-        scores = IsolationForest(trees=trees, seed=seed, **forest).fit_score(flagged, cols, key, "in_sample")
-        scores = settle(sample_flag(scores, size, seed, key, n))
+        scores = settle(IsolationForest(trees=trees, seed=seed, **forest).fit_score(flagged, cols, key, "in_sample"))
         cut = quantile_values(scores.filter("in_sample"), ["decision"], contaminations)
         runs.append(
             scores.select(

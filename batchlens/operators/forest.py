@@ -59,7 +59,8 @@ class IsolationForest:
         Trees are drawn one by one, so the first 100 of 500 are a forest of 100:
         ``sizes`` asks for several forests out of one growth.  Without it the
         columns are ``score`` and ``decision``.  ``sampled`` names a boolean
-        column marking the rows trees are grown from; all rows are scored.
+        column marking the rows trees are grown from; all rows are scored, and the
+        mark comes back with them.
         """
         cols, cuts = list(cols), sorted(set(sizes)) or [self.trees]
         if cuts[-1] > self.trees:
@@ -73,11 +74,11 @@ class IsolationForest:
             rows = rows if facts.n_rows <= _FEW else settle(rows)
             paths = self._grow_all(rows.drop("key"), facts, len(cols), cuts)
             psi = facts.n_sampled
-            totals = paths.groupBy("id").agg(*_sums(cuts)).join(rows.select("id", "key"), "id")
+            totals = paths.groupBy("id").agg(*_sums(cuts)).join(rows.select("id", "key", "sampled"), "id")
         else:
             nodes, psi = self._grow_sampled(rows, facts, len(cols))
             totals = _walk_all(rows, nodes, len(cols), cuts)
-        return _scores(totals, key, cuts, psi, named=bool(sizes))
+        return _scores(totals, key, cuts, psi, bool(sizes), sampled)
 
     def fit(self, df: DataFrame, cols: Sequence[str], key: str = "row_key", sampled: str | None = None) -> DataFrame:
         """The node table (tree, node, depth, feature, threshold, n); leaves have no feature.
@@ -456,9 +457,11 @@ class _Tops:
 # -- scoring ---------------------------------------------------------------------------
 
 
-def _scores(totals: DataFrame, key: str, cuts: Sequence[int], psi: int, named: bool) -> DataFrame:
+def _scores(
+    totals: DataFrame, key: str, cuts: Sequence[int], psi: int, named: bool, sampled: str | None = None
+) -> DataFrame:
     norm = float(isolation.average_path(psi)) or 1.0
-    out = [F.col("key").alias(key)]
+    out = [F.col("key").alias(key)] + ([F.col("sampled").alias(sampled)] if sampled else [])
     for c in cuts:
         suffix = f"_{c}" if named else ""
         mean = F.col(f"path_{c}") / F.lit(float(c) * isolation.PATH_UNIT)
@@ -471,7 +474,7 @@ def score(df: DataFrame, cols: Sequence[str], nodes: DataFrame, psi: int, key: s
     """Score rows against a stored node table grown from ``psi`` rows per tree."""
     trees = nodes.agg(F.max("tree")).first()[0]
     rows = _matrix(df, list(cols), key, None)
-    return _scores(_walk_all(rows, nodes, len(cols), [trees]), key, [trees], psi, named=False)
+    return _scores(_walk_all(rows, nodes, len(cols), [trees]), key, [trees], psi, False)
 
 
 def _walk_all(rows: DataFrame, nodes: DataFrame, d: int, cuts: Sequence[int]) -> DataFrame:
@@ -490,7 +493,8 @@ def _walk_shared(rows: DataFrame, nodes: DataFrame, d: int, cuts: Sequence[int])
     def walk(batches):
         table, paths = shared.value
         for batch in batches:
-            x, total, columns = _x(batch, d), np.zeros(batch.num_rows, dtype=np.int64), {"key": batch.column("key")}
+            x, total = _x(batch, d), np.zeros(batch.num_rows, dtype=np.int64)
+            columns = {"key": batch.column("key"), "sampled": batch.column("sampled")}
             for tree in table["roots"]:
                 total = total + paths[isolation.walk(table, x, tree)]
                 if tree in cuts:
@@ -498,7 +502,7 @@ def _walk_shared(rows: DataFrame, nodes: DataFrame, d: int, cuts: Sequence[int])
             yield pa.RecordBatch.from_pydict(columns)
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.drop("sampled").mapInArrow(walk, f"key {kind}, " + ", ".join(f"path_{c} bigint" for c in cuts))
+    return rows.mapInArrow(walk, f"key {kind}, sampled boolean, " + ", ".join(f"path_{c} bigint" for c in cuts))
 
 
 def _walk_joined(rows: DataFrame, nodes: DataFrame, d: int, cuts: Sequence[int]) -> DataFrame:
@@ -515,7 +519,7 @@ def _walk_joined(rows: DataFrame, nodes: DataFrame, d: int, cuts: Sequence[int])
         .otherwise(0.0)
     )
     value = F.element_at(F.array(*[F.col(f"x{i}") for i in range(d)]), F.col("feature") + 1)
-    state = rows.drop("sampled").withColumns(
+    state = rows.withColumns(
         {"tree": F.explode(F.sequence(F.lit(1), F.lit(trees))), "node": F.lit(1).cast("bigint")}
     )
     ended = []
@@ -524,14 +528,14 @@ def _walk_joined(rows: DataFrame, nodes: DataFrame, d: int, cuts: Sequence[int])
         here = settle(here)
         ended.append(
             here.filter("feature is null").select(
-                "key", F.col("tree").alias("last_tree"), F.rint((F.col("depth") + average) * isolation.PATH_UNIT).cast("bigint").alias("path")
+                "key", "sampled", F.col("tree").alias("last_tree"), F.rint((F.col("depth") + average) * isolation.PATH_UNIT).cast("bigint").alias("path")
             )
         )
         state = here.filter("feature is not null").select(
-            "key", *[f"x{i}" for i in range(d)], "tree",
+            "key", "sampled", *[f"x{i}" for i in range(d)], "tree",
             (F.col("node") * 2 + (value > F.col("threshold")).cast("bigint")).alias("node"),
         )
-    return _union(ended).groupBy("key").agg(*_sums(cuts))
+    return _union(ended).groupBy("key", "sampled").agg(*_sums(cuts))
 
 
 # Closures above refer to helpers of this module; tasks get them by value.
