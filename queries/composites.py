@@ -105,7 +105,7 @@ _MODES = ", ".join(
     f"places_{c} AS MATERIALIZED (SELECT greatest(p, 1) AS p FROM (SELECT {_PLACES(c)} AS p, count(*) AS n FROM imputed GROUP BY 1) ORDER BY n DESC, places_rank LIMIT 1)".replace("places_rank", "p")
     for c in FILLED
 )
-_ROUND = lambda c: f"round(CAST(CASE (SELECT p FROM places_{c}) " + " ".join(f"WHEN {k} THEN round({c}, {k})" for k in range(1, 7)) + f" ELSE {c} END AS double), 6) AS {c}"
+_ROUND = lambda c: f"round(CAST(CASE (SELECT p FROM places_{c}) " + " ".join(f"WHEN {k} THEN CAST(round({c}, {k}) AS decimal(38,18))" for k in range(1, 7)) + f" ELSE {c} END AS double), 6) AS {c}"
 
 
 @BOOK.add("m5_normalize_precision", f"WITH {IMPUTED}, {_MODES} SELECT row_key, {', '.join(_ROUND(c) for c in FILLED)} FROM imputed")
