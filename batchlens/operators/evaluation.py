@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from batchlens.functions import finite_only
 from batchlens.operators.forest import IsolationForest
 from batchlens.operators.quantiles import quantile_values
-from batchlens.operators.ranking import sample_flag
+from batchlens.operators.ranking import sample_flags
 from batchlens.sources.shared import settle
 
 
@@ -202,31 +203,24 @@ def seed_stability(
     them.
     """
     n = df.count()
-    size = round(frac * n)
-    runs = []
-    for i, seed in enumerate(seeds):
-        flagged = sample_flag(df.select(key, *cols), size, seed, key, n)
-        scores = settle(IsolationForest(trees=trees, seed=seed, **forest).fit_score(flagged, cols, key, "in_sample"))
-        cut = quantile_values(scores.filter("in_sample"), ["decision"], contaminations)
-        runs.append(
-            scores.select(
-                key,
-                *[
-                    F.when(F.col("decision") < F.lit(cut["decision", c]), F.lit(1 << i)).otherwise(0).cast("bigint").alias(f"c{k}")
-                    for k, c in enumerate(contaminations)
-                ],
-            )
+    flags = {seed: f"in_{i}" for i, seed in enumerate(seeds)}
+    flagged = settle(sample_flags(df.select(key, *cols), round(frac * n), {f: s for s, f in flags.items()}, key, n))
+    scores = IsolationForest(trees=trees, **forest).fit_score_seeds(flagged, cols, flags, key)
+    both = settle(scores.join(flagged.select(key, *flags.values()), key))
+    # Cutoffs come from the rows a seed was grown on, labels go to all rows.
+    known = both.select(*[F.when(F.col(f), F.col(f"decision_{s}")).alias(f"d{s}") for s, f in flags.items()])
+    cut = quantile_values(known, [f"d{s}" for s in seeds], contaminations)
+    patterns = [
+        F.struct(
+            F.lit(c).alias("contamination"),
+            reduce(
+                lambda a, b: a + b,
+                [F.when(F.col(f"decision_{s}") < F.lit(cut[f"d{s}", c]), F.lit(1 << i)).otherwise(0).cast("bigint") for i, s in enumerate(seeds)],
+            ).alias("pattern"),
         )
-    labels = runs[0]
-    for more in runs[1:]:
-        labels = labels.unionByName(more)
-    packed = labels.groupBy(key).agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(contaminations))])
-    long = packed.select(
-        F.inline(
-            F.array(*[F.struct(F.lit(c).alias("contamination"), F.col(f"c{k}").alias("pattern")) for k, c in enumerate(contaminations)])
-        )
-    )
-    return pattern_pairs(long, seeds)
+        for c in contaminations
+    ]
+    return pattern_pairs(both.select(F.inline(F.array(*patterns))), seeds)
 
 
 def stability_summary(pairs: DataFrame) -> DataFrame:

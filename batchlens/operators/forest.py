@@ -15,7 +15,7 @@ many trees a task grows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from itertools import pairwise
 from math import ceil, log2
@@ -33,6 +33,8 @@ from batchlens.sources.shared import settle
 # Nodes of a tree table that may be sent to every task (about 50 bytes each).
 TABLE_NODES = 2_000_000
 _FEW = 1 << 20  # rows of a table that is written out and spread before it is worked on
+_GROUP = ("seed", "first_tree", "last_tree", "bin")  # rows that one task works on together
+_PATH_FIELDS = "id bigint, seed bigint, last_tree int, path bigint"
 _NODE_FIELDS = "tree int, node bigint, depth int, feature int, threshold double, n bigint"
 
 
@@ -44,7 +46,7 @@ class IsolationForest:
     max_samples: int | str = "all"
     seed: int = 42
     max_depth: int | None = None
-    group_rows: int = 1 << 18
+    group_rows: int = 1 << 20
 
     def fit_score(
         self,
@@ -59,26 +61,46 @@ class IsolationForest:
         Trees are drawn one by one, so the first 100 of 500 are a forest of 100:
         ``sizes`` asks for several forests out of one growth.  Without it the
         columns are ``score`` and ``decision``.  ``sampled`` names a boolean
-        column marking the rows trees are grown from; all rows are scored, and the
-        mark comes back with them.
+        column marking the rows trees are grown from; all rows are scored.
         """
-        cols, cuts = list(cols), sorted(set(sizes)) or [self.trees]
+        cuts = sorted(set(sizes)) or [self.trees]
         if cuts[-1] > self.trees:
             raise ValueError("a size exceeds the number of trees")
+        totals, psi = self._totals(df, list(cols), key, {self.seed: sampled}, cuts)
+        names = {(self.seed, c): f"_{c}" if sizes else "" for c in cuts}
+        return _scores(totals, key, names, psi)
+
+    def fit_score_seeds(
+        self, df: DataFrame, cols: Sequence[str], sampled: Mapping[int, str | None], key: str = "row_key"
+    ) -> DataFrame:
+        """One forest per seed, grown together: ``key``, ``score_<seed>``, ``decision_<seed>``.
+
+        ``sampled`` maps each seed to the boolean column marking its rows.
+        """
+        totals, psi = self._totals(df, list(cols), key, sampled, [self.trees])
+        return _scores(totals, key, {(seed, self.trees): f"_{seed}" for seed in sampled}, psi)
+
+    def _totals(self, df, cols, key, sampled: Mapping[int, str | None], cuts) -> tuple[DataFrame, dict[int, int]]:
+        """Path totals per row, seed and cut; and the rows each seed's trees were grown from."""
+        d, seeds = len(cols), list(sampled)
         rows = _matrix(df, cols, key, sampled)
-        facts = _facts(rows, len(cols))
-        rows = _spread(rows, facts.n_rows)
+        facts = _facts(rows, d, seeds)
+        rows = _spread(rows, facts[seeds[0]].n_rows)
         if self.max_samples == "all":
             # Rows go through Python once per tree or block: as a number, not as their key.
             rows = rows.withColumn("id", F.monotonically_increasing_id())
-            rows = rows if facts.n_rows <= _FEW else settle(rows)
-            paths = self._grow_all(rows.drop("key"), facts, len(cols), cuts)
-            psi = facts.n_sampled
-            totals = paths.groupBy("id").agg(*_sums(cuts)).join(rows.select("id", "key", "sampled"), "id")
-        else:
-            nodes, psi = self._grow_sampled(rows, facts, len(cols))
-            totals = _walk_all(rows, nodes, len(cols), cuts)
-        return _scores(totals, key, cuts, psi, bool(sizes), sampled)
+            rows = rows if facts[seeds[0]].n_rows <= _FEW else settle(rows)
+            paths = self._grow_all(rows.drop("key"), facts, d, cuts)
+            totals = paths.groupBy("id").agg(*_sums(seeds, cuts)).join(rows.select("id", "key"), "id")
+            return totals, {s: facts[s].n_sampled for s in seeds}
+        psi, parts = {}, []
+        for seed in seeds:
+            nodes, psi[seed] = self._grow_sampled(rows, facts[seed], d, seed)
+            parts.append(_walk_all(rows, nodes, d, seed, cuts))
+        totals = parts[0]
+        for part in parts[1:]:
+            totals = totals.join(part, "key")
+        return totals, psi
 
     def fit(self, df: DataFrame, cols: Sequence[str], key: str = "row_key", sampled: str | None = None) -> DataFrame:
         """The node table (tree, node, depth, feature, threshold, n); leaves have no feature.
@@ -86,19 +108,20 @@ class IsolationForest:
         Features are numbered as in ``cols``.  Write it with ``write_table`` and
         score later rows against it with ``score``.
         """
-        rows = _matrix(df, list(cols), key, sampled)
-        facts = _facts(rows, len(cols))
-        rows = _spread(rows, facts.n_rows)
+        d = len(cols)
+        rows = _matrix(df, list(cols), key, {self.seed: sampled})
+        facts = _facts(rows, d, [self.seed])
+        rows = _spread(rows, facts[self.seed].n_rows)
         if self.max_samples != "all":
-            return self._grow_sampled(rows, facts, len(cols))[0]
+            return self._grow_sampled(rows, facts[self.seed], d, self.seed)[0]
         rows = rows.drop("key")
-        limit, seed, d = self._limit(facts.n_sampled), self.seed, len(cols)
-        if facts.n_rows <= self.group_rows:
-            return _grow_nodes(_share_out(rows, self._blocks(rows, [self.trees])), d, seed, limit)
+        limit = self._limit(facts[self.seed].n_sampled)
+        if facts[self.seed].n_rows <= self.group_rows:
+            return _grow_nodes(_share_out(rows, self._blocks(rows, [self.seed], [self.trees])), d, {self.seed: limit})
         parts = []
-        for top in self._tops(rows, facts, d, limit):
+        for top in self._tops(rows, facts[self.seed], d, self.seed):
             parts.append(top.inner_nodes(rows.sparkSession))
-            parts.append(_grow_nodes(top.rows_by_bin(rows, d), d, seed, limit))
+            parts.append(_grow_nodes(top.rows_by_bin(rows, d), d, {self.seed: limit}))
         return _union(parts)
 
     # -- every row in every tree -------------------------------------------------
@@ -106,48 +129,57 @@ class IsolationForest:
     def _limit(self, psi: int) -> int:
         return self.max_depth if self.max_depth is not None else ceil(log2(max(psi, 2)))
 
-    def _blocks(self, rows: DataFrame, cuts: Sequence[int]) -> list[tuple[int, int]]:
-        """Runs of trees that share one copy of the rows; no run crosses a cut."""
-        width = max(1, ceil(self.trees / max(16, 2 * rows.sparkSession.sparkContext.defaultParallelism)))
+    def _blocks(self, rows: DataFrame, seeds: Sequence[int], cuts: Sequence[int]) -> list[tuple[int, int, int]]:
+        """(seed, first tree, last tree): runs of trees that share one copy of the rows; none crosses a cut."""
+        copies = max(16, 2 * rows.sparkSession.sparkContext.defaultParallelism)
+        width = max(1, ceil(self.trees * len(seeds) / copies))
         edges = [0, *cuts] if cuts[-1] == self.trees else [0, *cuts, self.trees]
-        return [(lo + 1, min(lo + width, b)) for a, b in pairwise(edges) for lo in range(a, b, width)]
+        runs = [(lo + 1, min(lo + width, b)) for a, b in pairwise(edges) for lo in range(a, b, width)]
+        return [(seed, first, last) for seed in seeds for first, last in runs]
 
-    def _grow_all(self, rows: DataFrame, facts: _Facts, d: int, cuts: Sequence[int]) -> DataFrame:
-        limit = self._limit(facts.n_sampled)
-        if facts.n_rows <= self.group_rows:
-            return _grow_paths(_share_out(rows, self._blocks(rows, cuts)), d, self.seed, limit)
+    def _grow_all(self, rows: DataFrame, facts: Mapping[int, _Facts], d: int, cuts: Sequence[int]) -> DataFrame:
+        limits = {seed: self._limit(f.n_sampled) for seed, f in facts.items()}
+        if next(iter(facts.values())).n_rows <= self.group_rows:
+            return _grow_paths(_share_out(rows, self._blocks(rows, list(facts), cuts)), d, limits)
         parts = []
-        for top in self._tops(rows, facts, d, limit):
-            parts.append(_grow_paths(top.rows_by_bin(rows, d), d, self.seed, limit))
-            if top.finished:
-                parts.append(top.finished_paths(rows, d))
+        for seed in facts:
+            for top in self._tops(rows, facts[seed], d, seed):
+                parts.append(_grow_paths(top.rows_by_bin(rows, d), d, limits))
+                if top.finished:
+                    parts.append(top.finished_paths(rows, d))
         return _union(parts)
 
-    def _tops(self, rows: DataFrame, facts: _Facts, d: int, limit: int):
+    def _tops(self, rows: DataFrame, facts: _Facts, d: int, seed: int):
         # A level has at most n / group_rows nodes that large, in any tree; that
         # bounds the table of tops before anything is counted.
+        limit = self._limit(facts.n_sampled)
         group_rows = max(self.group_rows, ceil(4 * limit * facts.n_rows / TABLE_NODES))
         per_tree = 4 * limit * ceil(facts.n_rows / group_rows)
         batch = max(1, min(self.trees, TABLE_NODES // per_tree))
         for first in range(1, self.trees + 1, batch):
             trees = range(first, min(first + batch, self.trees + 1))
-            yield _Tops.build(rows, facts, d, self.seed, trees, limit, group_rows)
+            yield _Tops.build(rows, facts, d, seed, trees, limit, group_rows)
 
     # -- a fixed number of rows in each tree -------------------------------------
 
-    def _grow_sampled(self, rows: DataFrame, facts: _Facts, d: int) -> tuple[DataFrame, int]:
+    def _grow_sampled(self, rows: DataFrame, facts: _Facts, d: int, seed: int) -> tuple[DataFrame, int]:
         psi = min(int(self.max_samples), facts.n_sampled)
-        members = _deal(rows.filter("sampled"), facts.n_sampled, psi, self.trees, self.seed)
-        return settle(_grow_nodes(members, d, self.seed, self._limit(psi))), psi
+        pool = rows.filter(_flag(seed)).select("key", *[f"x{i}" for i in range(d)])
+        members = _deal(pool, facts.n_sampled, psi, self.trees, seed)
+        return settle(_grow_nodes(members, d, {seed: self._limit(psi)})), psi
 
 
 # -- preparing rows ----------------------------------------------------------------
 
 
-def _matrix(df: DataFrame, cols: list[str], key: str, sampled: str | None) -> DataFrame:
+def _flag(seed: int) -> str:
+    return f"sampled_{seed}".replace("-", "m")
+
+
+def _matrix(df: DataFrame, cols: list[str], key: str, sampled: Mapping[int, str | None]) -> DataFrame:
     return df.select(
         F.col(key).alias("key"),
-        (F.col(sampled) if sampled else F.lit(True)).alias("sampled"),
+        *[(F.col(column) if column else F.lit(True)).alias(_flag(seed)) for seed, column in sampled.items()],
         *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)],
     )
 
@@ -170,32 +202,49 @@ class _Facts:
     high: np.ndarray
 
 
-def _facts(rows: DataFrame, d: int) -> _Facts:
-    """Size and range of the table, in one pass; refuses gaps, which no split can place."""
+def _facts(rows: DataFrame, d: int, seeds: Sequence[int]) -> dict[int, _Facts]:
+    """Size and range of the table for each seed's rows, in one pass; refuses gaps, which no split can place."""
     xs = [F.col(f"x{i}") for i in range(d)]
     gap = F.greatest(*[(x.isNull() | F.isnan(x)).cast("int") for x in xs], F.lit(0))
-    seen = lambda x: F.when(F.col("sampled"), x)
+
+    def of(seed: int):
+        return F.struct(
+            F.count_if(_flag(seed)).alias("n"),
+            F.array(*[F.min(F.when(F.col(_flag(seed)), x)) for x in xs]).alias("low"),
+            F.array(*[F.max(F.when(F.col(_flag(seed)), x)) for x in xs]).alias("high"),
+        )
+
     row = rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("sampled").alias("s"),
-        F.coalesce(F.sum(gap), F.lit(0)).alias("gaps"),
-        F.array(*[F.min(seen(x)) for x in xs]).alias("low"),
-        F.array(*[F.max(seen(x)) for x in xs]).alias("high"),
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(gap), F.lit(0)).alias("gaps"), F.array(*[of(s) for s in seeds]).alias("runs")
     ).first()
     if row["gaps"]:
         raise ValueError(f"{row['gaps']} rows have missing attribute values; impute them first")
-    if not row["s"]:
+    if not all(run["n"] for run in row["runs"]):
         raise ValueError("no rows to grow trees from")
-    return _Facts(row["n"], row["s"], np.array(row["low"], float), np.array(row["high"], float))
+    return {
+        s: _Facts(row["n"], run["n"], np.array(run["low"], float), np.array(run["high"], float))
+        for s, run in zip(seeds, row["runs"])
+    }
 
 
-def _share_out(rows: DataFrame, blocks: list[tuple[int, int]]) -> DataFrame:
+def _share_out(rows: DataFrame, blocks: list[tuple[int, int, int]]) -> DataFrame:
     """One copy of the (few) rows for each block of trees, one block to a partition."""
-    lots = F.array(*[F.struct(F.lit(a).alias("first_tree"), F.lit(b).alias("last_tree")) for a, b in blocks])
+    lots = F.array(
+        *[
+            F.struct(
+                F.lit(seed).cast("bigint").alias("seed"),
+                F.lit(first).alias("first_tree"),
+                F.lit(last).alias("last_tree"),
+                F.col(_flag(seed)).alias("sampled"),
+            )
+            for seed, first, last in blocks
+        ]
+    )
+    values = [c for c in rows.columns if not c.startswith("sampled_")]
     return (
         rows.withColumn("lot", F.explode(lots))
-        .select("lot.first_tree", "lot.last_tree", F.lit(0).alias("bin"), F.lit(1).cast("bigint").alias("node"), *rows.columns)
-        .repartitionByRange(len(blocks), "first_tree", "last_tree", "bin")
+        .select("lot.*", F.lit(0).alias("bin"), F.lit(1).cast("bigint").alias("node"), *values)
+        .repartitionByRange(len(blocks), *_GROUP)
     )
 
 
@@ -216,8 +265,10 @@ def _deal(pool: DataFrame, n: int, psi: int, trees: int, seed: int) -> DataFrame
         place = F.row_number().over(Window.orderBy(hash_text(F.col("key"), shuffle), "key")) - 1
         decks.append(chosen.withColumn("first_tree", (F.lit(first + 1) + F.floor(place / psi)).cast("int")))
     return _union(decks).select(
+        F.lit(seed).cast("bigint").alias("seed"),
         "first_tree",
         F.col("first_tree").alias("last_tree"),
+        F.lit(True).alias("sampled"),
         F.lit(0).alias("bin"),
         F.lit(1).cast("bigint").alias("node"),
         *[c for c in pool.columns if c != "key"],
@@ -231,9 +282,14 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _sums(cuts: Sequence[int]) -> list:
-    """Path totals over the first trees, up to each cut."""
-    return [F.sum(F.when(F.col("last_tree") <= c, F.col("path")).otherwise(0)).alias(f"path_{c}") for c in cuts]
+def _total(seed: int, cut: int) -> str:
+    return f"path_{seed}_{cut}"
+
+
+def _sums(seeds: Sequence[int], cuts: Sequence[int]) -> list:
+    """Path totals of each seed over its first trees, up to each cut."""
+    mine = lambda seed, cut: (F.col("seed") == seed) & (F.col("last_tree") <= cut)
+    return [F.sum(F.when(mine(s, c), F.col("path")).otherwise(0)).alias(_total(s, c)) for s in seeds for c in cuts]
 
 
 # -- growing, one group of bounded size at a time ------------------------------------
@@ -249,30 +305,30 @@ def _sampled(table):
     return None if flags.all() else flags.astype(bool)
 
 
-def _grow_paths(lots: DataFrame, d: int, seed: int, limit: int) -> DataFrame:
-    """(id, last_tree, path): what a row's path adds up to over the trees of its block."""
+def _grow_paths(lots: DataFrame, d: int, limits: dict[int, int]) -> DataFrame:
+    """(id, seed, last_tree, path): what a row's path adds up to over the trees of its block."""
 
     def finish(group, table):
-        first, last = group[0].as_py(), group[1].as_py()
+        seed, first, last = (part.as_py() for part in group[:3])
         x, node, sampled = _x(table, d), table.column("node").to_numpy(), _sampled(table)
         total = np.zeros(table.num_rows, dtype=np.int64)
         for tree in range(first, last + 1):
-            total += isolation.grow(x, node, sampled, seed, tree, limit)
-        last_tree = np.full(table.num_rows, last, dtype=np.int32)
-        return pa.table({"id": table.column("id"), "last_tree": last_tree, "path": total})
+            total += isolation.grow(x, node, sampled, seed, tree, limits[seed])
+        tags = {"seed": np.full(table.num_rows, seed, dtype=np.int64), "last_tree": np.full(table.num_rows, last, dtype=np.int32)}
+        return pa.table({"id": table.column("id"), **tags, "path": total})
 
-    return lots.groupBy("first_tree", "last_tree", "bin").applyInArrow(finish, "id bigint, last_tree int, path bigint")
+    return lots.groupBy(*_GROUP).applyInArrow(finish, _PATH_FIELDS)
 
 
-def _grow_nodes(lots: DataFrame, d: int, seed: int, limit: int) -> DataFrame:
+def _grow_nodes(lots: DataFrame, d: int, limits: dict[int, int]) -> DataFrame:
     """The nodes below the starting nodes of each group."""
 
     def finish(group, table):
-        first, last = group[0].as_py(), group[1].as_py()
+        seed, first, last = (part.as_py() for part in group[:3])
         x, node, sampled = _x(table, d), table.column("node").to_numpy(), _sampled(table)
         trees, levels = [], []
         for tree in range(first, last + 1):
-            isolation.grow(x, node, sampled, seed, tree, limit, fresh := [])
+            isolation.grow(x, node, sampled, seed, tree, limits[seed], fresh := [])
             levels += fresh
             trees += [np.full(len(level[0]), tree, dtype=np.int32) for level in fresh]
         node, depth, feature, threshold, n = (np.concatenate(part) for part in zip(*levels))
@@ -288,7 +344,7 @@ def _grow_nodes(lots: DataFrame, d: int, seed: int, limit: int) -> DataFrame:
             }
         )
 
-    return lots.groupBy("first_tree", "last_tree", "bin").applyInArrow(finish, _NODE_FIELDS)
+    return lots.groupBy(*_GROUP).applyInArrow(finish, _NODE_FIELDS)
 
 
 # -- nodes too large for one task ------------------------------------------------------
@@ -298,15 +354,15 @@ def _grow_nodes(lots: DataFrame, d: int, seed: int, limit: int) -> DataFrame:
 class _Tops:
     """The upper parts of a batch of trees, split by counting passes over the table."""
 
+    seed: int
     trees: range
-    limit: int
     inner: dict  # (tree, node) -> (feature, threshold, sampled rows)
     bins: dict  # (tree, node) -> bin; the node's rows fit in one task
     finished: dict  # (tree, node) -> path; large, but cannot be split
 
     @classmethod
     def build(cls, rows, facts, d, seed, trees, limit, group_rows) -> _Tops:
-        tops = cls(trees, limit, {}, {}, {})
+        tops = cls(seed, trees, {}, {}, {})
         fits: dict = {}
         pending = {(t, 1): (facts.n_rows, facts.n_sampled, facts.low, facts.high) for t in trees}
         while pending:
@@ -361,7 +417,7 @@ class _Tops:
         table = self._table(list(known))
         asked = np.array([(int(t), int(k)) in wanted for t, k in zip(table["tree"], table["node"])])
         shared = rows.sparkSession.sparkContext.broadcast((table, asked))
-        trees = self.trees
+        trees, flag = self.trees, _flag(self.seed)
 
         def count(batches):
             table, asked = shared.value
@@ -369,7 +425,7 @@ class _Tops:
             n = np.zeros(len(asked), dtype=np.int64)
             low, high = np.full((d, len(asked)), np.inf), np.full((d, len(asked)), -np.inf)
             for batch in batches:
-                x, sampled = _x(batch, d), batch.column("sampled").to_numpy(zero_copy_only=False).astype(bool)
+                x, sampled = _x(batch, d), batch.column(flag).to_numpy(zero_copy_only=False).astype(bool)
                 for tree in trees:
                     slot = isolation.walk(table, x, tree)
                     here = np.flatnonzero(asked[slot])
@@ -409,7 +465,9 @@ class _Tops:
         table = self._table([*self.bins, *self.finished])
         bins = np.array([self.bins.get((int(t), int(k)), -1) for t, k in zip(table["tree"], table["node"])], dtype=np.int32)
         shared = rows.sparkSession.sparkContext.broadcast((table, bins))
-        trees = self.trees
+        seed, trees, flag = self.seed, self.trees, _flag(self.seed)
+        values = ["id", *[f"x{i}" for i in range(d)]] if "id" in rows.columns else [f"x{i}" for i in range(d)]
+        rows = rows.select(F.col(flag).alias("sampled"), *values)
 
         def place(batches):
             table, bins = shared.value
@@ -420,19 +478,20 @@ class _Tops:
                     here = np.flatnonzero(bins[slot] >= 0)
                     if here.size:
                         part = batch.take(pa.array(here))
-                        lead = [np.full(here.size, tree, dtype=np.int32)] * 2 + [bins[slot[here]], table["node"][slot[here]]]
-                        names = ["first_tree", "last_tree", "bin", "node", *part.schema.names]
+                        own = np.full(here.size, tree, dtype=np.int32)
+                        lead = [np.full(here.size, seed, dtype=np.int64), own, own, bins[slot[here]], table["node"][slot[here]]]
+                        names = ["seed", "first_tree", "last_tree", "bin", "node", *part.schema.names]
                         yield pa.RecordBatch.from_arrays([pa.array(a) for a in lead] + part.columns, names)
 
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-        return rows.mapInArrow(place, f"first_tree int, last_tree int, bin int, node bigint, {kinds}")
+        return rows.mapInArrow(place, f"seed bigint, first_tree int, last_tree int, bin int, node bigint, {kinds}")
 
     def finished_paths(self, rows: DataFrame, d: int) -> DataFrame:
-        """(id, last_tree, path) of rows in large nodes that cannot be split; nothing is exchanged."""
+        """(id, seed, last_tree, path) of rows in large nodes that cannot be split; nothing is exchanged."""
         table = self._table([*self.bins, *self.finished])
         paths = np.array([self.finished.get((int(t), int(k)), -1) for t, k in zip(table["tree"], table["node"])], dtype=np.int64)
         shared = rows.sparkSession.sparkContext.broadcast((table, paths))
-        trees = self.trees
+        seed, trees = self.seed, self.trees
 
         def walk(batches):
             table, paths = shared.value
@@ -442,12 +501,12 @@ class _Tops:
                     path = paths[isolation.walk(table, x, tree)]
                     here = np.flatnonzero(path >= 0)
                     if here.size:
+                        tags = [np.full(here.size, seed, dtype=np.int64), np.full(here.size, tree, dtype=np.int32), path[here]]
                         yield pa.RecordBatch.from_arrays(
-                            [batch.column("id").take(pa.array(here)), pa.array(np.full(here.size, tree, dtype=np.int32)), pa.array(path[here])],
-                            ["id", "last_tree", "path"],
+                            [batch.column("id").take(pa.array(here)), *[pa.array(t) for t in tags]], ["id", "seed", "last_tree", "path"]
                         )
 
-        return rows.mapInArrow(walk, "id bigint, last_tree int, path bigint")
+        return rows.mapInArrow(walk, _PATH_FIELDS)
 
     def inner_nodes(self, spark) -> DataFrame:
         whole = [(t, k, k.bit_length() - 1, f, v, n) for (t, k), (f, v, n) in self.inner.items()]
@@ -457,14 +516,12 @@ class _Tops:
 # -- scoring ---------------------------------------------------------------------------
 
 
-def _scores(
-    totals: DataFrame, key: str, cuts: Sequence[int], psi: int, named: bool, sampled: str | None = None
-) -> DataFrame:
-    norm = float(isolation.average_path(psi)) or 1.0
-    out = [F.col("key").alias(key)] + ([F.col("sampled").alias(sampled)] if sampled else [])
-    for c in cuts:
-        suffix = f"_{c}" if named else ""
-        mean = F.col(f"path_{c}") / F.lit(float(c) * isolation.PATH_UNIT)
+def _scores(totals: DataFrame, key: str, names: Mapping[tuple[int, int], str], psi: Mapping[int, int]) -> DataFrame:
+    """Score and decision columns; ``names`` gives the suffix of each (seed, size)."""
+    out = [F.col("key").alias(key)]
+    for (seed, size), suffix in names.items():
+        norm = float(isolation.average_path(psi[seed])) or 1.0
+        mean = F.col(_total(seed, size)) / F.lit(float(size) * isolation.PATH_UNIT)
         score = F.pow(F.lit(2.0), -mean / F.lit(norm))
         out += [score.alias(f"score{suffix}"), (F.lit(0.5) - score).alias(f"decision{suffix}")]
     return totals.select(*out)
@@ -473,39 +530,40 @@ def _scores(
 def score(df: DataFrame, cols: Sequence[str], nodes: DataFrame, psi: int, key: str = "row_key") -> DataFrame:
     """Score rows against a stored node table grown from ``psi`` rows per tree."""
     trees = nodes.agg(F.max("tree")).first()[0]
-    rows = _matrix(df, list(cols), key, None)
-    return _scores(_walk_all(rows, nodes, len(cols), [trees]), key, [trees], psi, False)
+    rows = _matrix(df, list(cols), key, {})
+    return _scores(_walk_all(rows, nodes, len(cols), 0, [trees]), key, {(0, trees): ""}, {0: psi})
 
 
-def _walk_all(rows: DataFrame, nodes: DataFrame, d: int, cuts: Sequence[int]) -> DataFrame:
-    """(key, path_<size> …): a small forest goes to the rows, a large one is joined to them."""
+def _walk_all(rows: DataFrame, nodes: DataFrame, d: int, seed: int, cuts: Sequence[int]) -> DataFrame:
+    """(key, path total for each size): a small forest goes to the rows, a large one is joined to them."""
     if nodes.count() <= TABLE_NODES:
-        return _walk_shared(rows, nodes, d, cuts)
-    return _walk_joined(rows, nodes, d, cuts)
+        return _walk_shared(rows, nodes, d, seed, cuts)
+    return _walk_joined(rows, nodes, d, seed, cuts)
 
 
-def _walk_shared(rows: DataFrame, nodes: DataFrame, d: int, cuts: Sequence[int]) -> DataFrame:
+def _walk_shared(rows: DataFrame, nodes: DataFrame, d: int, seed: int, cuts: Sequence[int]) -> DataFrame:
     small = nodes.toPandas()  # at most TABLE_NODES rows, checked by the caller
     table = isolation.tree_table(small["tree"], small["node"], small["feature"].fillna(-1), small["threshold"].fillna(0.0))
     paths = isolation.leaf_path(small["depth"].to_numpy(), small["n"].to_numpy())[table["order"]]
     shared = rows.sparkSession.sparkContext.broadcast((table, paths))
+    named = {c: _total(seed, c) for c in cuts}
 
     def walk(batches):
         table, paths = shared.value
         for batch in batches:
             x, total = _x(batch, d), np.zeros(batch.num_rows, dtype=np.int64)
-            columns = {"key": batch.column("key"), "sampled": batch.column("sampled")}
+            columns = {"key": batch.column("key")}
             for tree in table["roots"]:
                 total = total + paths[isolation.walk(table, x, tree)]
-                if tree in cuts:
-                    columns[f"path_{tree}"] = total
+                if tree in named:
+                    columns[named[tree]] = total
             yield pa.RecordBatch.from_pydict(columns)
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(walk, f"key {kind}, sampled boolean, " + ", ".join(f"path_{c} bigint" for c in cuts))
+    return rows.select("key", *[f"x{i}" for i in range(d)]).mapInArrow(walk, f"key {kind}, " + ", ".join(f"`{n}` bigint" for n in named.values()))
 
 
-def _walk_joined(rows: DataFrame, nodes: DataFrame, d: int, cuts: Sequence[int]) -> DataFrame:
+def _walk_joined(rows: DataFrame, nodes: DataFrame, d: int, seed: int, cuts: Sequence[int]) -> DataFrame:
     """Level by level: every (row, tree) meets its node by an equi-join.
 
     The upper levels are few nodes and are broadcast from their measured size;
@@ -519,7 +577,7 @@ def _walk_joined(rows: DataFrame, nodes: DataFrame, d: int, cuts: Sequence[int])
         .otherwise(0.0)
     )
     value = F.element_at(F.array(*[F.col(f"x{i}") for i in range(d)]), F.col("feature") + 1)
-    state = rows.withColumns(
+    state = rows.select("key", *[f"x{i}" for i in range(d)]).withColumns(
         {"tree": F.explode(F.sequence(F.lit(1), F.lit(trees))), "node": F.lit(1).cast("bigint")}
     )
     ended = []
@@ -528,14 +586,14 @@ def _walk_joined(rows: DataFrame, nodes: DataFrame, d: int, cuts: Sequence[int])
         here = settle(here)
         ended.append(
             here.filter("feature is null").select(
-                "key", "sampled", F.col("tree").alias("last_tree"), F.rint((F.col("depth") + average) * isolation.PATH_UNIT).cast("bigint").alias("path")
+                "key", F.lit(seed).alias("seed"), F.col("tree").alias("last_tree"), F.rint((F.col("depth") + average) * isolation.PATH_UNIT).cast("bigint").alias("path")
             )
         )
         state = here.filter("feature is not null").select(
-            "key", "sampled", *[f"x{i}" for i in range(d)], "tree",
+            "key", *[f"x{i}" for i in range(d)], "tree",
             (F.col("node") * 2 + (value > F.col("threshold")).cast("bigint")).alias("node"),
         )
-    return _union(ended).groupBy("key", "sampled").agg(*_sums(cuts))
+    return _union(ended).groupBy("key").agg(*_sums([seed], cuts))
 
 
 # Closures above refer to helpers of this module; tasks get them by value.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import accumulate
 from math import ceil, log
 
@@ -45,39 +45,60 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank"
     )
 
 
-def sample_flag(df: DataFrame, size: int, seed: int | str, key: str, n_rows: int, name: str = "in_sample") -> DataFrame:
-    """Mark exactly ``size`` rows, those whose hash of (key, seed) is smallest.
+def sample_flags(df: DataFrame, size: int, seeds: Mapping[str, int | str], key: str, n_rows: int) -> DataFrame:
+    """One boolean column per entry of ``seeds``: exactly ``size`` rows, those whose hash of (key, seed) is smallest.
 
     Counting rows per hash prefix finds the bucket in which the last chosen row
     lies; lengthening the prefix shrinks that bucket until it can be looked at.
-    No row is moved: the result is one more column on the same partitions.
+    No row is moved: the result is more columns on the same partitions.
     """
-    digest = hash_text(F.col(key), seed)
-    if size >= n_rows:
-        return df.withColumn(name, F.lit(True))
-    if size <= 0:
-        return df.withColumn(name, F.lit(False))
-    keyed = df.select(F.col(key).alias("k"), digest.alias("h"))
-    prefix, wanted, bucket = "", size, n_rows
-    while bucket > _SMALL:
-        if len(prefix) == 32:
+    if size >= n_rows or size <= 0:
+        return df.withColumns({name: F.lit(size > 0) for name in seeds})
+    names = list(seeds)
+    digest = {name: hash_text(F.col(key), seeds[name]) for name in names}
+    prefix, wanted, bucket = dict.fromkeys(names, ""), dict.fromkeys(names, size), dict.fromkeys(names, n_rows)
+
+    def within_buckets(of: list[str]) -> DataFrame:
+        """(name, hash, key) of the rows in the current bucket of each of these seeds."""
+        hashes = [F.struct(F.lit(n).alias("s"), F.lit(prefix[n]).alias("p"), digest[n].alias("h")) for n in of]
+        rows = df.select(F.col(key).alias("k"), F.explode(F.array(*hashes)).alias("v")).select("k", "v.*")
+        return rows.filter(F.col("h").startswith(F.col("p")))
+
+    while deep := [n for n in names if bucket[n] > _SMALL]:
+        done = len(prefix[deep[0]])  # all open prefixes have the same length
+        if done >= 32:
             raise ValueError(f"more than {_SMALL} rows share one value of {key}")
-        width = min(4, 32 - len(prefix), max(1, ceil(log(bucket / (_SMALL / 4), 16))))
+        width = min(3, 32 - done, max(1, ceil(log(max(bucket[n] for n in deep) / (_SMALL / 4), 16))))
         counts = (
-            keyed.filter(F.col("h").startswith(prefix))
-            .groupBy(F.substring("h", len(prefix) + 1, width).alias("part"))
+            within_buckets(deep)
+            .groupBy("s", F.substring("h", done + 1, width).alias("part"))
             .agg(F.count(F.lit(1)).alias("n"))
-            .orderBy("part")
-            .collect()  # at most 16^4 rows, whatever the table
+            .orderBy("s", "part")
+            .collect()  # at most 16^3 rows per seed, whatever the table
         )
+        settled: set[str] = set()
         for row in counts:
-            if wanted <= row["n"]:
-                prefix, bucket = prefix + row["part"], row["n"]
-                break
-            wanted -= row["n"]
-    last = keyed.filter(F.col("h").startswith(prefix)).orderBy("h", "k").limit(wanted).collect()[-1]
-    within = (digest < last["h"]) | ((digest == last["h"]) & (F.col(key) <= F.lit(last["k"])))
-    return df.withColumn(name, within)
+            name = row["s"]
+            if name in settled:
+                continue
+            if wanted[name] <= row["n"]:
+                prefix[name], bucket[name] = prefix[name] + row["part"], row["n"]
+                settled.add(name)
+            else:
+                wanted[name] -= row["n"]
+    last: dict[str, tuple] = {}
+    for row in within_buckets(names).select("s", "h", "k").orderBy("s", "h", "k").collect():  # small buckets
+        wanted[row["s"]] -= 1
+        if wanted[row["s"]] == 0:
+            last[row["s"]] = (row["h"], row["k"])
+    return df.withColumns(
+        {n: (digest[n] < last[n][0]) | ((digest[n] == last[n][0]) & (F.col(key) <= F.lit(last[n][1]))) for n in names}
+    )
+
+
+def sample_flag(df: DataFrame, size: int, seed: int | str, key: str, n_rows: int, name: str = "in_sample") -> DataFrame:
+    """``sample_flags`` for one seed."""
+    return sample_flags(df, size, {name: seed}, key, n_rows)
 
 
 def exact_sample(df: DataFrame, frac: float, seed: int | str, key: str) -> DataFrame:

@@ -3,6 +3,7 @@ from batchlens.sources.tables import (
     describe_schema,
     preview,
     read_batches,
+    spread_splits,
     table_shape,
     write_mappings,
     write_table,
@@ -14,6 +15,7 @@ __all__ = [
     "read_batches",
     "run_folder",
     "settle",
+    "spread_splits",
     "table_shape",
     "write_mappings",
     "write_table",

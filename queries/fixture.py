@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from batchlens.sources import spread_splits
+
 IDS = ["material_code", "component_code", "material_batch_nr", "component_batch_nr"]
 ATTRS = [f"cma{i}" for i in range(1, 8)]
 FILLED = ATTRS[:6]  # cma7 holds no value anywhere
@@ -30,7 +32,8 @@ class Book:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_splits(scan) if name == "lineitem" else scan
 
 
 def opv(spark: SparkSession, sf_dir: str) -> DataFrame:
