@@ -66,6 +66,14 @@ def choose_splits(seed: int, tree: int, nodes, low, high) -> tuple[np.ndarray, n
     return feature, np.where(threshold >= hi, lo, threshold)
 
 
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal neighbours starts, and how long it is."""
+    if not values.size:
+        return values, values
+    starts = np.concatenate(([0], np.flatnonzero(values[1:] != values[:-1]) + 1))
+    return starts, np.diff(starts, append=values.size)
+
+
 def grow(x, node, sampled, seed: int, tree: int, limit: int, record: list | None = None) -> np.ndarray:
     """Split rows until they are alone, alike, or ``limit`` deep; returns each row's path length.
 
@@ -79,8 +87,8 @@ def grow(x, node, sampled, seed: int, tree: int, limit: int, record: list | None
     x, node = x[:, rows], node[rows]
     sampled = None if sampled is None else sampled[rows]
     while rows.size:
-        starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-        ids, sizes = node[starts], np.diff(np.r_[starts, rows.size])
+        starts, sizes = runs(node)
+        ids = node[starts]
         if sampled is None:
             counts = sizes
             low, high = np.minimum.reduceat(x, starts, axis=1), np.maximum.reduceat(x, starts, axis=1)
@@ -90,9 +98,15 @@ def grow(x, node, sampled, seed: int, tree: int, limit: int, record: list | None
             high = np.maximum.reduceat(np.where(sampled, x, -np.inf), starts, axis=1)
         depth = depth_of(ids)
         splits = (high > low).any(axis=0) & (depth < limit) & (counts > 1)
+        ends = leaf_path(depth, counts)
+        if record is None:
+            # Two sampled rows that differ are alone one level down, whatever the draw.
+            pairs = splits & (sizes == 2) & (counts == 2)
+            ends[pairs] = (depth[pairs] + 1) * PATH_UNIT
+            splits &= ~pairs
         group = np.repeat(np.arange(ids.size), sizes)
         done = ~splits[group]
-        path[rows[done]] = leaf_path(depth, counts)[group[done]]
+        path[rows[done]] = ends[group[done]]
         feature = np.full(ids.size, -1, dtype=np.int64)
         threshold = np.zeros(ids.size)
         if splits.any():
@@ -104,8 +118,7 @@ def grow(x, node, sampled, seed: int, tree: int, limit: int, record: list | None
         right = x.ravel().take(feature[group] * x.shape[1] + kept) > threshold[group]
         # Stable partition of every group into its left and right child.
         before = np.cumsum(right) - right
-        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if kept.size else kept
-        span = np.diff(np.r_[first, kept.size])
+        first, span = runs(group)
         base, rights_before = np.repeat(first, span), np.repeat(before[first], span)
         n_right = np.add.reduceat(right.astype(np.int64), first) if kept.size else span
         offset = np.arange(kept.size) - base

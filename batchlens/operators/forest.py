@@ -131,7 +131,7 @@ class IsolationForest:
 
     def _blocks(self, rows: DataFrame, seeds: Sequence[int], cuts: Sequence[int]) -> list[tuple[int, int, int]]:
         """(seed, first tree, last tree): runs of trees that share one copy of the rows; none crosses a cut."""
-        copies = max(16, 2 * rows.sparkSession.sparkContext.defaultParallelism)
+        copies = max(32, 4 * rows.sparkSession.sparkContext.defaultParallelism)
         width = max(1, ceil(self.trees * len(seeds) / copies))
         edges = [0, *cuts] if cuts[-1] == self.trees else [0, *cuts, self.trees]
         runs = [(lo + 1, min(lo + width, b)) for a, b in pairwise(edges) for lo in range(a, b, width)]
@@ -435,9 +435,9 @@ class _Tops:
                         continue
                     order = here[np.argsort(slot[here], kind="stable")]
                     slots = slot[order]
-                    starts = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
+                    starts, spans = isolation.runs(slots)
                     at, part = slots[starts], x[:, order]
-                    n[at] += np.diff(np.r_[starts, slots.size])
+                    n[at] += spans
                     low[:, at] = np.minimum(low[:, at], np.minimum.reduceat(part, starts, axis=1))
                     high[:, at] = np.maximum(high[:, at], np.maximum.reduceat(part, starts, axis=1))
             met = np.flatnonzero(size)

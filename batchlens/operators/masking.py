@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,21 +19,39 @@ ID_PREFIXES = {
 }
 
 
-def build_mapping(df: DataFrame, col: str, prefix: str, order_by: str | None = None) -> DataFrame:
-    """``original`` → ``masked`` for each distinct value: M1, M2, …
+def build_mappings(df: DataFrame, prefixes: Mapping[str, str], order_by: str | None = None) -> dict[str, DataFrame]:
+    """``original`` → ``masked`` for each distinct value of each column: M1, M2, …
 
     Numbered by value, or by first appearance along the column ``order_by``.
-    Nulls get no code.
+    Nulls get no code.  All columns are collected in one pass and ranked in one
+    total order; a column's codes start where the column starts in it.
     """
-    present = df.filter(F.col(col).isNotNull())
+    entries = F.array(
+        *[
+            F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("original")))
+            for c in prefixes
+        ]
+    )
+    kept = [F.col(order_by).alias("_place")] if order_by else []
+    values = df.select(F.explode(entries).alias("e"), *kept).filter("e is not null").select("e.*", *[c for c in ("_place",) if order_by])
     if order_by:
-        values = present.groupBy(F.col(col).alias("original")).agg(F.min(order_by).alias("_first"))
-        order = ["_first", "original"]
+        values = values.groupBy("col", "original").agg(F.min("_place").alias("_first"))
+        order = ["col", "_first", "original"]
     else:
-        values = present.select(F.col(col).alias("original")).distinct()
-        order = ["original"]
+        values, order = values.distinct(), ["col", "original"]
     ranked = global_rank(values, order, "_n")
-    return ranked.select("original", F.concat(F.lit(prefix), F.col("_n").cast("string")).alias("masked"))
+    before = {r["col"]: r["first"] - 1 for r in ranked.groupBy("col").agg(F.min("_n").alias("first")).collect()}
+    return {
+        c: ranked.filter(F.col("col") == c).select(
+            "original", F.concat(F.lit(prefix), (F.col("_n") - before.get(c, 0)).cast("string")).alias("masked")
+        )
+        for c, prefix in prefixes.items()
+    }
+
+
+def build_mapping(df: DataFrame, col: str, prefix: str, order_by: str | None = None) -> DataFrame:
+    """``build_mappings`` for one column."""
+    return build_mappings(df, {col: prefix}, order_by)[col]
 
 
 def apply_mapping(df: DataFrame, mapping: DataFrame, col: str) -> DataFrame:
@@ -67,9 +85,7 @@ def mask(
     if not on:
         return df, {}
     attributes = roles.features(df)
-    mappings = {}
-    for col in roles.ids:
-        mappings[col] = build_mapping(df, col, ID_PREFIXES[col], order_by)
+    mappings = build_mappings(df, {c: ID_PREFIXES[c] for c in roles.ids}, order_by)
     for col in roles.ids:
         df = apply_mapping(df, mappings[col], col)
     mappings["attribute"] = name_mapping(df, attributes)

@@ -1,17 +1,20 @@
 """Exact order statistics by counting, with no global sort.
 
-A histogram tells in which of a thousand ranges the wanted rank lies; the next
-histogram covers only that range.  Two or three passes of map-side counting
-narrow any table down to a range that fits in a task, and only that range is
-looked at value by value.  Repeated values are counted, not carried, so a value
-that makes up a third of the table is one row.
+A sketch names a narrow range around each wanted rank, and a count of the rows
+below and inside it proves or refutes that the rank lies there.  A range that
+holds too many rows, or a refuted one widened to the whole column, is narrowed by
+histograms.  What is left fits in a task and is looked at value by value.
+Repeated values are counted, not carried, so a value that makes up a third of the
+table is one row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from decimal import ROUND_HALF_UP, Decimal, localcontext
+from functools import reduce
+from itertools import pairwise
 from math import ceil, floor
 
 from pyspark.sql import DataFrame, Window
@@ -22,6 +25,9 @@ from batchlens.functions import finite_only
 
 _BINS = 1024
 _EXAMINE = 1 << 20  # rows of one range that are ranked value by value
+_DIRECT = 1 << 17  # a column this short is ranked without narrowing it first
+_ACCURACY = 10000  # of the sketch: ranks are off by at most n / _ACCURACY
+_MARGIN = 2 / _ACCURACY
 
 
 @dataclass
@@ -37,11 +43,12 @@ class _Range:
 
 
 def order_statistics(
-    df: DataFrame, ranks_of, cols: Sequence[str], examine: int = _EXAMINE
+    df: DataFrame, ranks_of: Callable[[int], set[int]], cols: Sequence[str], ps: Sequence[float] = (), examine: int = _EXAMINE
 ) -> tuple[dict[str, int], dict[tuple[str, int], object]]:
     """Values at given ranks of many columns at once.
 
-    ``ranks_of(n)`` names the 0-based ranks wanted in a column of ``n`` values.
+    ``ranks_of(n)`` names the 0-based ranks wanted in a column of ``n`` values;
+    ``ps`` are about the same places as fractions, where the sketch looks.
     Null, NaN and infinite values do not count.  Returns the column sizes and
     the value at every (column, rank).
     """
@@ -50,10 +57,13 @@ def order_statistics(
         else finite_only(F.col(f"`{c}`").cast("double")).alias(c)
         for c in cols
     ])
+    near = sorted({min(max(p + d, 0.0), 1.0) for p in ps for d in (-_MARGIN, _MARGIN)})
+    sketch = lambda c: F.percentile_approx(F.col(f"`{c}`").cast("double"), near, _ACCURACY) if near else F.array(F.lit(None).cast("double"))
     ends = df.agg(
         F.array(*[F.count(f"`{c}`") for c in cols]).alias("n"),
         F.array(*[F.min(f"`{c}`") for c in cols]).alias("low"),
         F.array(*[F.max(f"`{c}`") for c in cols]).alias("high"),
+        F.array(*[sketch(c) for c in cols]).alias("near"),
     ).first()
     sizes = dict(zip(cols, ends["n"]))
     found: dict[tuple[str, int], object] = {}
@@ -62,6 +72,9 @@ def order_statistics(
         for c, n, low, high in zip(cols, ends["n"], ends["low"], ends["high"])
         if n
     ]
+    if near and any(r.size > min(examine, _DIRECT) for r in open_ranges):
+        points = {c: [_as_type(x, df.schema[c].dataType) for x in near] for c, near in zip(cols, ends["near"]) if near}
+        open_ranges = _proven(df, open_ranges, points)
     while wide := [r for r in open_ranges if r.size > examine and r.low != r.high]:
         narrow = [r for r in open_ranges if r not in wide]
         open_ranges = narrow + _split(df, wide, found)
@@ -69,13 +82,43 @@ def order_statistics(
     return sizes, found
 
 
+def _as_type(value: float, kind):
+    """A sketch point in the type of its column: any point will do, an exact value of the column does best."""
+    return Decimal(repr(value)).quantize(Decimal(1).scaleb(-kind.scale)) if isinstance(kind, DecimalType) else value
+
+
+def _proven(df: DataFrame, whole: list[_Range], near: dict[str, list]) -> list[_Range]:
+    """Ranges that surely hold the wanted ranks: the smallest of the sketch points and the gaps between them.
+
+    The point itself is the answer for a value that is repeated often enough.
+    """
+    guesses = []
+    for r in whole:
+        points = sorted({r.low, r.high, *near[r.col]})
+        guesses += [_Range(r.col, a, b, 0, 0) for a, b in [*zip(points, points), *pairwise(points)]]
+    column = lambda g: F.col(f"`{g.col}`")
+    counts = df.agg(
+        F.array(*[F.count_if(column(g) < F.lit(g.low)) for g in guesses]).alias("below"),
+        F.array(*[F.count_if(column(g) <= F.lit(g.high)) for g in guesses]).alias("upto"),
+    ).first()
+    kept: list[_Range] = []
+    for r in whole:
+        left = set(r.ranks)
+        mine = [(g, b, u) for g, b, u in zip(guesses, counts["below"], counts["upto"]) if g.col == r.col]
+        for g, below, upto in sorted(mine, key=lambda m: m[2] - m[1]):  # smallest ranges first
+            inside = {k for k in left if below <= k < upto}
+            if inside:
+                kept.append(_Range(g.col, g.low, g.high, below, upto - below, inside))
+                left -= inside
+    return kept
+
+
 def _tagged(df: DataFrame, ranges: list[_Range]) -> DataFrame:
-    """Long form: (range number, value) for each value inside a range."""
-    picks = [
-        F.when(F.col(f"`{r.col}`").between(F.lit(r.low), F.lit(r.high)), F.struct(F.lit(i).alias("t"), F.col(f"`{r.col}`").alias("x")))
-        for i, r in enumerate(ranges)
-    ]
-    return df.select(F.explode(F.array(*picks)).alias("v")).filter("v is not null").select("v.t", "v.x")
+    """Long form: (range number, value) for each value inside a range; rows in no range drop out first."""
+    inside = [F.col(f"`{r.col}`").between(F.lit(r.low), F.lit(r.high)) for r in ranges]
+    picks = [F.when(hit, F.struct(F.lit(i).alias("t"), F.col(f"`{r.col}`").alias("x"))) for i, (r, hit) in enumerate(zip(ranges, inside))]
+    near = df.filter(reduce(lambda a, b: a | b, inside))
+    return near.select(F.explode(F.array(*picks)).alias("v")).filter("v is not null").select("v.t", "v.x")
 
 
 def _split(df: DataFrame, ranges: list[_Range], found: dict) -> list[_Range]:
@@ -145,7 +188,7 @@ def quantile_values(
     def ranks(n: int):
         return {edge((n - 1) * p) for p in ps for edge in (floor, ceil)}
 
-    sizes, found = order_statistics(df, ranks, cols, examine)
+    sizes, found = order_statistics(df, ranks, cols, ps, examine)
     values: dict[tuple[str, float], float | None] = {}
     for c in cols:
         for p in ps:
@@ -177,7 +220,7 @@ def approx_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], ac
 
 def median_values(df: DataFrame, cols: Sequence[str], examine: int = _EXAMINE) -> dict[str, Decimal | None]:
     """Median of decimal columns in decimal arithmetic: the middle value, or the mean of the two."""
-    sizes, found = order_statistics(df, lambda n: {(n - 1) // 2, n // 2}, cols, examine)
+    sizes, found = order_statistics(df, lambda n: {(n - 1) // 2, n // 2}, cols, [0.5], examine)
     medians: dict[str, Decimal | None] = {}
     for c in cols:
         n, kind = sizes[c], df.schema[c].dataType

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchlens.operators.coverage import drop_empty_columns, with_test_count
 from batchlens.operators.roles import COUNTER, ROW_KEY, Roles, canonical_names, cast_roles, order_columns
+from batchlens.sources.shared import settle
 
 
 def focus_slice(df: DataFrame, first: str = "material_code", second: str = "component_code") -> DataFrame:
     """Rows of the busiest ``first`` code and, inside it, the busiest ``second`` code.
 
-    Both codes come from one count per pair of codes.  They enter the filter as
+    One job counts pairs of codes and picks both; they enter the filter as
     literals, so it reaches the scan.
     """
     pairs = (
@@ -22,12 +23,10 @@ def focus_slice(df: DataFrame, first: str = "material_code", second: str = "comp
         .groupBy(first, second)
         .agg(F.count(F.lit(1)).alias("batch_count"))
     )
-    weighted = pairs.groupBy(first).agg(F.sum("batch_count").alias("n"))
-    best = weighted.orderBy(F.desc("n"), first).limit(1)
     chosen = (
-        pairs.join(best.select(first), first, "left_semi")
+        pairs.withColumn("total", F.sum("batch_count").over(Window.partitionBy(first)))  # over counts, not rows
         .filter(F.col(second).isNotNull())
-        .orderBy(F.desc("batch_count"), second)
+        .orderBy(F.desc("total"), first, F.desc("batch_count"), second)
         .limit(1)
         .collect()
     )
@@ -43,7 +42,7 @@ def curate(
     roles: Roles = Roles(),
 ) -> DataFrame:
     """Canonical names, the busiest slice, no empty columns, a test count, identifiers first, types by role."""
-    df = focus_slice(canonical_names(raw, renames).drop(*drop))
+    df = settle(focus_slice(canonical_names(raw, renames).drop(*drop)))
     df = drop_empty_columns(df, roles.features(df))
     df = with_test_count(df, roles.features(df))
     first = [c for c in (*([ROW_KEY] if ROW_KEY in df.columns else []), *roles.ids, COUNTER)]

@@ -22,8 +22,8 @@ from batchlens.sources.shared import settle
 def fence_screen(df: DataFrame, roles: Roles = Roles(), frac: float = 0.6) -> DataFrame:
     """Fences alone, no forest: busiest slice, pruned and imputed, each row with its deviation type."""
     cols = roles.features(df)
-    part = focus_slice(df).withColumn(COUNTER, present_count(cols))
-    part = settle(to_decimal(prune_low_coverage(part, frac), cols))
+    part = settle(focus_slice(df).withColumn(COUNTER, present_count(cols)))
+    part = to_decimal(prune_low_coverage(part, frac), cols)
     filled = to_double(impute_median(part, cols), cols)
     return filled.select(ROW_KEY, *roles.ids, deviation_type(iqr_fences(filled, cols)).alias("deviation_type"))
 

@@ -3,7 +3,6 @@ from batchlens.sources.tables import (
     describe_schema,
     preview,
     read_batches,
-    spread_splits,
     table_shape,
     write_mappings,
     write_table,
@@ -15,7 +14,6 @@ __all__ = [
     "read_batches",
     "run_folder",
     "settle",
-    "spread_splits",
     "table_shape",
     "write_mappings",
     "write_table",

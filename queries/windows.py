@@ -59,7 +59,7 @@ def middle_ranks(spark, sf_dir):
 )
 def middle_rows(spark, sf_dir):
     df = to_decimal(opv(spark, sf_dir).select("cma2"), ["cma2"])
-    sizes, found = order_statistics(df, lambda n: {(n - 1) // 2, n // 2}, ["cma2"])
+    sizes, found = order_statistics(df, lambda n: {(n - 1) // 2, n // 2}, ["cma2"], [0.5])
     n = sizes["cma2"]
     row = (float(found["cma2", (n - 1) // 2]), float(found["cma2", n // 2]), n)
     return rounded(spark.createDataFrame([row], "lower_middle double, upper_middle double, n bigint"), "lower_middle", "upper_middle")
