@@ -35,7 +35,7 @@ def leaf_path(depth, n) -> np.ndarray:
 
 
 def depth_of(nodes: np.ndarray) -> np.ndarray:
-    return np.frexp(nodes.astype(np.float64))[1] - 1
+    return np.frexp(nodes.astype(np.float64))[1].astype(np.int64) - 1
 
 
 def draws(seed: int, tree: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -72,4 +72,4 @@ def component_label(index: Column, ratio: Column) -> Column:
 def map_literal(value: Column, pairs: Mapping[str, str]) -> Column:
     """Look a category up in a small fixed table; null when it is not there."""
     literals = [F.lit(x) for x in chain.from_iterable(pairs.items())]
-    return F.when(value.isNotNull(), F.create_map(*literals).getItem(value))
+    return F.when(value.isNotNull(), F.create_map(*literals)[value])

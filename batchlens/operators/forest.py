@@ -120,7 +120,7 @@ class IsolationForest:
             return _grow_nodes(_share_out(rows, self._blocks(rows, [self.seed], [self.trees])), d, {self.seed: limit})
         parts = []
         for top in self._tops(rows, facts[self.seed], d, self.seed):
-            parts.append(top.inner_nodes(rows.sparkSession))
+            parts.append(top.own_nodes(rows.sparkSession))
             parts.append(_grow_nodes(top.rows_by_bin(rows, d), d, {self.seed: limit}))
         return _union(parts)
 
@@ -358,7 +358,7 @@ class _Tops:
     trees: range
     inner: dict  # (tree, node) -> (feature, threshold, sampled rows)
     bins: dict  # (tree, node) -> bin; the node's rows fit in one task
-    finished: dict  # (tree, node) -> path; large, but cannot be split
+    finished: dict  # (tree, node) -> sampled rows; large, but cannot be split
 
     @classmethod
     def build(cls, rows, facts, d, seed, trees, limit, group_rows) -> _Tops:
@@ -372,7 +372,7 @@ class _Tops:
                 if size <= group_rows:
                     fits[tree, node] = size
                 elif depth >= limit or n <= 1 or not (high > low).any():
-                    tops.finished[tree, node] = int(isolation.leaf_path(depth, n))
+                    tops.finished[tree, node] = n
                 else:
                     splitting[tree, node] = (n, low, high)
             if not splitting:
@@ -489,7 +489,8 @@ class _Tops:
     def finished_paths(self, rows: DataFrame, d: int) -> DataFrame:
         """(id, seed, last_tree, path) of rows in large nodes that cannot be split; nothing is exchanged."""
         table = self._table([*self.bins, *self.finished])
-        paths = np.array([self.finished.get((int(t), int(k)), -1) for t, k in zip(table["tree"], table["node"])], dtype=np.int64)
+        n = np.array([self.finished.get((int(t), int(k)), -1) for t, k in zip(table["tree"], table["node"])], dtype=np.int64)
+        paths = np.where(n < 0, -1, isolation.leaf_path(isolation.depth_of(table["node"]), np.maximum(n, 0)))
         shared = rows.sparkSession.sparkContext.broadcast((table, paths))
         seed, trees = self.seed, self.trees
 
@@ -508,9 +509,11 @@ class _Tops:
 
         return rows.mapInArrow(walk, _PATH_FIELDS)
 
-    def inner_nodes(self, spark) -> DataFrame:
-        whole = [(t, k, k.bit_length() - 1, f, v, n) for (t, k), (f, v, n) in self.inner.items()]
-        return spark.createDataFrame(whole, _NODE_FIELDS)
+    def own_nodes(self, spark) -> DataFrame:
+        """The nodes decided here: split ones, and large leaves."""
+        nodes = [(t, k, k.bit_length() - 1, f, v, n) for (t, k), (f, v, n) in self.inner.items()]
+        nodes += [(t, k, k.bit_length() - 1, None, None, n) for (t, k), n in self.finished.items()]
+        return spark.createDataFrame(nodes, _NODE_FIELDS)
 
 
 # -- scoring ---------------------------------------------------------------------------
