@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchlens.functions import hash_text, isolation
-from batchlens.operators.ranking import sample_flag
+from batchlens.operators.ranking import global_rank, sample_flag
 from batchlens.sources.shared import settle
 
 # Nodes of a tree table that may be sent to every task (about 50 bytes each).
@@ -164,6 +164,8 @@ class IsolationForest:
 
     def _grow_sampled(self, rows: DataFrame, facts: _Facts, d: int, seed: int) -> tuple[DataFrame, int]:
         psi = min(int(self.max_samples), facts.n_sampled)
+        if psi > self.group_rows:
+            raise ValueError('a tree of this many rows needs max_samples="all", with a sampled column')
         pool = rows.filter(_flag(seed)).select("key", *[f"x{i}" for i in range(d)])
         members = _deal(pool, facts.n_sampled, psi, self.trees, seed)
         return settle(_grow_nodes(members, d, {seed: self._limit(psi)})), psi
@@ -261,9 +263,12 @@ def _deal(pool: DataFrame, n: int, psi: int, trees: int, seed: int) -> DataFrame
         wanted = min(per_deck, trees - first) * psi
         shuffle = f"{seed}|deck|{deck}"
         chosen = sample_flag(pool, wanted, shuffle, "key", n, "_in").filter("_in").drop("_in")
-        # trees × ψ rows at most: a size set by the parameters, not by the table.
-        place = F.row_number().over(Window.orderBy(hash_text(F.col("key"), shuffle), "key")) - 1
-        decks.append(chosen.withColumn("first_tree", (F.lit(first + 1) + F.floor(place / psi)).cast("int")))
+        order = [hash_text(F.col("key"), shuffle), F.col("key")]
+        if wanted <= _FEW:
+            dealt = chosen.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+        else:
+            dealt = global_rank(chosen, order, "place")
+        decks.append(dealt.withColumn("first_tree", (F.lit(first + 1) + F.floor((F.col("place") - 1) / psi)).cast("int")))
     return _union(decks).select(
         F.lit(seed).cast("bigint").alias("seed"),
         "first_tree",
