@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from batchlens.operators import components as pc
-from batchlens.operators.cleaning import column_precision, normalize_precision, precision_table, to_decimal
+from batchlens.operators.cleaning import column_precision, normalize_precision, precision_table
 from batchlens.operators.coverage import coverage_distribution, coverage_percent, with_test_count
 from batchlens.operators.fences import (
     attribute_flags,
@@ -15,7 +15,7 @@ from batchlens.operators.fences import (
 )
 from batchlens.operators.masking import mask
 from batchlens.operators.profiles import coded_profiles, frequent_or_rare
-from batchlens.operators.reporting import annotate_status, attach, flagged_report, projection_frame, with_colour
+from batchlens.operators.reporting import annotate_status, attach, flagged_report, projection_frame
 from batchlens.operators.roles import prefix_columns
 from batchlens.plans import clean, curate, fence_screen
 from batchlens.plans.detect import component_scores
@@ -30,14 +30,12 @@ from queries.fixture import (
     OPV,
     SLICE,
     Book,
-    dec,
     deviation_sql,
     fences_sql,
     filled,
     imputed,
     opv,
     outside_sql,
-    pruned,
     r,
     rounded,
     table,

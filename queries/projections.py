@@ -12,7 +12,7 @@ from batchlens.operators import components as pc
 from batchlens.operators.cleaning import to_decimal, to_double
 from batchlens.operators.coverage import coverage_distribution, with_coverage, with_test_count
 from batchlens.operators.fences import deviation_type, iqr_fences
-from batchlens.operators.profiles import coded_profiles, frequent_or_rare, profile_counts, profile_group, with_profile
+from batchlens.operators.profiles import frequent_or_rare, profile_counts, profile_group, with_profile
 from batchlens.operators.ranking import category_code
 from batchlens.operators.reporting import PROFILE_COLOURS, STATUS_COLOURS, annotate_status, jitter, with_colour
 from batchlens.operators.roles import Roles, canonical_names, cast_roles, order_columns, prefix_columns
