@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from batchlens.llm.counting import token_counts
 from batchlens.llm.packing import pack
+from batchlens.llm.quality import quality_rules
 from batchlens.sources.shared import run_folder
 
 QUERIES: dict = {}
@@ -40,3 +41,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a cache of its own, which is empty at first."""
     return token_counts(table(spark, sf_dir, "documents"), byte_bpe(), run_folder(spark, "token-cache"), limit=1024)
+
+
+@query()
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
