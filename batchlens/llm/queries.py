@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from batchlens.llm.counting import token_counts
 from batchlens.llm.packing import pack
+from batchlens.llm.pii import replace_entities
 from batchlens.llm.quality import quality_rules
 from batchlens.sources.shared import run_folder
 
@@ -49,3 +50,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query()
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``n_entities`` and the text without its personal data; the key would come from a vault."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_entities(docs, key="example-key").select("doc_id", "text", "n_entities")
