@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from batchlens.llm.counting import token_counts
+from batchlens.llm.licences import scan_licences
 from batchlens.llm.packing import pack
 from batchlens.llm.pii import replace_entities
 from batchlens.llm.quality import quality_rules
@@ -57,3 +58,8 @@ def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``n_entities`` and the text without its personal data; the key would come from a vault."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return replace_entities(docs, key="example-key").select("doc_id", "text", "n_entities")
+
+
+@query()
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"), threshold=0.8)
