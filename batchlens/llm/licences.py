@@ -9,7 +9,7 @@ bigrams, a run needs between t/(2-t)*b and (2-t)/t*b bigrams and at least
 t/(2-t)*b shared ones; a template with fewer hits in a text is never looked at.
 
 Result: one row per row of ``docs`` and licence found, with the best run (the
-first of equals).  Null and empty texts have no licence, and an empty table gives
+first of equals); of licences whose best runs overlap, the best match stays.  Null and empty texts have no licence, and an empty table gives
 an empty result; repeated rows are scanned each for itself.  Other columns are
 ignored.
 """
@@ -106,7 +106,16 @@ class Templates:
                 name = self.names[template]
                 if found and (name not in best or (-found[0], *found[1:]) < (-best[name][0], *best[name][1:])):
                     best[name] = found
-        return best
+        return self._without_overlaps(best)
+
+    @staticmethod
+    def _without_overlaps(found: dict[str, tuple[float, int, int]]) -> dict[str, tuple[float, int, int]]:
+        """Words that match several licences count for the one they match best, the longer run among equals."""
+        kept: dict[str, tuple[float, int, int]] = {}
+        for name, (dice, start, n) in sorted(found.items(), key=lambda f: (-f[1][0], -f[1][2], f[0])):
+            if all(start + n <= s or s + m <= start for _, s, m in kept.values()):
+                kept[name] = (dice, start, n)
+        return kept
 
     def _best_run(self, template: int, places: list[int], bigrams: list[tuple[str, str]]) -> tuple[float, int, int] | None:
         counts, b, least, most = self.counts[template], self.sizes[template], self.least[template], self.most[template]
