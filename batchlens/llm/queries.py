@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from batchlens.llm.counting import token_counts
+from batchlens.llm.lattice import lattice_scores
 from batchlens.llm.licences import scan_licences
 from batchlens.llm.packing import pack
 from batchlens.llm.pii import replace_entities
@@ -63,3 +64,8 @@ def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
+@query()
+def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), rounds=2)

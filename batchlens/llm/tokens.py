@@ -15,11 +15,11 @@ from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
 
+import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-MEMO_ENTRIES = 250_000  # some 60 MB
+MEMO_ENTRIES = 1_000_000  # some 200 MB when full
 
-_TWO_SPACES = re.compile(r"\s\s|\0")
 _BEFORE_WORD = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -47,30 +47,42 @@ class Pieces:
     def __init__(self, tokenizer: Tokenizer) -> None:
         self.whole = Whole(tokenizer)
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.line_break = tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.memo: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
-        if _TWO_SPACES.search(text):
-            return _BEFORE_WORD.split(text)
+        words = text.split()
+        spaces = len(text) - len("".join(words))
+        if spaces >= len(words) or "\0" in text:  # white space at an end, or two characters of it together
+            return [p for p in _BEFORE_WORD.split(text) if p]
         return [p for p in text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if p]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [any(s in t for s in self.special) for t in texts]
-        cut = [None if o else self.cut(t) for t, o in zip(texts, odd)]
-        memo = self.memo
-        new: set[str] = set()
-        for pieces in cut:
-            if pieces:
-                new.update(p for p in pieces if p not in memo)
-        if new:
-            fresh = list(new)
-            memo.update(zip(fresh, self.whole.encode(fresh)))
-        look = memo.__getitem__
-        out = [self.whole.encode([t])[0] if c is None else b"".join(map(look, c)) for t, c in zip(texts, cut)]
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
+        out = []
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo.clear()
+        cut = [None if any(s in t for s in self.special) else self.cut(t) for t in texts]
+        known = [list(map(self.memo.get, c)) if c else [] for c in cut]
+        self._learn(list({p for c, k in zip(cut, known) if c for p, ids in zip(c, k) if ids is None}))
+        for text, pieces, ids in zip(texts, cut, known):
+            if pieces is None:
+                out.append(self.whole.encode([text])[0])
+            else:
+                out.append(b"".join(map(self.memo.__getitem__, pieces) if None in ids else ids))
         return out
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Words go to the library as one text, a line each; the ids of the line breaks part them again."""
+        plain, rest = [], []
+        for p in pieces:
+            word = p[1:] if p[0] == " " else p
+            (plain if word.split() == [word] else rest).append(p)
+        self.memo.update(zip(rest, self.whole.encode(rest)))
+        if plain:
+            ids = self.whole.encode(["\n".join(plain)])[0]
+            ends = (np.flatnonzero(np.frombuffer(ids, np.uint32) == self.line_break) * 4).tolist()
+            self.memo.update(zip(plain, (ids[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(ids)]))))
+
 
 class SentencePieces:
     def __init__(self, path: str) -> None:
