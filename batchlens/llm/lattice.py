@@ -41,7 +41,7 @@ from batchlens.sources.shared import settle
 
 FREQUENT = 100_000  # words, some 25 MB in a task
 HELD_OUT = 10  # one row in so many
-CELLS = 400_000  # of the forward table at a time
+CELLS = 40_000  # characters scored at a time
 MARK = "▁"
 LN10 = log(10)
 
@@ -55,13 +55,39 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """``ids``: each piece, and -1 for what is only the beginning of one; ``bytes``: ids of the 256 byte pieces."""
+    """Pieces by a hash of their characters: open addressing, ``keys[slot]`` and ``ids[slot]`` (0 and ``size`` where empty)."""
 
-    ids: dict[str, int]
-    bytes: np.ndarray
+    keys: np.ndarray
+    ids: np.ndarray
+    longest: int
+    bytes: np.ndarray  # ids of the 256 byte pieces
     size: int
     weights: np.ndarray
 
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The piece with each hash, or ``size``."""
+        out = np.full(hashes.shape, self.size, np.int64)
+        slot = _slot(hashes)
+        key = self.keys[slot]
+        same = key == hashes
+        out[same] = self.ids[slot[same]]
+        open_ = np.nonzero(~same & (key != 0))
+        while len(open_[0]):  # a few per mille, and fewer at each step
+            at = (slot[open_] + 1) & (len(self.keys) - 1)
+            slot[open_] = at
+            key = self.keys[at]
+            same = key == hashes[open_]
+            out[tuple(i[same] for i in open_)] = self.ids[at[same]]
+            open_ = tuple(i[~same & (key != 0)] for i in open_)
+        return out
+
+
+_BASE, _SPREAD, _SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 20
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes * _SPREAD) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
@@ -69,95 +95,103 @@ def vocabulary(path: str) -> Vocabulary:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = model.get_piece_size()
-    ids: dict[str, int] = {}
     of_byte, weights = np.full(256, -1), np.zeros(n)
     scores = [model.get_score(i) for i in range(n)]
     ranks = min(scores) < -100  # log probabilities don't fall that low
+    pieces: dict[str, int] = {}
     for i in range(n):
         piece = model.id_to_piece(i)
         if model.is_byte(i):
             of_byte[int(piece[1:-1], 16)], weights[i] = i, 1e-6
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and MARK not in piece[1:]:
-            for k in range(1, len(piece)):
-                ids.setdefault(piece[:k], -1)
-            ids[piece] = i
+            pieces[piece] = i
             weights[i] = 1 / (1 - scores[i]) if ranks else np.exp(scores[i])
     if (of_byte < 0).any():
         raise ValueError("the vocabulary has no byte pieces, so not every text has a segmentation")
-    return Vocabulary(ids, of_byte, n, weights / weights.sum())
-
-
-def _lattice(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, ...]:
-    """Arcs of all words: word, start, end, piece; pieces from ``vocab.size`` on are single characters by their bytes."""
-    look = vocab.ids.get
-    word, start, end, piece = [], [], [], []
-    chars: dict[str, int] = {}
-    for w, text in enumerate(words):
-        n = len(text)
-        for i in range(n):
-            c = text[i]
-            word.append(w), start.append(i), end.append(i + 1), piece.append(vocab.size + chars.setdefault(c, len(chars)))
-            for j in range(i + 1, n + 1):
-                found = look(text[i:j])
-                if found is None:
-                    break
-                if found >= 0:
-                    word.append(w), start.append(i), end.append(j), piece.append(found)
-    return (*(np.array(a, np.int64) for a in (word, start, end, piece)), list(chars))
-
-
-def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """log of the sum of exp over the runs that begin at ``first``."""
-    top = np.maximum.reduceat(values, first)
-    runs = np.diff(np.append(first, len(values)))
-    return top + np.log(np.add.reduceat(np.exp(values - np.repeat(top, runs)), first))
-
-
-def _recursion(arcs: tuple[np.ndarray, ...], weight: np.ndarray, shape: tuple[int, int], source: int, target: int, order: int) -> np.ndarray:
-    """Forward (from starts to ends) or backward (from ends to starts) over one position of all words at a time."""
-    by = np.lexsort((arcs[0], order * arcs[target]))
-    word, at_source, at, w = arcs[0][by], arcs[source][by], arcs[target][by], weight[by]
-    steps = np.flatnonzero(np.diff(at, prepend=at[0] - order)) if len(at) else np.array([], int)
-    table = np.full(shape, -np.inf)
-    if order > 0:
-        table[:, 0] = 0
-    else:
-        lengths = np.zeros(shape[0], np.int64)
-        np.maximum.at(lengths, arcs[0], arcs[2])
-        table[np.arange(shape[0]), lengths] = 0
-    for a, b in zip(steps, np.append(steps[1:], len(at))):
-        owners = word[a:b]
-        first = np.flatnonzero(np.diff(owners, prepend=-1))
-        table[owners[first], at[a]] = _sums(table[owners, at_source[a:b]] + w[a:b], first)
+    keys, ids = np.zeros(1 << _SLOT_BITS, np.uint64), np.full(1 << _SLOT_BITS, n)
+    if len(pieces) > len(keys) // 4:
+        raise ValueError("the vocabulary is too large for its table")
+    for piece, i in pieces.items():
+        key = np.zeros(1, np.uint64)
+        for c in piece:
+            key = key * _BASE + np.uint64(ord(c))
+        slot = int(_slot(key)[0])
+        while keys[slot]:
+            slot = (slot + 1) % len(keys)
+        keys[slot], ids[slot] = key[0], i
+    return Vocabulary(keys, ids, max(map(len, pieces)), of_byte, n, weights / weights.sum())
+
+
+def _characters(words: list[str]) -> np.ndarray:
+    """Code points, one column a word, zeros below its end."""
+    lengths = np.array([len(w) for w in words])
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    table = np.zeros((lengths.max(), len(words)), np.uint32)
+    column = np.repeat(np.arange(len(words)), lengths)
+    row = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    table[row, column] = codes
     return table
 
 
+def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
+    stack = np.stack(terms)
+    top = stack.max(0)
+    return top + np.log(np.exp(stack - top).sum(0))
+
+
+def _score_block(words: list[str], logp: np.ndarray, vocab: Vocabulary, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+    chars = _characters(words)
+    height = len(chars)
+    distinct, of_char = np.unique(chars, return_inverse=True)
+    of_char = of_char.reshape(chars.shape)
+    spelt = [vocab.bytes[np.frombuffer(chr(c).encode(), np.uint8)] if c else np.array([], int) for c in distinct]
+    by_bytes = np.array([logp[s].sum() for s in spelt])[of_char]  # 0 below a word's end: nothing is added there
+    longer = np.append(logp, -np.inf)
+    found, weight = [], []
+    hashes = np.zeros(chars.shape, np.uint64)
+    for length in range(1, min(vocab.longest, height) + 1):
+        hashes = hashes[: height - length + 1] * _BASE + chars[length - 1 :]
+        found.append(vocab.find(hashes))
+        weight.append(longer[found[-1]])
+    forward = np.zeros((height + 1, len(words)))
+    for e in range(1, height + 1):
+        arcs = [forward[e - k - 1] + weight[k][e - k - 1] for k in range(min(e, len(weight)))]
+        forward[e] = _log_sum([forward[e - 1] + by_bytes[e - 1], *arcs])
+    if counts is None:
+        return forward[height], None
+    backward = np.zeros_like(forward)
+    for s in range(height - 1, -1, -1):
+        arcs = [backward[s + k + 1] + weight[k][s] for k in range(min(height - s, len(weight)))]
+        backward[s] = _log_sum([backward[s + 1] + by_bytes[s], *arcs])
+    expected = np.zeros(vocab.size)
+    before = forward[:-1] - forward[height]
+    for k, (ids, w) in enumerate(zip(found, weight)):
+        at, word = np.nonzero(ids < vocab.size)
+        share = np.exp(before[at, word] + w[at, word] + backward[at + k + 1, word]) * counts[word]
+        expected += np.bincount(ids[at, word], share, minlength=vocab.size)
+    each = np.bincount(of_char.ravel(), (np.exp(before + by_bytes + backward[1:]) * counts).ravel(), minlength=len(distinct))
+    for s, n in zip(spelt, each):
+        np.add.at(expected, s, n)
+    return forward[height], expected
+
+
 def score_words(words: list[str], logp: np.ndarray, vocab: Vocabulary, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of each word (with its mark) and, with ``counts``, the expected count of each piece."""
+    """Log probability of each word (with its mark) and, with ``counts``, the expected count of each piece.
+
+    Words of similar length share a block, whose size in characters is bounded.
+    """
     out, expected = np.zeros(len(words)), np.zeros(vocab.size)
     marked = [MARK + w for w in words]
     order = sorted(range(len(words)), key=lambda i: len(marked[i]))
     at = 0
     while at < len(order):
         to = at + 1
-        while to < len(order) and (to - at + 1) * (len(marked[order[to]]) + 1) <= CELLS:
+        while to < len(order) and (to - at + 1) * len(marked[order[to]]) <= CELLS:
             to += 1
         chosen = order[at:to]
-        *arcs, chars = _lattice([marked[i] for i in chosen], vocab)
-        spelt = [vocab.bytes[np.frombuffer(c.encode(), np.uint8)] for c in chars]
-        longer = np.concatenate([logp, [logp[s].sum() for s in spelt]])
-        weight, shape = longer[arcs[3]], (len(chosen), len(marked[chosen[-1]]) + 1)
-        forward = _recursion(arcs, weight, shape, 1, 2, 1)
-        lengths = np.array([len(marked[i]) for i in chosen])
-        total = forward[np.arange(len(chosen)), lengths]
-        out[chosen] = total
-        if counts is not None:
-            backward = _recursion(arcs, weight, shape, 2, 1, -1)
-            share = np.exp(forward[arcs[0], arcs[1]] + weight + backward[arcs[0], arcs[2]] - total[arcs[0]])
-            each = np.bincount(arcs[3], share * counts[chosen][arcs[0]], minlength=len(longer))
-            expected += each[: vocab.size]
-            for k, s in enumerate(spelt):
-                np.add.at(expected, s, each[vocab.size + k])
+        out[chosen], more = _score_block([marked[i] for i in chosen], logp, vocab, None if counts is None else counts[chosen])
+        if more is not None:
+            expected += more
         at = to
     return out, expected
 
