@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from batchlens.llm.counting import token_counts
 from batchlens.llm.lattice import lattice_scores
 from batchlens.llm.licences import scan_licences
+from batchlens.llm.neardup import near_duplicates
 from batchlens.llm.packing import pack
 from batchlens.llm.pii import replace_entities
 from batchlens.llm.quality import quality_rules
@@ -69,3 +70,8 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), rounds=2)
+
+
+@query()
+def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
