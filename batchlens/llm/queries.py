@@ -12,6 +12,7 @@ from batchlens.llm.neardup import near_duplicates
 from batchlens.llm.packing import pack
 from batchlens.llm.pii import replace_entities
 from batchlens.llm.quality import quality_rules
+from batchlens.llm.substrings import remove_repeats
 from batchlens.sources.shared import run_folder
 
 QUERIES: dict = {}
@@ -75,3 +76,8 @@ def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
+@query()
+def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200)
