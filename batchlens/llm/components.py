@@ -26,15 +26,17 @@ def _hang(links: DataFrame, larger: bool) -> DataFrame:
     return settle(moved.filter("u <> v").distinct())
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """A count and a hash of a set of edges, to see whether a round changed it."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (columns ``a``, ``b``); the root is the smallest node."""
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = settle(edges)
-    while True:
-        after = _hang(_hang(edges, True), False)
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
-            break
-        edges = after
+    edges, mark = settle(edges), None
+    while (now := _mark(edges)) != mark:
+        edges, mark = _hang(_hang(edges, True), False), now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

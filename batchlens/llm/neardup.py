@@ -5,14 +5,15 @@ frequency, the mean of those of its words; document frequencies are counted over
 all rows in ``BUCKETS`` hash buckets of words, a table of fixed size.  Improved
 consistent weighted sampling draws one (shingle, level) a hash so that two texts
 draw the same with the probability of their weighted Jaccard similarity; its random
-triples come from a pool per hash.  Ten bands of three hashes make 99.9 % of the
-pairs at similarity 0.8 candidates.
+triples come from a pool per hash.  Texts that share two of twelve bands of three
+hashes are candidates: 99.7 % of the pairs at similarity 0.8, and hardly any of the
+many that only share a passage, so buckets are groups of near-copies.
 
-Equal texts are one text throughout.  The texts of a bucket are compared with its
-centre, the smallest key in it, by their exact weighted Jaccard similarity.  Those
-that are not similar to it elect a centre of their own, and so on until every text
-of the bucket has linked or been a centre; no bucket is cut off and none is paired
-out.  Classes are the connected components of the links.
+Equal texts are one text throughout.  The texts of a bucket (of two bands) are
+compared with its centre, the smallest key in it, by their exact weighted Jaccard
+similarity.  Those that are not similar to it elect a centre of their own, and so on
+until every text of the bucket has linked or been a centre; no bucket is cut off and
+none is paired out.  Classes are the connected components of the links.
 
 Result: per row ``doc_id``, ``class_id`` (the smallest id in the class), its
 number of rows, of links of the row's text, and ``kept`` (true for one row of each
@@ -38,7 +39,7 @@ from batchlens.llm.words import hash_words, mix, shingles
 from batchlens.sources.shared import settle
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 10, 3
+BANDS, ROWS = 12, 3
 BUCKETS = 1 << 16
 _POOL_BITS = 14
 
@@ -160,8 +161,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: fl
 def near_links(docs: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """``a, b``: links between keys of distinct texts."""
     per_text = rows.filter("bands is not null").groupBy("key").agg(F.first("bands").alias("bands"))
-    bands = per_text.select("key", F.posexplode("bands").alias("_nth", "_band"))
-    bands = settle(bands.select("key", F.xxhash64("_nth", "_band").alias("band")))
+    one = settle(per_text.select("key", F.posexplode("bands").alias("_nth", "_band")))
+    shared = settle(one.groupBy("_nth", "_band").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"))
+    own = one.join(shared, ["_nth", "_band"]).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("_nth", "_band"))).alias("_own"))
+    other = own.select("key", F.posexplode("_own").alias("_at", "_a"), "_own")  # at most one a band
+    both = F.transform(F.slice("_own", F.col("_at") + 2, F.lit(BANDS)), lambda b: F.xxhash64("_a", b))
+    bands = settle(other.select("key", F.explode(both).alias("band")))
 
     def with_centres(members: DataFrame) -> DataFrame:
         """Members of buckets with others in them, each with its bucket's centre."""
@@ -182,8 +187,7 @@ def near_links(docs: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: flo
         linked = seen.filter("linked").select("centre", "key")
         rest = open_.filter("key <> centre").join(linked, ["centre", "key"], "left_anti").select("key", "band")
         open_ = with_centres(rest)
-    spark = docs.sparkSession
-    return settle(links) if links is not None else spark.createDataFrame([], "a binary, b binary")
+    return settle(links) if links is not None else docs.sparkSession.createDataFrame([], "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
