@@ -10,6 +10,7 @@ from batchlens.llm.lattice import lattice_scores
 from batchlens.llm.licences import scan_licences
 from batchlens.llm.neardup import near_duplicates
 from batchlens.llm.packing import pack
+from batchlens.llm.passages import repeated_passages
 from batchlens.llm.pii import replace_entities
 from batchlens.llm.quality import quality_rules
 from batchlens.llm.substrings import remove_repeats
@@ -81,3 +82,9 @@ def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
+@query()
+def op5_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of at least 50 words that two documents share, up to a fifth of their words."""
+    return repeated_passages(table(spark, sf_dir, "documents"), min_words=50, identity=0.8)
