@@ -48,14 +48,14 @@ def _bucket(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(48)).astype(np.int64)
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
+def inverse_frequencies(docs: DataFrame, fold: bool = False) -> np.ndarray:
     """log((1 + documents) / (1 + documents with a word of the bucket)) + 1 for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows = np.zeros(BUCKETS + 1, np.int64), 0
         for whole in batches:
             for batch in slices(whole):
-                words, bounds = hash_words(batch.column(0).to_pylist())
+                words, bounds = hash_words(batch.column(0).to_pylist(), fold)
                 owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 seen = np.unique(owner * BUCKETS + _bucket(words)) % BUCKETS
                 counts[:BUCKETS] += np.bincount(seen, minlength=BUCKETS)

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from batchlens.llm.counting import token_counts
+from batchlens.llm.decontam import leaks
 from batchlens.llm.lattice import lattice_scores
 from batchlens.llm.licences import scan_licences
 from batchlens.llm.neardup import near_duplicates
@@ -88,3 +89,8 @@ def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of at least 50 words that two documents share, up to a fifth of their words."""
     return repeated_passages(table(spark, sf_dir, "documents"), min_words=50, identity=0.8)
+
+
+@query()
+def op4_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -17,6 +17,7 @@ BLOCK = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_NO_MARKS = bytes(32 if i < 128 and not chr(i).isalnum() and not _IS_SPACE[i] else i for i in range(256))
 _STEP = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 _BYTE = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -52,9 +53,14 @@ def _block_hashes(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[end] - sums[start]) * inverse[start]), start
 
 
-def hash_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def folded(text: str | None) -> bytes:
+    """Lower case, ASCII punctuation as blanks."""
+    return (text or "").lower().encode().translate(_NO_MARKS)
+
+
+def hash_words(texts: list[str | None], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words, and the bounds of each text among them (one more than there are texts)."""
-    bodies = [(t or "").encode() for t in texts]
+    bodies = [folded(t) if fold else (t or "").encode() for t in texts]
     joined = b"\n".join(bodies)
     hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     while at < len(joined):
