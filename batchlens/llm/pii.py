@@ -44,6 +44,11 @@ SYLLABLES = {
 }
 
 _GIVEN = "|".join(" ".join([*FEMALE.values(), *MALE.values()]).split())
+_SECRET_WORDS = [w for word in ("pass", "token", "secret", "key") for w in (word, word.capitalize(), word.upper())]
+_BEFORE_SECRET = "|".join(
+    form for word in ("password", "passwd", "token", "secret", "api_key", "api-key", "apikey")
+    for form in (word, word.capitalize(), word.upper())
+)
 _NAME = r"\p{Lu}[\p{L}'’-]{1,40}+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
@@ -52,16 +57,26 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"""(?<=\b(?i:password|passwd|token|secret|api[_-]?key) ?[=:] ?["']?)[A-Za-z0-9_+/-]{6,512}+""",
+    "secret": rf"""(?<=\b(?:{_BEFORE_SECRET}) ?[=:] ?["']?)[A-Za-z0-9_+/-]{{6,512}}+""",
     "mac": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.+-])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?!\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\d)",
-    "person": rf"(?:(?<=\b(?:{TITLES})\.? )|(?<![\p{{L}}])(?=(?:{_GIVEN}) {_NAME})){_NAME}(?: {_NAME})?",
+    "person": rf"(?=\p{{Lu}})(?:(?<=\b(?:{TITLES})\.? )|(?<!\p{{L}})(?=(?:{_GIVEN}) {_NAME})){_NAME}(?: {_NAME})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+
+
+def has_entity(text: Column) -> Column:
+    """Whether ``ANY`` is found.  Quick tests go first: a mail address has an @, most others a digit."""
+    quick = text.rlike("[0-9@]") | text.contains("AKIA") | text.rlike(":[A-Fa-f]{2}:")
+    for word in _SECRET_WORDS:  # part of what stands before any secret
+        quick = quick | text.contains(word)
+    return (quick | text.rlike(PATTERNS["person"])) & text.rlike(ANY)
+
+
 _SHAPES = {  # of an entity by itself, without what stood before it
     "email": "@",
     "access_key": r"^AKIA[0-9A-Z]{16}$",
@@ -88,12 +103,17 @@ def parts_of(entity: Column) -> Column:
     return F.when(kind_of(entity) == "person", F.split(entity, " ")).otherwise(F.array(entity))
 
 
+def _keyed(key: str, seed: Column) -> Column:
+    """256 hexadecimal digits that nobody can tell from random ones without the key."""
+    keyed = F.sha2(F.concat(F.lit(key), F.sha2(F.concat(F.lit(key + ":"), seed), 256)), 512)
+    return F.concat(keyed, F.sha2(F.concat(keyed, F.lit(key)), 512))
+
+
 class _Draw:
-    """Numbers that follow from the key, the entity and the attempt, at any place 0, 1, 2, …"""
+    """Numbers at any place 0, 1, 2, … of a column of such digits (a column, so they are made once an entity)."""
 
-    def __init__(self, key: str, seed: Column) -> None:
-        keyed = F.sha2(F.concat(F.lit(key), F.sha2(F.concat(F.lit(key + ":"), seed), 256)), 512)
-        self.hex = F.concat(keyed, F.sha2(F.concat(keyed, F.lit(key)), 512))
+    def __init__(self, digits: str) -> None:
+        self.hex = F.col(digits)
 
     def number(self, place: Column | int, below: int) -> Column:
         place = F.lit(place) if isinstance(place, int) else place
@@ -168,13 +188,12 @@ def _name(part: Column, draw: _Draw, attempt: Column) -> Column:
     )
 
 
-def surrogate(kind: Column, part: Column, attempt: Column, key: str) -> Column:
-    """The replacement of one entity at one attempt."""
-    draw = _Draw(key, F.concat_ws("\0", kind, part, attempt.cast("string")))
+def _surrogate(kind: Column, part: Column, attempt: Column) -> Column:
+    """The replacement of one entity at one attempt, from the columns that ``with_surrogates`` adds."""
+    draw, of_domain = _Draw("_digits"), _Draw("_of_domain")
     at = F.instr(part, "@")
     domain = F.substring(part, at + F.lit(1), F.length(part))
     labels = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1)
-    of_domain = _Draw(key, F.concat_ws("\0", F.lit("domain"), domain))
     email = F.concat(
         _same_form(F.substring(part, F.lit(1), at - F.lit(1)), draw),
         F.lit("@"),
@@ -205,11 +224,21 @@ def surrogate(kind: Column, part: Column, attempt: Column, key: str) -> Column:
     return out
 
 
+def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """``kind, part, attempt, surrogate`` from the first three."""
+    kind, part, attempt = F.col("kind"), F.col("part"), F.col("attempt")
+    domain = F.substring_index(part, "@", -1)
+    drawn = entities.select(
+        "kind", "part", "attempt",
+        _keyed(key, F.concat_ws("\0", kind, part, attempt.cast("string"))).alias("_digits"),
+        _keyed(key, F.concat_ws("\0", F.lit("domain"), domain)).alias("_of_domain"),
+    )
+    return drawn.withColumn("surrogate", _surrogate(kind, part, attempt)).drop("_digits", "_of_domain")
+
+
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     """``kind, part, surrogate`` for distinct ``kind, part``: no two alike, none that is an entity itself."""
-    columns = ["kind", "part", "attempt", "surrogate"]
-    made = surrogate(F.col("kind"), F.col("part"), F.col("attempt"), key)
-    drawn = settle(entities.select("kind", "part").distinct().withColumn("attempt", F.lit(0)).withColumn("surrogate", made))
+    drawn = settle(with_surrogates(entities.select("kind", "part").distinct().withColumn("attempt", F.lit(0)), key))
     while True:
         order = Window.partitionBy("kind", "surrogate").orderBy("attempt", "part")
         real = drawn.select("kind", F.col("part").alias("surrogate"), F.lit(True).alias("_real"))
@@ -218,8 +247,8 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
         if clash.isEmpty():
             return drawn.select("kind", "part", "surrogate")
         again = drawn.join(clash, ["kind", "part"]).select("kind", "part", (F.col("attempt") + 1).alias("attempt"))
-        kept = drawn.join(clash, ["kind", "part"], "left_anti").select(*columns)
-        drawn = settle(kept.unionByName(again.withColumn("surrogate", made).select(*columns)))
+        kept = drawn.join(clash, ["kind", "part"], "left_anti")
+        drawn = settle(kept.unionByName(with_surrogates(again, key)))
 
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
@@ -230,7 +259,7 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """
     others = [c for c in docs.columns if c.lower() not in ("text", "n_entities")]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col("text").alias("_text"))
-    found = F.coalesce(F.col("_text").rlike(ANY), F.lit(False))
+    found = F.coalesce(has_entity(F.col("_text")), F.lit(False))
     names = [F.col("row").getField(c).alias(c) for c in others]
     free = rows.filter(~found).select(*names, F.col("_text").alias("text"), F.lit(0).alias("n_entities"))
     held = rows.filter(found).withColumn("_key", content_key("_text"))
