@@ -9,9 +9,29 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from batchlens.sources import shared
+
 SLICE_ROWS, SLICE_CHARS = 256, 1 << 20
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there; the shuffles it took are removed at once.
+
+    Nothing reads them again, and else they would stay on the executors' disks until
+    the driver happens to collect its garbage.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return shared.settle(df)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def content_key(text: str | Column = "text") -> Column:
     """16 bytes that stand for a text, null for a null text; equal for equal texts only, as far as MD5 goes."""
     return F.unhex(F.md5(F.col(text) if isinstance(text, str) else text))

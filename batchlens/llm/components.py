@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchlens.sources.shared import settle
+from batchlens.llm.common import settle
+
 
 
 def _hang(links: DataFrame, larger: bool) -> DataFrame:

@@ -19,9 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchlens.llm.common import file_exists, map_slices
+from batchlens.llm.common import file_exists, map_slices, settle
 from batchlens.llm.tokens import encoder
-from batchlens.sources.shared import settle
 
 CACHE = "tokenizer string, digest binary, n_tokens bigint"
 

@@ -36,8 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchlens.llm.common import slices
-from batchlens.sources.shared import settle
+from batchlens.llm.common import settle, slices
 
 FREQUENT = 100_000  # words, some 25 MB in a task
 HELD_OUT = 10  # one row in so many

@@ -24,9 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchlens.llm.common import map_slices
+from batchlens.llm.common import map_slices, settle
 from batchlens.llm.tokens import encoder
-from batchlens.sources.shared import settle
 
 SLICE_PIECES = 200_000  # pieces of one length that one task ranks, on average
 

@@ -22,8 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchlens.llm.common import content_key
-from batchlens.sources.shared import settle
+from batchlens.llm.common import content_key, settle
 
 # Titles, given names by script and gender, and syllables for invented names.
 TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Signor|Signora|господин|госпожа|κύριος|κυρία"

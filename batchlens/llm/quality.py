@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchlens.llm.common import map_slices, slices
-from batchlens.sources.shared import settle
+from batchlens.llm.common import map_slices, settle, slices
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct")
 RATES = ("mean word length", "symbols a word", "repeated lines", "repeated words", "distinct words")

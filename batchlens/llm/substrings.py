@@ -40,9 +40,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchlens.llm.common import slices
+from batchlens.llm.common import settle, slices
 from batchlens.llm.words import mix
-from batchlens.sources.shared import settle
 
 GRAM, TRIGGER_BITS, ANCHOR = 12, 5, 40
 PART_BYTES = 16 << 20  # of text whose keys one task puts in order
