@@ -9,11 +9,14 @@ triples come from a pool per hash.  Texts that share two of twelve bands of thre
 hashes are candidates: 99.7 % of the pairs at similarity 0.8, and hardly any of the
 many that only share a passage, so buckets are groups of near-copies.
 
-Equal texts are one text throughout.  The texts of a bucket (of two bands) are
-compared with its centre, the smallest key in it, by their exact weighted Jaccard
-similarity.  Those that are not similar to it elect a centre of their own, and so on
-until every text of the bucket has linked or been a centre; no bucket is cut off and
-none is paired out.  Classes are the connected components of the links.
+Equal texts are one text throughout.  All texts of a bucket (of two bands) are
+compared with its centre, drawn by hash, by their exact weighted Jaccard similarity.
+Those that are not similar to it get another centre, for ``ROUNDS`` rounds; no bucket
+is cut off and none is paired out.  Two similar texts share about 19 buckets, each
+with centres of its own, so they meet directly or through a third text in some of
+them.  Classes are the connected components of the links.  This ends with every pair
+compared in buckets of up to ``ROUNDS`` + 1 texts; in larger ones of which most texts
+are not quite similar (near-copies of near-copies), a link may go unseen.
 
 Result: per row ``doc_id``, ``class_id`` (the smallest id in the class), its
 number of rows, of links of the row's text, and ``kept`` (true for one row of each
@@ -33,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchlens.llm.common import content_key, slices
+from batchlens.llm.common import content_key, settle, slices
 from batchlens.llm.components import components
 from batchlens.llm.words import hash_words, mix, shingles
-from batchlens.sources.shared import settle
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
+ROUNDS = 6
 BUCKETS = 1 << 16
 _POOL_BITS = 14
 
@@ -168,26 +171,30 @@ def near_links(docs: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: flo
     both = F.transform(F.slice("_own", F.col("_at") + 2, F.lit(BANDS)), lambda b: F.xxhash64("_a", b))
     bands = settle(other.select("key", F.explode(both).alias("band")))
 
-    def with_centres(members: DataFrame) -> DataFrame:
+    def with_centres(members: DataFrame, nth: int) -> DataFrame:
         """Members of buckets with others in them, each with its bucket's centre."""
-        centres = members.groupBy("band").agg(F.min("key").alias("centre"), F.count(F.lit(1)).alias("_n"))
+        drawn = F.xxhash64("band", "key", F.lit(nth))
+        centres = members.groupBy("band").agg(F.min_by("key", drawn).alias("centre"), F.count(F.lit(1)).alias("_n"))
         return settle(members.join(settle(centres.filter("_n > 1").drop("_n")), "band"))
 
-    open_ = with_centres(bands)
+    open_ = with_centres(bands, 0)
     wanted = open_.select("key").distinct()
     body = docs.filter("text is not null").select(content_key().alias("key"), "text")
     texts = settle(body.join(settle(wanted), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
-    links, seen = None, None
-    while not open_.isEmpty():
-        pairs = open_.filter("key <> centre").select("centre", "key").distinct()
-        done = settle(_verified(pairs if seen is None else pairs.join(seen, ["centre", "key"], "left_anti"), texts, idf, threshold))
-        seen = done if seen is None else settle(seen.unionByName(done))
-        found = done.filter("linked").select(F.col("centre").alias("a"), F.col("key").alias("b"))
-        links = found if links is None else links.unionByName(found)
-        linked = seen.filter("linked").select("centre", "key")
-        rest = open_.filter("key <> centre").join(linked, ["centre", "key"], "left_anti").select("key", "band")
-        open_ = with_centres(rest)
-    return settle(links) if links is not None else docs.sparkSession.createDataFrame([], "a binary, b binary")
+    seen: DataFrame | None = None
+    for nth in range(1, ROUNDS + 1):
+        pairs = open_.filter("key <> centre").select(F.least("centre", "key").alias("centre"), F.greatest("centre", "key").alias("key"))
+        pairs = pairs.distinct() if seen is None else pairs.distinct().join(seen, ["centre", "key"], "left_anti")
+        done = _verified(pairs, texts, idf, threshold)
+        seen = settle(done if seen is None else seen.unionByName(done))
+        if nth < ROUNDS:
+            linked = seen.filter("linked").select("centre", "key")
+            linked = linked.unionByName(linked.select(F.col("key").alias("centre"), F.col("centre").alias("key")))
+            rest = open_.filter("key <> centre").join(linked, ["centre", "key"], "left_anti").select("key", "band")
+            open_ = with_centres(rest, nth)
+            if open_.isEmpty():
+                break
+    return settle(seen.filter("linked").select(F.col("centre").alias("a"), F.col("key").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
