@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Benchmark items (in parts of at most ``PART`` words) are queries, taken in blocks
-   of ``BLOCK``.  A block's terms are its words that are not in too many documents;
-   words weigh their inverse document frequency over all documents.
+   of ``BLOCK``.  A block's terms are its words that are not in too many documents
+   (and all words of items that have few such words); words weigh their inverse document frequency over all documents.
 2. A randomised SVD of the passages' TF-IDF matrix over these terms: every task adds
    up its passages' share of A'A times a random matrix, the shares are summed, and a
    Nyström step gives singular values and term vectors.  The block's own items are
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchlens.llm.common import slices
-from batchlens.llm.neardup import BUCKETS, inverse_frequencies
+from batchlens.llm.neardup import BUCKETS, bucket_of, inverse_frequencies
 from batchlens.llm.passages import common_subsequence
 from batchlens.llm.words import hash_words
 
@@ -84,13 +84,15 @@ class Terms:
 
     @staticmethod
     def of(items: Items, idf: np.ndarray) -> Terms:
-        every = idf - 1
         known = np.unique(np.concatenate(items.words))
-        weights = every[(known >> np.uint64(48)).astype(np.int64)]
-        some = weights > -np.log(COMMON)
-        if not some.any():
-            some[:] = True
-        return Terms(known[some], np.maximum(weights[some], 1e-3).astype(np.float32), every.astype(np.float32))
+        weights = idf[bucket_of(known)]
+        some = weights > 1 - np.log(COMMON)
+        for words in items.words:  # an item of common words keeps them all
+            own = np.searchsorted(known, words)
+            energy = weights[own] ** 2
+            if energy[some[own]].sum() < energy.sum() / 2:
+                some[own] = True
+        return Terms(known[some], weights[some].astype(np.float32), idf.astype(np.float32))
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of terms among ``words``, and which terms."""
@@ -205,7 +207,7 @@ class Search:
             found = np.zeros((len(self.items.words), self.vectors.shape[1]), np.float32)
             for i, words in enumerate(self.items.words):
                 _, term = self.terms.find(words)
-                weight = self.terms.all_weights[(words >> np.uint64(48)).astype(np.int64)]
+                weight = self.terms.all_weights[bucket_of(words)]
                 norm = float(np.sqrt((weight.astype(float) ** 2).sum())) or 1.0
                 found[i] = (self.vectors[term] * self.terms.weights[term][:, None]).sum(0) / norm
             object.__setattr__(self, "_latent", found)
@@ -213,7 +215,7 @@ class Search:
 
     def candidates(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(text, first word in it, part, cosine) of all windows near a part."""
-        weight = self.terms.all_weights[(words >> np.uint64(48)).astype(np.int64)].astype(float)
+        weight = self.terms.all_weights[bucket_of(words)].astype(float)
         squares = np.concatenate([[0.0], np.cumsum(weight**2)])
         at, term = self.terms.find(words)
         value = self.terms.weights[term]

@@ -47,7 +47,7 @@ BUCKETS = 1 << 16
 _POOL_BITS = 14
 
 
-def _bucket(words: np.ndarray) -> np.ndarray:
+def bucket_of(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(48)).astype(np.int64)
 
 
@@ -60,7 +60,7 @@ def inverse_frequencies(docs: DataFrame, fold: bool = False) -> np.ndarray:
             for batch in slices(whole):
                 words, bounds = hash_words(batch.column(0).to_pylist(), fold)
                 owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                seen = np.unique(owner * BUCKETS + _bucket(words)) % BUCKETS
+                seen = np.unique(owner * BUCKETS + bucket_of(words)) % BUCKETS
                 counts[:BUCKETS] += np.bincount(seen, minlength=BUCKETS)
                 rows += batch.num_rows
         counts[BUCKETS] = rows
@@ -79,7 +79,7 @@ def weighted_shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, n
     every = shingles(words, SHINGLE)
     if not len(every):
         return every, np.zeros(0)
-    sums = np.concatenate([[0.0], np.cumsum(idf[_bucket(words)])])
+    sums = np.concatenate([[0.0], np.cumsum(idf[bucket_of(words)])])
     n = min(SHINGLE, len(words))
     mean = np.round((sums[n:] - sums[:-n]) / n, 6)  # running sums differ in the last bits from text to text
     distinct, first, times = np.unique(every, return_index=True, return_counts=True)
