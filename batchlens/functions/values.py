@@ -28,22 +28,23 @@ def parse_decimal(value: Column, kind: str = DECIMAL) -> Column:
     return F.trim(value.cast("string")).try_cast(kind)
 
 
-def decimal_places(value: Column) -> Column:
+def decimal_places(value: Column, kind: str = DECIMAL) -> Column:
     """Digits after the point once trailing zeros are gone; 0 for whole numbers.
 
     Only the fraction matters, and adding 1 to it keeps its text free of
-    scientific notation (``1.0001`` rather than ``1E-4``).
+    scientific notation (``1.0001`` rather than ``1E-4``).  ``kind`` is the type of a
+    decimal column; other values are read as one.
     """
-    text = (F.abs(value.cast(DECIMAL)) % F.lit(1) + F.lit(1)).cast("string")
+    text = (F.abs(value.cast(kind)) % F.lit(1) + F.lit(1)).cast("string")
     return F.when(
         value.isNotNull(),
         F.length(F.regexp_extract(F.regexp_replace(text, "0+$", ""), "[.](.*)$", 1)),
     )
 
 
-def round_half_up(value: Column, places: int) -> Column:
-    """Round a decimal half away from zero; a decimal in and a decimal out."""
-    return F.round(value.cast(DECIMAL), places).cast(DECIMAL)
+def round_half_up(value: Column, places: int, kind: str = DECIMAL) -> Column:
+    """Round a decimal of type ``kind`` half away from zero; the same type comes out."""
+    return F.round(value.cast(kind), places).cast(kind)
 
 
 def present_count(columns: Sequence[str]) -> Column:

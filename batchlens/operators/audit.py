@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchlens.functions import hash_text, parse_decimal
+from batchlens.functions import DECIMAL, hash_text, parse_decimal
 
 
-def audit_types(raw: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Values that are there but are no decimal: how many per attribute, and the three smallest.
+def audit_types(raw: DataFrame, cols: Sequence[str], kind: str = DECIMAL) -> DataFrame:
+    """Values that are there but are no decimal of type ``kind``: how many per attribute, and the three smallest.
 
     Bad values are counted per (attribute, value) first, so a value repeated a
     billion times is one row by the time examples are chosen, and a rank limit
@@ -21,7 +21,7 @@ def audit_types(raw: DataFrame, cols: Sequence[str]) -> DataFrame:
     bad = (
         raw.select(*text)
         .unpivot([], list(cols), "attribute", "raw")
-        .filter(F.col("raw").isNotNull() & (F.trim("raw") != "") & parse_decimal(F.col("raw")).isNull())
+        .filter(F.col("raw").isNotNull() & (F.trim("raw") != "") & parse_decimal(F.col("raw"), kind).isNull())
     )
     tallied = bad.groupBy("attribute", "raw").agg(F.count(F.lit(1)).alias("n"))
     totals = tallied.groupBy("attribute").agg(F.sum("n").alias("n_bad"))
@@ -34,6 +34,17 @@ def audit_types(raw: DataFrame, cols: Sequence[str]) -> DataFrame:
     return totals.join(examples, "attribute").orderBy("attribute")
 
 
+def refuse_bad_values(raw: DataFrame, cols: Sequence[str], kind: str = DECIMAL) -> None:
+    """An error that names the attributes with values that are no decimal of type ``kind``, and how many they are.
+
+    Making such values null would have them filled in with a median later on.
+    """
+    bad = audit_types(raw, cols, kind).collect()  # one row per attribute
+    if bad:
+        said = "; ".join(f"{r['attribute']}: {r['n_bad']} ({r['examples']})" for r in bad)
+        raise ValueError(f"values that are no {kind}: {said}")
+
+
 def audit_nulls(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Columns that still hold nulls, with how many."""
     counts = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in cols])

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from batchlens.functions import DECIMAL, decimal_places, parse_decimal, round_half_up
 from batchlens.operators.quantiles import median_values
@@ -32,10 +33,16 @@ def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
+def decimal_type(df: DataFrame, col: str) -> str:
+    """The column's own decimal type; the usual one for columns of other types."""
+    kind = df.schema[col].dataType
+    return kind.simpleString() if isinstance(kind, DecimalType) else DECIMAL
+
+
 def precision_table(df: DataFrame, col: str) -> DataFrame:
     """Every value of one column with the decimal places it uses."""
     return df.filter(F.col(f"`{col}`").isNotNull()).select(
-        F.col(f"`{col}`").alias("value"), decimal_places(F.col(f"`{col}`")).alias("places")
+        F.col(f"`{col}`").alias("value"), decimal_places(F.col(f"`{col}`"), decimal_type(df, col)).alias("places")
     )
 
 
@@ -55,7 +62,7 @@ def mode_smallest(df: DataFrame, by: Sequence[str], col: str, name: str = "mode"
 
 def column_precision(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Usual number of decimal places of each column, at least 1; null for an empty column."""
-    places = df.select(*[decimal_places(F.col(f"`{c}`")).alias(c) for c in cols])
+    places = df.select(*[decimal_places(F.col(f"`{c}`"), decimal_type(df, c)).alias(c) for c in cols])
     modes = mode_smallest(places.unpivot([], list(cols), "attribute", "places"), ["attribute"], "places")
     names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(cols)], "position int, attribute string")
     return (
@@ -69,7 +76,7 @@ def normalize_precision(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame,
     rows = column_precision(df, cols).collect()  # one small number per column
     places = {r["attribute"]: r["places"] for r in rows}
     rounded = df.withColumns(
-        {c: round_half_up(F.col(f"`{c}`"), places[c]) for c in cols if places[c] is not None}
+        {c: round_half_up(F.col(f"`{c}`"), places[c], decimal_type(df, c)) for c in cols if places[c] is not None}
     )
     summary = df.sparkSession.createDataFrame(
         [(c, places[c]) for c in cols], "attribute string, places int"

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchlens.functions import finite_only
@@ -15,6 +15,8 @@ from batchlens.operators.quantiles import quantile_values
 from batchlens.operators.ranking import sample_flags
 from batchlens.sources.shared import settle
 
+_SETTINGS = 1000  # groups that one box summary compares
+
 
 def label_outliers(
     scores: DataFrame,
@@ -257,29 +259,34 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 def box_summary(df: DataFrame, by: str, col: str, k: float = 1.5) -> DataFrame:
     """Quartiles, whisker ends (the last values inside the fences) and values beyond, per group.
 
-    Repeated values are counted before the quartiles are taken; the groups are
-    the few settings being compared.
+    The groups are the few settings being compared: each becomes a column, and exact
+    quartiles of all columns are found together by counting, so no task has to sort
+    a group.
     """
-    counted = df.filter(F.col(col).isNotNull()).groupBy(by, col).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(by).orderBy(col)
-    ranked = counted.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(Window.partitionBy(by))})
-
-    def quartile(p: float) -> Column:
-        place = (F.col("_all") - 1) * F.lit(p)
-        at = lambda k: F.max(F.when((F.col("_upto") > k) & (F.col("_upto") - F.col("_n") <= k), F.col(col)))
-        low, high = at(F.floor(place)), at(F.ceil(place))
-        return low + (high - low) * F.max(place - F.floor(place))
-
-    boxes = ranked.groupBy(by).agg(*[quartile(p).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    spark = df.sparkSession
+    groups = [r[by] for r in df.filter(F.col(col).isNotNull()).select(by).distinct().orderBy(by).limit(_SETTINGS + 1).collect()]
+    if len(groups) > _SETTINGS:
+        raise ValueError(f"more than {_SETTINGS} groups to compare in {by}")
+    names = [f"g{i}" for i in range(len(groups))]
+    wide = df.select(
+        *[F.when(F.col(by).eqNullSafe(F.lit(g)), F.col(col).cast("double")).alias(n) for n, g in zip(names, groups)]
+    )
+    ps = (0.25, 0.5, 0.75)
+    values = quantile_values(wide, names, ps) if names else {}
+    kind = df.schema[by].dataType.simpleString()
+    boxes = spark.createDataFrame(
+        [(g, *[values[n, p] for p in ps]) for n, g in zip(names, groups)], f"`{by}` {kind}, q1 double, median double, q3 double"
+    )
     low, high = F.col("q1") - k * (F.col("q3") - F.col("q1")), F.col("q3") + k * (F.col("q3") - F.col("q1"))
-    inside = F.col(col).between(low, high)
+    inside = F.col("_value").between(low, high)
+    rows = df.filter(F.col(col).isNotNull()).select(F.col(by).alias("_by"), F.col(col).alias("_value"))
     return (
-        counted.join(F.broadcast(boxes), by)  # one row per setting
+        rows.join(F.broadcast(boxes), F.col("_by").eqNullSafe(F.col(by)))  # at most _SETTINGS rows
         .groupBy(by, "q1", "median", "q3")
         .agg(
-            F.min(F.when(inside, F.col(col))).alias("whisker_low"),
-            F.max(F.when(inside, F.col(col))).alias("whisker_high"),
-            F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("n_fliers"),
+            F.min(F.when(inside, F.col("_value"))).alias("whisker_low"),
+            F.max(F.when(inside, F.col("_value"))).alias("whisker_high"),
+            F.count_if(~inside).alias("n_fliers"),
         )
         .orderBy(by)
     )

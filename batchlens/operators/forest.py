@@ -536,9 +536,12 @@ def _scores(totals: DataFrame, key: str, names: Mapping[tuple[int, int], str], p
 
 
 def score(df: DataFrame, cols: Sequence[str], nodes: DataFrame, psi: int, key: str = "row_key") -> DataFrame:
-    """Score rows against a stored node table grown from ``psi`` rows per tree."""
+    """Score rows against a stored node table grown from ``psi`` rows per tree; refuses gaps, as growing does."""
     trees = nodes.agg(F.max("tree")).first()[0]
     rows = _matrix(df, list(cols), key, {})
+    gaps = rows.filter(F.greatest(*[(F.col(f"x{i}").isNull() | F.isnan(f"x{i}")).cast("int") for i in range(len(cols))], F.lit(0)) > 0).count()
+    if gaps:
+        raise ValueError(f"{gaps} rows have missing attribute values; impute them first")
     return _scores(_walk_all(rows, nodes, len(cols), 0, [trees]), key, {(0, trees): ""}, {0: psi})
 
 

@@ -15,17 +15,17 @@ from dataclasses import dataclass, field
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 from functools import reduce
 from itertools import pairwise
-from math import ceil, floor
+from math import ceil, floor, isfinite
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from batchlens.functions import finite_only
 
 _BINS = 1024
-_EXAMINE = 1 << 20  # rows of one range that are ranked value by value
-_DIRECT = 1 << 17  # a column this short is ranked without narrowing it first
+_EXAMINE = 1 << 17  # rows of one range that are ranked value by value
+_PRECISION = 80  # digits of decimal arithmetic on the driver, for any two decimals of 38
 _ACCURACY = 10000  # of the sketch: ranks are off by at most n / _ACCURACY
 _MARGIN = 2 / _ACCURACY
 
@@ -72,19 +72,49 @@ def order_statistics(
         for c, n, low, high in zip(cols, ends["n"], ends["low"], ends["high"])
         if n
     ]
-    if near and any(r.size > min(examine, _DIRECT) for r in open_ranges):
-        points = {c: [_as_type(x, df.schema[c].dataType) for x in near] for c, near in zip(cols, ends["near"]) if near}
+    if near and any(r.size > examine for r in open_ranges):
+        ends_of = {r.col: (r.low, r.high) for r in open_ranges}
+        points = {
+            c: [_as_type(x, df.schema[c].dataType, *ends_of[c]) for x in near]
+            for c, near in zip(cols, ends["near"])
+            if near and c in ends_of
+        }
         open_ranges = _proven(df, open_ranges, points)
-    while wide := [r for r in open_ranges if r.size > examine and r.low != r.high]:
-        narrow = [r for r in open_ranges if r not in wide]
-        open_ranges = narrow + _split(df, wide, found)
-    _rank_values(df, open_ranges, found)
+    final: list[_Range] = []
+    while open_ranges:
+        wide = [r for r in open_ranges if r.size > examine and r.low != r.high]
+        final += [r for r in open_ranges if r not in wide]
+        parents = {(r.col, r.low, r.high, r.size) for r in wide}
+        open_ranges = _split(df, wide, found) if wide else []
+        # a range of values too close to be told apart by a bin is ranked as it is
+        final += [r for r in open_ranges if (r.col, r.low, r.high, r.size) in parents]
+        open_ranges = [r for r in open_ranges if (r.col, r.low, r.high, r.size) not in parents]
+    _rank_values(df, final, found)
     return sizes, found
 
 
-def _as_type(value: float, kind):
-    """A sketch point in the type of its column: any point will do, an exact value of the column does best."""
-    return Decimal(repr(value)).quantize(Decimal(1).scaleb(-kind.scale)) if isinstance(kind, DecimalType) else value
+def _as_type(value: float, kind, low, high):
+    """A sketch point in the type of its column, inside its range: any point will do, a value of the column does best."""
+    if not isinstance(kind, DecimalType):
+        return value
+    with localcontext() as context:
+        context.prec = _PRECISION
+        return min(max(Decimal(repr(value)).quantize(Decimal(1).scaleb(-kind.scale)), low), high)
+
+
+def _place(r: _Range) -> Column:
+    """Where ``x`` lies in a range, from 0 to 1 and never falling as ``x`` grows.
+
+    Halves keep the width of any two doubles finite.  Decimals that share a double
+    are told apart by their distance from the lower end, which is small and exact.
+    """
+    x, low, high = F.col("x"), float(r.low) / 2, float(r.high) / 2
+    if isinstance(r.low, Decimal) and high - low <= 1e-9 * max(abs(low), abs(high)):
+        with localcontext() as context:
+            context.prec = _PRECISION
+            width = float(r.high - r.low)
+        return (x - F.lit(r.low)).cast("double") / F.lit(width)
+    return (x.cast("double") / 2 - F.lit(low)) / F.lit(high - low)
 
 
 def _proven(df: DataFrame, whole: list[_Range], near: dict[str, list]) -> list[_Range]:
@@ -122,10 +152,9 @@ def _tagged(df: DataFrame, ranges: list[_Range]) -> DataFrame:
 
 
 def _split(df: DataFrame, ranges: list[_Range], found: dict) -> list[_Range]:
-    number = [(F.lit(float(r.low)), F.lit(float(r.high))) for r in ranges]
-    low = F.element_at(F.array(*[a for a, _ in number]), F.col("t") + 1)
-    high = F.element_at(F.array(*[b for _, b in number]), F.col("t") + 1)
-    place = (F.col("x").cast("double") - low) / (high - low)
+    place = F.lit(0.0)
+    for i, r in enumerate(ranges):
+        place = F.when(F.col("t") == i, _place(r)).otherwise(place)
     bins = (
         _tagged(df, ranges)
         .groupBy("t", F.least(F.floor(place * _BINS), F.lit(_BINS - 1)).alias("b"))
@@ -161,7 +190,7 @@ def _rank_values(df: DataFrame, ranges: list[_Range], found: dict) -> None:
     ranges = [r for r in ranges if r.low != r.high and r.ranks]
     if not ranges:
         return
-    # At most _EXAMINE distinct values per window: _split saw to it.
+    # At most ``examine`` rows per window, or values that share a double: _split saw to it.
     running = Window.partitionBy("t").orderBy("x")
     wanted = F.element_at(
         F.array(*[F.array(*[F.lit(k - r.below).cast("bigint") for k in sorted(r.ranks)]) for r in ranges]), F.col("t") + 1
@@ -197,7 +226,9 @@ def quantile_values(
                 continue
             place = (sizes[c] - 1) * p
             low, high = float(found[c, floor(place)]), float(found[c, ceil(place)])
-            values[c, p] = low + (high - low) * (place - floor(place))
+            part = place - floor(place)
+            step = high - low
+            values[c, p] = low + step * part if isfinite(step) else low * (1 - part) + high * part
     return values
 
 
@@ -228,7 +259,7 @@ def median_values(df: DataFrame, cols: Sequence[str], examine: int = _EXAMINE) -
             medians[c] = None
             continue
         with localcontext() as context:
-            context.prec = 60
+            context.prec = _PRECISION
             middle = (found[c, (n - 1) // 2] + found[c, n // 2]) / 2
             medians[c] = middle.quantize(Decimal(1).scaleb(-kind.scale), ROUND_HALF_UP)
     return medians

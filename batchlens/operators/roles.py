@@ -6,8 +6,9 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 IDS = ("material_code", "component_code", "material_batch_nr", "component_batch_nr")
 COUNTER = "n_tests"
@@ -55,11 +56,18 @@ def prefix_columns(df: DataFrame, prefix: str) -> list[str]:
 
 
 def cast_roles(df: DataFrame, roles: Roles = Roles(), attribute_type: str | None = "double") -> DataFrame:
-    """Identifiers to text, counters to int, attributes to ``attribute_type`` (None: as they are)."""
+    """Identifiers to text, counters to int, attributes to ``attribute_type`` (None: as they are).
+
+    Text that is blank or no number becomes null; ``audit_types`` counts the latter.
+    """
     kinds = {"id": "string", "counter": "int", "attribute": attribute_type, "key": None}
-    return df.select(
-        *[
-            F.col(f"`{c}`").cast(kind).alias(c) if (kind := kinds[roles.role_of(c)]) else F.col(f"`{c}`")
-            for c in df.columns
-        ]
-    )
+
+    def typed(c: str) -> Column:
+        kind = kinds[roles.role_of(c)]
+        if kind is None:
+            return F.col(f"`{c}`")
+        if kind != "string" and isinstance(df.schema[c].dataType, StringType):
+            return F.trim(F.col(f"`{c}`")).try_cast(kind).alias(c)
+        return F.col(f"`{c}`").cast(kind).alias(c)
+
+    return df.select(*map(typed, df.columns))

@@ -41,11 +41,12 @@ def curate(
     drop: Sequence[str] = (),
     roles: Roles = Roles(),
 ) -> DataFrame:
-    """Canonical names, the busiest slice, no empty columns, a test count, identifiers first, types by role."""
+    """Canonical names, the busiest slice, no empty columns, a test count, identifiers first, types by role.
+
+    Attributes stay as they came, so ``clean`` gets every digit of them.
+    """
     df = settle(focus_slice(canonical_names(raw, renames).drop(*drop)))
     df = drop_empty_columns(df, roles.features(df))
     df = with_test_count(df, roles.features(df))
     first = [c for c in (*([ROW_KEY] if ROW_KEY in df.columns else []), *roles.ids, COUNTER)]
-    return cast_roles(order_columns(df, first), roles)
-
-
+    return cast_roles(order_columns(df, first), roles, attribute_type=None)

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchlens.functions import present_count
+from batchlens.functions import DECIMAL, present_count
+from batchlens.operators.audit import refuse_bad_values
 from batchlens.operators.components import ComponentModel, fit_pca, standardize, transform_pca
-from batchlens.operators.coverage import prune_low_coverage
+from batchlens.operators.coverage import drop_empty_columns, prune_low_coverage
 from batchlens.operators.evaluation import label_outliers, select_outliers
 from batchlens.operators.fences import deviation_summary, deviation_type, iqr_fences
 from batchlens.operators.forest import IsolationForest
@@ -19,12 +20,21 @@ from batchlens.operators.cleaning import impute_median, to_decimal, to_double
 from batchlens.sources.shared import settle
 
 
-def fence_screen(df: DataFrame, roles: Roles = Roles(), frac: float = 0.6) -> DataFrame:
-    """Fences alone, no forest: busiest slice, pruned and imputed, each row with its deviation type."""
-    cols = roles.features(df)
-    part = settle(focus_slice(df).withColumn(COUNTER, present_count(cols)))
-    part = to_decimal(prune_low_coverage(part, frac), cols)
-    filled = to_double(impute_median(part, cols), cols)
+def fence_screen(
+    df: DataFrame, roles: Roles = Roles(), frac: float = 0.6, kind: str = DECIMAL, refuse: bool = True
+) -> DataFrame:
+    """Fences alone, no forest: busiest slice, pruned and imputed, each row with its deviation type.
+
+    Empty columns go first: without fences of its own such a column would decide the
+    type.  Values that are no decimal are treated as ``clean`` treats them.
+    """
+    part = settle(drop_empty_columns(focus_slice(df), roles.features(df)))
+    cols = roles.features(part)
+    if refuse:
+        refuse_bad_values(part, cols, kind)
+    part = part.withColumn(COUNTER, present_count(cols))
+    exact = settle(to_decimal(prune_low_coverage(part, frac), cols, kind))
+    filled = settle(to_double(impute_median(exact, cols), cols))
     return filled.select(ROW_KEY, *roles.ids, deviation_type(iqr_fences(filled, cols)).alias("deviation_type"))
 
 

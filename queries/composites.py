@@ -226,7 +226,7 @@ _DEVIATION = f"WITH {FILLED_DOUBLES}, {fences_sql('filled')}"
 
 @BOOK.add("m24_deviation_type", _DEVIATION + f" SELECT row_key, {deviation_sql()} AS deviation_type FROM filled, fences")
 def deviation(spark, sf_dir):
-    return fence_screen(opv(spark, sf_dir).drop("cma7")).select("row_key", "deviation_type")
+    return fence_screen(opv(spark, sf_dir)).select("row_key", "deviation_type")
 
 
 @BOOK.add(

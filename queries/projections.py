@@ -45,9 +45,9 @@ def role_split(spark, sf_dir):
     return df.select(*Roles().features(df))
 
 
-@BOOK.add("p5_prefix_columns", f"WITH {OPV} SELECT {_ATTRS} FROM opv WHERE cma1 IS NOT NULL")
+@BOOK.add("p5_prefix_columns", f"WITH {OPV} SELECT {_ATTRS} FROM opv")
 def by_prefix(spark, sf_dir):
-    df = opv(spark, sf_dir).filter("cma1 is not null")
+    df = opv(spark, sf_dir)
     return df.select(*prefix_columns(df, "cma"))
 
 

@@ -34,8 +34,7 @@ def numbers():
 
 
 @pytest.mark.parametrize("examine", [1 << 20, 500, 3])
-def test_quantiles_and_medians(spark, numbers, examine, monkeypatch):
-    monkeypatch.setattr(q, "_DIRECT", 100 if examine < 1000 else 1 << 17)
+def test_quantiles_and_medians(spark, numbers, examine):
     cols = list(numbers.columns)
     df = spark.createDataFrame(numbers).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in cols])
     for (c, p), value in q.quantile_values(df, cols, [0.0, 0.03, 0.25, 0.5, 0.9, 1.0], examine).items():
@@ -49,6 +48,38 @@ def test_quantiles_and_medians(spark, numbers, examine, monkeypatch):
             assert medians[c] == statistics.median(values).quantize(Decimal(1).scaleb(-18), ROUND_HALF_UP)
 
 
+@pytest.mark.parametrize("examine", [1 << 20, 200, 3])
+@pytest.mark.parametrize(
+    "texts",
+    [
+        [f"{20_000_000_000 + 7 * i}.{i:018d}" for i in range(900)],  # wide decimals
+        [f"12345678901234567890.{i:018d}" for i in range(900)],  # all within one double
+        [f"{'-' if i % 2 else ''}99999999999999999999.{i:018d}" for i in range(900)],
+    ],
+    ids=["wide", "one double", "both ends"],
+)
+def test_medians_of_decimals_beyond_doubles(spark, texts, examine):
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").cast("decimal(38,18)").alias("x"))
+    with localcontext() as context:
+        context.prec = 80
+        want = statistics.median(map(Decimal, texts)).quantize(Decimal(1).scaleb(-18), ROUND_HALF_UP)
+    assert q.median_values(df, ["x"], examine)["x"] == want
+    _, found = q.order_statistics(df, lambda n: {0, 5, n // 3, n - 1}, ["x"], [1 / 3], examine)
+    ordered = sorted(map(Decimal, texts))
+    assert all(value == ordered[k] for (_, k), value in found.items()) and len(found) == 4
+
+
+@pytest.mark.parametrize("examine", [1 << 20, 100, 3])
+def test_quantiles_over_the_whole_range_of_doubles(spark, examine):
+    values = [(-1) ** i * 1.7e308 * ((i + 1) / 900) for i in range(900)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    ordered = sorted(values)
+    n, found = q.order_statistics(df, lambda n: {0, 449, 450, n - 1}, ["x"], [0.5], examine)
+    assert all(found["x", k] == ordered[k] for k in (0, 449, 450, 899)) and n == {"x": 900}
+    ends = q.quantile_values(df, ["x"], [0.0, 1.0], examine)
+    assert (ends["x", 0.0], ends["x", 1.0]) == (ordered[0], ordered[-1])
+
+
 def test_histograms_alone_find_the_ranks(spark, numbers):
     df = spark.createDataFrame(numbers[["hot"]])
     n, found = q.order_statistics(df, lambda n: {0, 10, n // 2, n - 1}, ["hot"], examine=5)

@@ -1,5 +1,6 @@
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from batchlens.functions import (
@@ -104,3 +105,45 @@ def test_alignment_counts_both_sides(spark):
     b = spark.createDataFrame([("2",), ("3",), (None,)], "k string")
     assert tuple(audit_alignment(a, b, ["k"]).first()) == (2, 1, False)
     assert audit_alignment(a, a.repartition(3), ["k"]).first()["aligned"]
+
+
+def test_blanks_and_text_go_through_curate_and_clean(spark):
+    from batchlens.plans import clean, curate
+
+    rows = [(f"k{i}", "m", "c", str(i), f"c{i}", text) for i, text in enumerate(["1.50", " ", "", "2.25", None, "3.75"])]
+    raw = spark.createDataFrame(rows, "row_key string, `Material Code` string, component_code string, material_batch_nr string, component_batch_nr string, a string")
+    table, places = clean(curate(raw), frac=0.0)
+    assert sorted(r["a"] for r in table.collect()) == [1.5, 2.25, 2.25, 2.25, 2.25, 3.75]
+    assert [tuple(r) for r in places.collect()] == [("a", 2)]
+
+
+@pytest.mark.parametrize("bad", ["n/a", "1e21", "1,5"])
+def test_values_that_are_no_decimal_are_refused(spark, bad):
+    from batchlens.plans import clean
+
+    rows = [(str(i), "m", "c", str(i), str(i), v) for i, v in enumerate(["1", "2", "3", bad])]
+    df = spark.createDataFrame(rows, "row_key string, material_code string, component_code string, material_batch_nr string, component_batch_nr string, a string").withColumn("n_tests", F.lit(1))
+    with pytest.raises(ValueError, match="a: 1"):
+        clean(df)
+    assert clean(df, refuse=False)[0].count() == 4
+
+
+def test_rounding_keeps_the_type_of_the_column(spark):
+    from batchlens.operators.cleaning import normalize_precision
+
+    df = spark.createDataFrame([("1234567890123456789012345.250000",), ("2.500000",), ("7.125000",)], "t string")
+    exact = df.select(F.col("t").cast("decimal(38,6)").alias("x"))
+    rounded, places = normalize_precision(exact, ["x"])
+    assert rounded.schema["x"].dataType == exact.schema["x"].dataType
+    assert [tuple(r) for r in places.collect()] == [("x", 1)]
+    assert max(str(r["x"]) for r in rounded.collect() if len(str(r["x"])) > 20) == "1234567890123456789012345.300000"
+
+
+def test_box_summary_by_group_and_null_group(spark):
+    from batchlens.operators.evaluation import box_summary
+
+    rows = [("a", float(i)) for i in range(11)] + [("a", 100.0), (None, 1.0), (None, 3.0), ("b", None)]
+    got = {r["g"]: r for r in box_summary(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    assert (got["a"]["q1"], got["a"]["median"], got["a"]["q3"], got["a"]["n_fliers"]) == (2.75, 5.5, 8.25, 1)
+    assert (got["a"]["whisker_low"], got["a"]["whisker_high"]) == (0.0, 10.0)
+    assert got[None]["median"] == 2.0 and "b" not in got
