@@ -29,6 +29,8 @@ from queries.fixture import (
     IMPUTED,
     OPV,
     SLICE,
+    WHOLE_DOUBLES,
+    WHOLE_IMPUTED,
     Book,
     deviation_sql,
     fences_sql,
@@ -77,7 +79,7 @@ def _as_double(source: str) -> str:
     return ", ".join(f"round(CAST({c} AS double), 6) AS {c}" for c in FILLED) + f" FROM {source}"
 
 
-@BOOK.add("m3_impute_median", f"WITH {IMPUTED} SELECT row_key, {_IDS}, n_tests, {_as_double('imputed')}")
+@BOOK.add("m3_impute_median", f"WITH {WHOLE_IMPUTED} SELECT row_key, {_IDS}, n_tests, {_as_double('imputed')}")
 def median_imputation(spark, sf_dir):
     return rounded(imputed(spark, sf_dir), *FILLED)
 
@@ -85,14 +87,14 @@ def median_imputation(spark, sf_dir):
 _PLACES = lambda c: f"length(regexp_extract(rtrim(CAST({c} AS varchar), '0'), '[.](.*)$', 1))"
 
 
-@BOOK.add("m4_precision_table", f"WITH {IMPUTED} SELECT round(CAST(cma2 AS double), 6) AS value, CAST({_PLACES('cma2')} AS integer) AS places FROM imputed")
+@BOOK.add("m4_precision_table", f"WITH {WHOLE_IMPUTED} SELECT round(CAST(cma2 AS double), 6) AS value, CAST({_PLACES('cma2')} AS integer) AS places FROM imputed")
 def precision_of_one(spark, sf_dir):
     return rounded(precision_table(imputed(spark, sf_dir), "cma2"), "value")
 
 
 @BOOK.add(
     "m4_precision_of_column",
-    f"WITH {IMPUTED}, c AS (SELECT {_PLACES('cma2')} AS p, count(*) AS n FROM imputed GROUP BY 1)"
+    f"WITH {WHOLE_IMPUTED}, c AS (SELECT {_PLACES('cma2')} AS p, count(*) AS n FROM imputed GROUP BY 1)"
     " SELECT 'cma2' AS attribute, CAST(greatest(p, 1) AS integer) AS places FROM c ORDER BY n DESC, p LIMIT 1",
 )
 def precision_mode(spark, sf_dir):
@@ -106,13 +108,13 @@ _MODES = ", ".join(
 _ROUND = lambda c: f"round(CAST(CASE (SELECT p FROM places_{c}) " + " ".join(f"WHEN {k} THEN CAST(round({c}, {k}) AS decimal(38,18))" for k in range(1, 7)) + f" ELSE {c} END AS double), 6) AS {c}"
 
 
-@BOOK.add("m5_normalize_precision", f"WITH {IMPUTED}, {_MODES} SELECT row_key, {', '.join(_ROUND(c) for c in FILLED)} FROM imputed")
+@BOOK.add("m5_normalize_precision", f"WITH {WHOLE_IMPUTED}, {_MODES} SELECT row_key, {', '.join(_ROUND(c) for c in FILLED)} FROM imputed")
 def normalized(spark, sf_dir):
     df, _ = normalize_precision(imputed(spark, sf_dir), FILLED)
     return rounded(df.select("row_key", *FILLED), *FILLED)
 
 
-@BOOK.add("m5_precision_summary", f"WITH {IMPUTED}, {_MODES} " + " UNION ALL ".join(f"SELECT '{c}' AS attribute, CAST(p AS integer) AS places FROM places_{c}" for c in FILLED))
+@BOOK.add("m5_precision_summary", f"WITH {WHOLE_IMPUTED}, {_MODES} " + " UNION ALL ".join(f"SELECT '{c}' AS attribute, CAST(p AS integer) AS places FROM places_{c}" for c in FILLED))
 def precision_summary(spark, sf_dir):
     return normalize_precision(imputed(spark, sf_dir), FILLED)[1]
 
@@ -210,21 +212,19 @@ def fences(spark, sf_dir):
 
 @BOOK.add(
     "m23_fence_mask",
-    f"WITH {SLICE}, {fences_sql('slice')} SELECT row_key, " + ", ".join(
+    f"WITH {OPV}, {fences_sql('opv')} SELECT row_key, " + ", ".join(
         f"CASE WHEN {c} IS NULL THEN 'missing' WHEN {c} >= {c}_lo AND {c} <= {c}_hi THEN 'inside' ELSE 'outside' END AS {c}" for c in FILLED
-    ) + " FROM slice, fences",
+    ) + " FROM opv, fences",
 )
 def mask_by_fences(spark, sf_dir):
-    from batchlens.plans import focus_slice
-
-    df = settle(focus_slice(opv(spark, sf_dir)))
+    df = settle(opv(spark, sf_dir).select("row_key", *FILLED))
     return fence_mask(df, iqr_fences(df, FILLED), ["row_key"])
 
 
-_DEVIATION = f"WITH {FILLED_DOUBLES}, {fences_sql('filled')}"
+_DEVIATION = f"WITH {WHOLE_DOUBLES}, {fences_sql('filled')}"
 
 
-@BOOK.add("m24_deviation_type", _DEVIATION + f" SELECT row_key, {deviation_sql()} AS deviation_type FROM filled, fences")
+@BOOK.add("m24_deviation_type", f"WITH {FILLED_DOUBLES}, {fences_sql('filled')}" + f" SELECT row_key, {deviation_sql()} AS deviation_type FROM filled, fences")
 def deviation(spark, sf_dir):
     return fence_screen(opv(spark, sf_dir)).select("row_key", "deviation_type")
 

@@ -15,7 +15,7 @@ from queries.fixture import (
     COUNTED,
     FILLED,
     IDS,
-    IMPUTED,
+    WHOLE_IMPUTED,
     OPV,
     SLICE,
     Book,
@@ -144,7 +144,7 @@ def null_audit(spark, sf_dir):
 
 @BOOK.add(
     "f11_nulls_after_imputation",
-    f"WITH {IMPUTED}, n AS (" + " UNION ALL ".join(f"SELECT '{c}' AS attribute, count(*) FILTER ({c} IS NULL) AS n_null FROM imputed" for c in FILLED)
+    f"WITH {WHOLE_IMPUTED}, n AS (" + " UNION ALL ".join(f"SELECT '{c}' AS attribute, count(*) FILTER ({c} IS NULL) AS n_null FROM imputed" for c in FILLED)
     + ") SELECT * FROM n WHERE n_null > 0",
 )
 def nulls_after_imputation(spark, sf_dir):

@@ -110,18 +110,25 @@ def quantile_sql(source: str, col: str, p: float, where: str = "TRUE") -> str:
     )
 
 
-IMPUTED = SLICE + """, kept AS MATERIALIZED (
-  SELECT row_key, material_code, component_code, material_batch_nr, component_batch_nr, n_tests,
-  """ + ", ".join(f"{dec(c)} AS {c}" for c in FILLED) + """
-  FROM slice WHERE n_tests >= 0.6 * (SELECT max(n_tests) FROM slice)),
-imputed AS MATERIALIZED (
-  SELECT row_key, material_code, component_code, material_batch_nr, component_batch_nr, n_tests,
-  """ + ", ".join(f"coalesce({c}, {median_sql('kept', c)}) AS {c}" for c in FILLED) + """
-  FROM kept)"""
+def _imputed_sql(source: str, name: str) -> str:
+    """``kept`` and ``imputed`` after the tables in ``source``, from the one called ``name``."""
+    head = "row_key, material_code, component_code, material_batch_nr, component_batch_nr, n_tests,"
+    return (
+        f"{source}, kept AS MATERIALIZED (SELECT {head} " + ", ".join(f"{dec(c)} AS {c}" for c in FILLED)
+        + f" FROM {name} WHERE n_tests >= 0.6 * (SELECT max(n_tests) FROM {name})), imputed AS MATERIALIZED (SELECT {head} "
+        + ", ".join(f"coalesce({c}, {median_sql('kept', c)}) AS {c}" for c in FILLED) + " FROM kept)"
+    )
+
+
+def _filled_sql(imputed_sql: str) -> str:
+    return (
+        imputed_sql + ", filled AS MATERIALIZED (SELECT row_key, material_code, component_code, material_batch_nr, component_batch_nr, n_tests, "
+        + ", ".join(f"CAST(CAST({c} AS varchar) AS double) AS {c}" for c in FILLED) + " FROM imputed)"
+    )
+
 
-FILLED_DOUBLES = IMPUTED + """, filled AS MATERIALIZED (
-  SELECT row_key, material_code, component_code, material_batch_nr, component_batch_nr, n_tests,
-  """ + ", ".join(f"CAST(CAST({c} AS varchar) AS double) AS {c}" for c in FILLED) + """ FROM imputed)"""
+IMPUTED, WHOLE_IMPUTED = _imputed_sql(SLICE, "slice"), _imputed_sql(COUNTED, "counted")
+FILLED_DOUBLES, WHOLE_DOUBLES = _filled_sql(IMPUTED), _filled_sql(WHOLE_IMPUTED)
 
 
 def fences_sql(source: str, cols=FILLED, name: str = "fences") -> str:
@@ -154,26 +161,27 @@ def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: r(c, places) for c in cols})
 
 
-def pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The busiest slice with its test count, pruned at 60 %, attributes as exact decimals."""
+def pruned(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+    """The table, or its busiest slice, with its test count, pruned at 60 %, attributes as exact decimals."""
     from batchlens.functions import present_count
     from batchlens.operators.cleaning import to_decimal
     from batchlens.operators.coverage import prune_low_coverage
     from batchlens.plans import focus_slice
     from batchlens.sources import settle
 
-    part = focus_slice(opv(spark, sf_dir)).withColumn("n_tests", present_count(ATTRS))
+    df = opv(spark, sf_dir)
+    part = (df if whole else focus_slice(df)).withColumn("n_tests", present_count(ATTRS))
     return settle(to_decimal(prune_low_coverage(part), FILLED).drop("cma7"))
 
 
-def imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def imputed(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
     from batchlens.operators.cleaning import impute_median
 
-    return impute_median(pruned(spark, sf_dir), FILLED)
+    return impute_median(pruned(spark, sf_dir, whole), FILLED)
 
 
-def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filled(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
     from batchlens.operators.cleaning import to_double
     from batchlens.sources import settle
 
-    return settle(to_double(imputed(spark, sf_dir), FILLED))
+    return settle(to_double(imputed(spark, sf_dir, whole), FILLED))

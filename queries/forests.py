@@ -231,7 +231,7 @@ _SLICE_FOREST = (
 
 
 def _slice_labels(spark, sf_dir):
-    df = filled(spark, sf_dir)
+    df = filled(spark, sf_dir, whole=False)
     scores = settle(IsolationForest(trees=8, max_depth=5).fit_score(df, FILLED))
     return df, ev.label_outliers(scores, 0.05)
 

@@ -17,7 +17,7 @@ from batchlens.operators.ranking import category_code
 from batchlens.operators.reporting import PROFILE_COLOURS, STATUS_COLOURS, annotate_status, jitter, with_colour
 from batchlens.operators.roles import Roles, canonical_names, cast_roles, order_columns, prefix_columns
 from batchlens.operators.audit import row_digests
-from queries.fixture import ATTRS, COUNTED, FILLED, FILLED_DOUBLES, IDS, OPV, Book, dec, deviation_sql, fences_sql, filled, opv, r, rounded, table
+from queries.fixture import ATTRS, COUNTED, FILLED, IDS, OPV, WHOLE_DOUBLES, Book, dec, deviation_sql, fences_sql, filled, opv, r, rounded, table
 
 BOOK = Book()
 _IDS, _ATTRS, _FILLED = ", ".join(IDS), ", ".join(ATTRS), ", ".join(FILLED)
@@ -227,7 +227,7 @@ def literal_column(spark, sf_dir):
     return opv(spark, sf_dir).select("row_key", F.lit("IsolationForest").alias("flagged_by"), F.lit("Core").alias("status"))
 
 
-_STATUS = f"WITH {FILLED_DOUBLES}, {fences_sql('filled')}, flagged AS (SELECT row_key, {deviation_sql()} AS deviation_type FROM filled, fences WHERE cma1 >= 45)"
+_STATUS = f"WITH {WHOLE_DOUBLES}, {fences_sql('filled')}, flagged AS (SELECT row_key, {deviation_sql()} AS deviation_type FROM filled, fences WHERE cma1 >= 45)"
 
 
 def _status(spark, sf_dir):
