@@ -10,11 +10,11 @@ hashes are candidates: 99.7 % of the pairs at similarity 0.8, and hardly any of
 many that only share a passage, so buckets are groups of near-copies.
 
 Equal texts are one text throughout.  All texts of a bucket (of two bands) are
-compared with its centre, drawn by hash, by their exact weighted Jaccard similarity.
-Those that are not similar to it get another centre, for ``ROUNDS`` rounds; no bucket
-is cut off and none is paired out.  Two similar texts share about 19 buckets, each
-with centres of its own, so they meet directly or through a third text in some of
-them.  Classes are the connected components of the links.  This ends with every pair
+compared with its centre, the first in an order by hash, by their exact weighted
+Jaccard similarity.  Those that are not similar to it get another centre by another
+order, for ``ROUNDS`` rounds; no bucket is cut off and none is paired out.  Two
+similar texts share about 19 buckets, so they meet directly or through a third text
+in some of them.  Classes are the connected components of the links.  This ends with every pair
 compared in buckets of up to ``ROUNDS`` + 1 texts; in larger ones of which most texts
 are not quite similar (near-copies of near-copies), a link may go unseen.
 
@@ -173,7 +173,7 @@ def near_links(docs: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: flo
 
     def with_centres(members: DataFrame, nth: int) -> DataFrame:
         """Members of buckets with others in them, each with its bucket's centre."""
-        drawn = F.xxhash64("band", "key", F.lit(nth))
+        drawn = F.xxhash64("key", F.lit(nth))  # alike in all buckets, so a group's buckets mostly share a centre
         centres = members.groupBy("band").agg(F.min_by("key", drawn).alias("centre"), F.count(F.lit(1)).alias("_n"))
         return settle(members.join(settle(centres.filter("_n > 1").drop("_n")), "band"))
 
