@@ -42,7 +42,7 @@ from batchlens.llm.words import hash_words, mix, shingles
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
-ROUNDS = 6
+ROUNDS = 4
 BUCKETS = 1 << 16
 _POOL_BITS = 14
 
