@@ -6,7 +6,7 @@
 2. A randomised SVD of the passages' TF-IDF matrix over these terms: every task adds
    up its passages' share of A'A times a random matrix, the shares are summed, and a
    Nyström step gives singular values and term vectors.  The block's own items are
-   rows of the matrix too, with the energy of the whole corpus, so that the latent
+   rows of the matrix too, with many times the corpus's energy, so that the latent
    space has room for each of them (a block has fewer items than the rank).
 3. Search: each window of ``WINDOW`` words of every document is compared with all
    items in the latent space; the cosine is taken with the norms of the whole
@@ -46,6 +46,7 @@ from batchlens.llm.words import hash_words
 PART, BLOCK, RANK = 128, 200, 224
 WINDOW, STRIDE = 64, 32
 CANDIDATE = 0.2
+ITEM_ENERGY = 100  # of the items in the matrix, times the corpus's, so no item falls out of the rank
 COMMON = 0.1  # a term in more of the documents than this tells nothing
 _ROWS = 16  # terms of the sketch in one row of a shuffle
 
@@ -171,7 +172,7 @@ def latent_space(docs: DataFrame, items: Items, idf: np.ndarray, seed: int = 17)
     for words in items.words:
         at, term = terms.find(words)
         own_energy += _sketch_share(terms, omega, at, term, np.zeros(len(term), np.int64), own)
-    sketch += own.astype(float) * (max(energy, 1.0) / max(own_energy, 1e-9))
+    sketch += own.astype(float) * (ITEM_ENERGY * max(energy, 1.0) / max(own_energy, 1e-9))
     return terms, _nystrom(sketch, omega.astype(float)).astype(np.float32)
 
 
