@@ -12,11 +12,13 @@ many that only share a passage, so buckets are groups of near-copies.
 Equal texts are one text throughout.  All texts of a bucket (of two bands) are
 compared with its centre, the first in an order by hash, by their exact weighted
 Jaccard similarity.  Those that are not similar to it get another centre by another
-order, for ``ROUNDS`` rounds; no bucket is cut off and none is paired out.  Two
-similar texts share about 19 buckets, so they meet directly or through a third text
-in some of them.  Classes are the connected components of the links.  This ends with every pair
-compared in buckets of up to ``ROUNDS`` + 1 texts; in larger ones of which most texts
-are not quite similar (near-copies of near-copies), a link may go unseen.
+order, for ``ROUNDS`` rounds; no bucket is cut off and none is paired out.  These
+rounds only join what is quick to join.  After them, in each bucket whose texts are
+not all in one class yet, every pair of texts of different classes is compared that
+was not before, but for pairs whose total weights alone keep them below the threshold
+(``unmet_pairs``).  So classes are exactly the connected components of all similar
+pairs that share a bucket, whatever the size of the buckets; a bucket of n texts that
+are not similar costs n * n / 2 comparisons.
 
 Result: per row ``doc_id``, ``class_id`` (the smallest id in the class), its
 number of rows, of links of the row's text, and ``kept`` (true for one row of each
@@ -43,6 +45,7 @@ from batchlens.llm.words import hash_words, mix, shingles
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
 ROUNDS = 4
+MEETING = 256  # members of a bucket that meet the others in one task
 BUCKETS = 1 << 16
 _POOL_BITS = 14
 
@@ -115,7 +118,7 @@ def band_keys(found: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
 
 
 def _with_bands(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """``doc_id, key, bands``; no bands for texts without words."""
+    """``doc_id, key, bands, weight`` (of all shingles); no bands for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -128,11 +131,12 @@ def _with_bands(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                     keys = band_keys([pairs[i][0] for i in full], [pairs[i][1] for i in full])
                     for i, row in zip(full, keys):
                         bands[i] = row
-                arrays = [batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "bands"])
+                sums = pa.array([float(w.sum()) for _, w in pairs], pa.float64())
+                arrays = [batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64())), sums]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "bands", "weight"])
 
     rows = docs.select("doc_id", content_key().alias("key"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, key binary, bands array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, key binary, bands array<bigint>, weight double")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -161,15 +165,46 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: fl
     return both.select("centre", "key", "text", "_other").mapInArrow(run, "centre binary, key binary, linked boolean")
 
 
+def unmet_pairs(members: DataFrame, texts: DataFrame, seen: DataFrame, threshold: float) -> DataFrame:
+    """``centre, key``: pairs of ``members`` (key, band, i, j) of a bucket that are neither in ``seen`` nor in one class.
+
+    A pair that shares several buckets is made only in that of its first two equal
+    ``bands`` (of ``texts``).  Members of a bucket's largest class don't meet each other.
+    """
+    roots = settle(components(seen.filter("linked").select(F.col("centre").alias("a"), F.col("key").alias("b"))))
+    own = members.join(roots, F.col("key") == F.col("node"), "left").select(*members.columns, F.coalesce("root", "key").alias("root"))
+    own = settle(own)
+    sizes = own.groupBy("band", "root").agg(F.count(F.lit(1)).alias("_n")).groupBy("band")
+    sizes = sizes.agg(F.max_by("root", F.struct("_n", "root")).alias("_main"), F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_roots"))
+    some = settle(sizes.filter("_roots > 1").select("band", "_main", F.ceil(F.col("_n") / MEETING).cast("int").alias("_parts")))
+    held = texts.select("key", "bands", "weight")
+    some = settle(own.join(some, "band").join(held, "key"))
+    part = F.pmod(F.xxhash64("key", "band"), F.col("_parts")).cast("int")
+    left = some.filter("root <> _main").select(
+        "band", "i", "j", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"),
+        *(F.col(c).alias(f"_{c}") for c in ("key", "root", "bands", "weight")),
+    )
+    right = some.select("band", part.alias("part"), "key", "root", "bands", "weight", (F.col("root") == F.col("_main")).alias("_in_main"))
+    equal = lambda k: F.element_at("bands", k) == F.element_at("_bands", k)
+    nth = F.sequence(F.lit(1), F.col("j") + 1)
+    first = F.size(F.filter(nth, equal)) == 2  # i and j are equal and no other before j
+    alike = F.least("weight", "_weight") >= F.greatest("weight", "_weight") * (threshold - 1e-9)
+    met = left.join(right, ["band", "part"]).filter(
+        (F.col("root") != F.col("_root")) & (F.col("_in_main") | (F.col("_key") < F.col("key"))) & alike & first
+    )
+    pairs = met.select(F.least("_key", "key").alias("centre"), F.greatest("_key", "key").alias("key"))
+    return settle(pairs.join(seen, ["centre", "key"], "left_anti"))
+
+
 def near_links(docs: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """``a, b``: links between keys of distinct texts."""
-    per_text = rows.filter("bands is not null").groupBy("key").agg(F.first("bands").alias("bands"))
+    per_text = rows.filter("bands is not null").groupBy("key").agg(F.first("bands").alias("bands"), F.first("weight").alias("weight"))
     one = settle(per_text.select("key", F.posexplode("bands").alias("_nth", "_band")))
     shared = settle(one.groupBy("_nth", "_band").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"))
     own = one.join(shared, ["_nth", "_band"]).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("_nth", "_band"))).alias("_own"))
     other = own.select("key", F.posexplode("_own").alias("_at", "_a"), "_own")  # at most one a band
-    both = F.transform(F.slice("_own", F.col("_at") + 2, F.lit(BANDS)), lambda b: F.xxhash64("_a", b))
-    bands = settle(other.select("key", F.explode(both).alias("band")))
+    both = F.transform(F.slice("_own", F.col("_at") + 2, F.lit(BANDS)), lambda b: F.struct(F.xxhash64("_a", b).alias("band"), b["_nth"].alias("j")))
+    bands = settle(other.select("key", F.col("_a._nth").alias("i"), F.explode(both).alias("_b")).select("key", "i", "_b.*"))
 
     def with_centres(members: DataFrame, nth: int) -> DataFrame:
         """Members of buckets with others in them, each with its bucket's centre."""
@@ -177,7 +212,8 @@ def near_links(docs: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: flo
         centres = members.groupBy("band").agg(F.min_by("key", drawn).alias("centre"), F.count(F.lit(1)).alias("_n"))
         return settle(members.join(settle(centres.filter("_n > 1").drop("_n")), "band"))
 
-    open_ = with_centres(bands, 0)
+    every = with_centres(bands, 0)
+    open_ = every.select("key", "band", "centre")
     wanted = open_.select("key").distinct()
     body = docs.filter("text is not null").select(content_key().alias("key"), "text")
     texts = settle(body.join(settle(wanted), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
@@ -194,6 +230,9 @@ def near_links(docs: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: flo
             open_ = with_centres(rest, nth)
             if open_.isEmpty():
                 break
+    # a bucket's first centre has met all its members
+    unmet = unmet_pairs(every.filter("key <> centre").drop("centre"), per_text, seen, threshold)
+    seen = seen.unionByName(_verified(unmet, texts, idf, threshold))
     return settle(seen.filter("linked").select(F.col("centre").alias("a"), F.col("key").alias("b")))
 
 

@@ -76,6 +76,23 @@ def test_large_group_of_near_copies_is_one_class(spark):
     assert all(r["class_id"] == r["doc_id"] for r in got if r["doc_id"] >= 500)
 
 
+def test_pairs_inside_a_large_bucket_of_texts_that_are_not_similar_enough(spark):
+    """Pages of one template at 0.5 to 0.75, and among them pairs above 0.8, against brute force."""
+    rng = np.random.default_rng(5)
+    edit = lambda base, name, n: [f"{name}x{i}" if i in chosen else w for chosen in [set(rng.choice(200, n, False).tolist())] for i, w in enumerate(base)]
+    template = [f"w{i}" for i in range(200)]
+    pages = [edit(template, f"p{k}", 3) for k in range(260)]
+    pages += [edit(pages[k], f"q{k}", 1) for k in range(0, 240, 6)]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(pages)], "doc_id bigint, text string")
+    idf = inverse_frequencies(df)
+    sides = [weighted_shingles(hash_words([" ".join(w)])[0], idf) for w in pages]
+    scores = {(i, j): similarity(sides[i], sides[j]) for i in range(len(pages)) for j in range(i)}
+    links = [pair for pair, score in scores.items() if score >= 0.8]
+    assert 30 <= len(links) <= 200 and 0.5 < np.median(list(scores.values())) < 0.75
+    got = near_duplicates(df).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == classes(links, range(len(pages)))
+
+
 def test_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (102, 100)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
