@@ -48,17 +48,23 @@ _BEFORE_SECRET = "|".join(
     form for word in ("password", "passwd", "token", "secret", "api_key", "api-key", "apikey")
     for form in (word, word.capitalize(), word.upper())
 )
+_SECRET_START = rf"""\b(?:{_BEFORE_SECRET})["']? ?[=:] ?"""
+_HEX = "[0-9A-Fa-f]{1,4}"
 _NAME = r"\p{Lu}[\p{L}'’-]{1,40}+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 # In the order in which they are tried at a place of the text.  Runs are possessive
 # or bounded, and begin where no run can be under way, so long texts take linear time.
 PATTERNS = {
+    "key_block": rf"(?<=-----BEGIN [A-Z0-9 ]{{0,40}}PRIVATE KEY-----)(?:\s*+Proc-Type:[^\n]*+\s++DEK-Info:[^\n]*+)?[^-]++",
+    "secret": rf"""(?<={_SECRET_START}")[^"\r\n]++(?=")|(?<={_SECRET_START}')[^'\r\n]++(?=')|(?<={_SECRET_START}["']?)[^\s"'<>]{{5,}}[^\s"'<>.,;:!?)\]}}]""",
+    "bearer": r"(?<=\b[Bb]earer )(?=[A-Za-z._~+/=-]*\d)[A-Za-z0-9._~+/=-]{8,}+",
+    "dotted_token": r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){1,3}",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": rf"""(?<=\b(?:{_BEFORE_SECRET}) ?[=:] ?["']?)[A-Za-z0-9_+/-]{{6,512}}+""",
     "mac": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:(?:{_HEX}:){{0,5}}(?:{_OCTET}\.){{3}}{_OCTET}|{_HEX}(?::{_HEX}){{0,6}})?)(?![\p{{L}}\p{{N}}:])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.+-])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?!\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -70,14 +76,14 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 def has_entity(text: Column) -> Column:
     """Whether ``ANY`` is found.  Quick tests go first: a mail address has an @, most others a digit."""
-    quick = text.rlike("[0-9@]") | text.contains("AKIA") | text.rlike(":[A-Fa-f]{2}:")
+    quick = text.rlike("[0-9@]") | text.contains("AKIA") | text.rlike(":[A-Fa-f]{0,4}:") | text.contains("eyJ")
     for word in _SECRET_WORDS:  # part of what stands before any secret
         quick = quick | text.contains(word)
     return (quick | text.rlike(PATTERNS["person"])) & text.rlike(ANY)
 
 
 _SHAPES = {  # of an entity by itself, without what stood before it
-    "email": "@",
+    "email": r"^[\p{L}\p{N}._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}$",
     "access_key": r"^AKIA[0-9A-Z]{16}$",
     "mac": r"^(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}$",
     "ip": rf"^(?:{_OCTET}\.){{3}}{_OCTET}$",
@@ -128,7 +134,7 @@ class _Draw:
 
 
 def _same_form(text: Column, draw: _Draw, hexadecimal: Column | None = None) -> Column:
-    """Each character by one of its class; what is neither an ASCII letter nor a digit stays."""
+    """Each character by one of its class; other letters become small ones, all else stays."""
     lower = "abcdefghijklmnopqrstuvwxyz"
 
     def one(char: Column, i: Column) -> Column:
@@ -140,6 +146,7 @@ def _same_form(text: Column, draw: _Draw, hexadecimal: Column | None = None) ->
             F.when(char.rlike("^[0-9]$"), draw.letters(i, "0123456789"))
             .when(char.rlike("^[a-z]$"), small)
             .when(char.rlike("^[A-Z]$"), capital)
+            .when(char.rlike(r"^[\p{L}\p{N}]$"), small)
             .otherwise(char)
         )
 
