@@ -7,7 +7,11 @@ becomes one of the same gender and script.  Equal entities get equal replacement
 in all documents; names are replaced word by word, so "Maria Lopez" and "Ms Lopez"
 go on sharing a surname, and mail addresses of one domain go on sharing one.
 Replacements that two entities would share, or that are entities themselves, are
-drawn anew until none is left.
+drawn anew until none is left.  Where a short form is used up (ten passwords of one
+digit), later draws are longer than the entity, by a character more each time: so
+there is always another one, and the rounds end.  What has neither a letter nor a
+digit (``password: ********``, an empty key block) tells nothing and is left as it
+is, though it counts as an entity.
 
 A null text stays null and has no entities; an empty one stays empty.  Repeated
 rows stay repeated.  All other columns are passed on, whatever their names, but
@@ -42,6 +46,8 @@ SYLLABLES = {
     "greek": "βα βε βο γα δα δε δο κα κε κο λα λε λο μα με μο να νε νο πα ρα ρε ρο σα σε σο τα τε το".split(),
 }
 
+SHORT_DRAWS, LONG_DRAWS = 3, 30  # draws of the entity's own length: of secrets and mail addresses, of all else
+
 _GIVEN = "|".join(" ".join([*FEMALE.values(), *MALE.values()]).split())
 _SECRET_WORDS = [w for word in ("pass", "token", "secret", "key") for w in (word, word.capitalize(), word.upper())]
 _BEFORE_SECRET = "|".join(
@@ -153,6 +159,12 @@ def _same_form(text: Column, draw: _Draw, hexadecimal: Column | None = None) ->
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
+def _longer(draw: _Draw, attempt: Column, draws: int) -> Column:
+    """Nothing for the first draws, then one digit more at each."""
+    digits = F.transform(F.sequence(F.lit(1), F.greatest(attempt - F.lit(draws), F.lit(1))), lambda i: draw.letters(i + F.lit(40), "0123456789"))
+    return F.when(attempt > draws, F.array_join(digits, "")).otherwise("")
+
+
 def _with_check_digit(card: Column) -> Column:
     """The last digit by the rule that card numbers follow."""
     digits = F.split(F.regexp_replace(card, "[^0-9]", ""), "")
@@ -201,6 +213,7 @@ def _surrogate(kind: Column, part: Column, attempt: Column) -> Column:
     domain = F.substring(part, at + F.lit(1), F.length(part))
     labels = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1)
     email = F.concat(
+        _longer(draw, attempt, SHORT_DRAWS),
         _same_form(F.substring(part, F.lit(1), at - F.lit(1)), draw),
         F.lit("@"),
         _same_form(labels, of_domain),
@@ -224,9 +237,10 @@ def _surrogate(kind: Column, part: Column, attempt: Column) -> Column:
         "phone": lambda: F.concat(prefix, _same_form(rest, draw)),
         "person": lambda: _name(part, draw, attempt),
     }
-    out = _same_form(part, draw, hexadecimal)
+    out = F.concat(_same_form(part, draw, hexadecimal), _longer(draw, attempt, SHORT_DRAWS))
     for name, made in options.items():
-        out = F.when(kind == name, made()).otherwise(out)
+        more = F.lit("") if name in ("email", "person") else _longer(draw, attempt, LONG_DRAWS)
+        out = F.when(kind == name, F.concat(made(), more)).otherwise(out)
     return out
 
 
@@ -243,15 +257,20 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
-    """``kind, part, surrogate`` for distinct ``kind, part``: no two alike, none that is an entity itself."""
-    drawn = settle(with_surrogates(entities.select("kind", "part").distinct().withColumn("attempt", F.lit(0)), key))
+    """``kind, part, surrogate`` for distinct ``kind, part``: no two alike, none that is an entity itself.
+
+    Parts without letters and digits stand for themselves.
+    """
+    every, telling = entities.select("kind", "part").distinct(), F.col("part").rlike(r"[\p{L}\p{N}]")
+    drawn = settle(with_surrogates(every.filter(telling).withColumn("attempt", F.lit(0)), key))
+    bare = every.filter(~telling).withColumn("surrogate", F.col("part"))
     while True:
         order = Window.partitionBy("kind", "surrogate").orderBy("attempt", "part")
         real = drawn.select("kind", F.col("part").alias("surrogate"), F.lit(True).alias("_real"))
         checked = drawn.withColumn("_nth", F.row_number().over(order)).join(real, ["kind", "surrogate"], "left")
         clash = settle(checked.filter((F.col("_nth") > 1) | F.col("_real")).select("kind", "part"))
         if clash.isEmpty():
-            return drawn.select("kind", "part", "surrogate")
+            return drawn.select("kind", "part", "surrogate").unionByName(bare)
         again = drawn.join(clash, ["kind", "part"]).select("kind", "part", (F.col("attempt") + 1).alias("attempt"))
         kept = drawn.join(clash, ["kind", "part"], "left_anti")
         drawn = settle(kept.unionByName(with_surrogates(again, key)))

@@ -2,6 +2,7 @@
 
 import math
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -173,6 +174,21 @@ def test_surrogates_are_distinct_and_new(spark):
     assert not {(r["kind"], r["surrogate"]) for r in table} & set(rows)
 
 
+def test_forms_that_are_used_up_still_end(spark):
+    """Each of these once redrew for ever."""
+    masked = ["password: ********", 'split(token = ",")', "-----BEGIN PRIVATE KEY-----\n-----END PRIVATE KEY-----", "token='...'"]
+    letters, digits = string.ascii_lowercase, string.digits
+    rows = [*masked, *(f'token = "{c}"' for c in letters), *(f'password="{c}"' for c in digits), *(f"ask {c}@x.com" for c in letters + "é")]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    out = {r["doc_id"]: r["text"] for r in replace_entities(df, key="k").collect()}
+    assert [out[i] for i in range(len(masked))] == masked
+    changed = [out[i] for i in range(len(masked), len(rows))]
+    secrets = [re.search(r'"(.*)"', t).group(1) for t in changed if '"' in t]
+    assert len(set(secrets)) == 36 and not set(secrets) & set(letters + digits)
+    mails = [t[4:] for t in changed if "@" in t]
+    assert len(set(mails)) == 27 and all(re.fullmatch(r"\w+@[a-z]\.com", m) for m in mails) and not {t[4:] for t in rows if "@" in t} & set(mails)
+
+
 def test_op9_leaves_nothing_private(spark, texts):
     shapes = {k: re.compile(p) for k, p in {"email": r"[\w.]+@mail\d\.example\.com", "card": r"(?<!\d)\d{16}(?!\d)", "key": "AKIA[0-9A-Z]{16}"}.items()}
     found = {d: {m for p in shapes.values() for m in p.findall(t)} for d, t in texts.items()}

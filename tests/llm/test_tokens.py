@@ -1,6 +1,7 @@
 """Packing and counting against the tokenizer library itself."""
 
 import zlib
+from bisect import bisect_left, insort
 
 import numpy as np
 import pytest
@@ -53,9 +54,13 @@ def test_plan_fills_gapless_sequences_and_places_every_rank(counts):
             assert offset == end
             end += size
         assert end <= 64
-    # best fit stays within 11/9 of the optimum, which is at least the total over the room
-    total = sum(n * k for n, k in counts.items())
-    assert len(taken) <= 11 / 9 * max(-(-total // 64), sum(k for n, k in counts.items() if n > 32)) + 1
+    # as many sequences as piece by piece: each piece into the fullest sequence that has room for it
+    rooms = []
+    for length in sorted((n for n, k in counts.items() for _ in range(k)), reverse=True):
+        at = bisect_left(rooms, length)
+        left = rooms.pop(at) if at < len(rooms) else 64
+        insort(rooms, left - length)
+    assert len(taken) == len(rooms)
 
 
 def check_packing(rows, texts, capacity):
