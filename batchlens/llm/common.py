@@ -32,6 +32,23 @@ def settle(df: DataFrame) -> DataFrame:
         conf.set(_CLEANUP, before)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, with the sizes of its files.
+
+    For long chains of joins.  A checkpoint keeps the size that was estimated for its plan, a
+    product over all joins before it: after some twenty steps such numbers have millions of
+    digits and fill the driver's memory.
+    """
+    spark = df.sparkSession
+    path, before = shared.run_folder(spark, "step"), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def content_key(text: str | Column = "text") -> Column:
     """16 bytes that stand for a text, null for a null text; equal for equal texts only, as far as MD5 goes."""
     return F.unhex(F.md5(F.col(text) if isinstance(text, str) else text))

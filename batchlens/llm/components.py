@@ -11,20 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchlens.llm.common import settle
+from batchlens.llm.common import written
 
 
 
 def _hang(links: DataFrame, larger: bool) -> DataFrame:
     """``links`` are (u, v) with v < u once each.  ``larger``: all neighbours count, and the larger ones move."""
     sides = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if larger else links
-    least = settle(sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    least = written(sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     if larger:
         moved = sides.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = sides.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         moved = moved.unionByName(least.select("u", F.col("m").alias("v")))
-    return settle(moved.filter("u <> v").distinct())
+    return written(moved.filter("u <> v").distinct())
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -35,7 +35,7 @@ def _mark(edges: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (columns ``a``, ``b``); the root is the smallest node."""
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, mark = settle(edges), None
+    edges, mark = written(edges), None
     while (now := _mark(edges)) != mark:
         edges, mark = _hang(_hang(edges, True), False), now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

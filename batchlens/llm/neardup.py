@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchlens.llm.common import content_key, settle, slices
+from batchlens.llm.common import content_key, slices, written
 from batchlens.llm.components import components
 from batchlens.llm.words import hash_words, mix, shingles
 
@@ -171,14 +171,14 @@ def unmet_pairs(members: DataFrame, texts: DataFrame, seen: DataFrame, threshold
     A pair that shares several buckets is made only in that of its first two equal
     ``bands`` (of ``texts``).  Members of a bucket's largest class don't meet each other.
     """
-    roots = settle(components(seen.filter("linked").select(F.col("centre").alias("a"), F.col("key").alias("b"))))
+    roots = written(components(seen.filter("linked").select(F.col("centre").alias("a"), F.col("key").alias("b"))))
     own = members.join(roots, F.col("key") == F.col("node"), "left").select(*members.columns, F.coalesce("root", "key").alias("root"))
-    own = settle(own)
+    own = written(own)
     sizes = own.groupBy("band", "root").agg(F.count(F.lit(1)).alias("_n")).groupBy("band")
     sizes = sizes.agg(F.max_by("root", F.struct("_n", "root")).alias("_main"), F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_roots"))
-    some = settle(sizes.filter("_roots > 1").select("band", "_main", F.ceil(F.col("_n") / MEETING).cast("int").alias("_parts")))
+    some = written(sizes.filter("_roots > 1").select("band", "_main", F.ceil(F.col("_n") / MEETING).cast("int").alias("_parts")))
     held = texts.select("key", "bands", "weight")
-    some = settle(own.join(some, "band").join(held, "key"))
+    some = written(own.join(some, "band").join(held, "key"))
     part = F.pmod(F.xxhash64("key", "band"), F.col("_parts")).cast("int")
     left = some.filter("root <> _main").select(
         "band", "i", "j", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"),
@@ -193,36 +193,36 @@ def unmet_pairs(members: DataFrame, texts: DataFrame, seen: DataFrame, threshold
         (F.col("root") != F.col("_root")) & (F.col("_in_main") | (F.col("_key") < F.col("key"))) & alike & first
     )
     pairs = met.select(F.least("_key", "key").alias("centre"), F.greatest("_key", "key").alias("key"))
-    return settle(pairs.join(seen, ["centre", "key"], "left_anti"))
+    return written(pairs.join(seen, ["centre", "key"], "left_anti"))
 
 
 def near_links(docs: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """``a, b``: links between keys of distinct texts."""
     per_text = rows.filter("bands is not null").groupBy("key").agg(F.first("bands").alias("bands"), F.first("weight").alias("weight"))
-    one = settle(per_text.select("key", F.posexplode("bands").alias("_nth", "_band")))
-    shared = settle(one.groupBy("_nth", "_band").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"))
+    one = written(per_text.select("key", F.posexplode("bands").alias("_nth", "_band")))
+    shared = written(one.groupBy("_nth", "_band").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"))
     own = one.join(shared, ["_nth", "_band"]).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("_nth", "_band"))).alias("_own"))
     other = own.select("key", F.posexplode("_own").alias("_at", "_a"), "_own")  # at most one a band
     both = F.transform(F.slice("_own", F.col("_at") + 2, F.lit(BANDS)), lambda b: F.struct(F.xxhash64("_a", b).alias("band"), b["_nth"].alias("j")))
-    bands = settle(other.select("key", F.col("_a._nth").alias("i"), F.explode(both).alias("_b")).select("key", "i", "_b.*"))
+    bands = written(other.select("key", F.col("_a._nth").alias("i"), F.explode(both).alias("_b")).select("key", "i", "_b.*"))
 
     def with_centres(members: DataFrame, nth: int) -> DataFrame:
         """Members of buckets with others in them, each with its bucket's centre."""
         drawn = F.xxhash64("key", F.lit(nth))  # alike in all buckets, so a group's buckets mostly share a centre
         centres = members.groupBy("band").agg(F.min_by("key", drawn).alias("centre"), F.count(F.lit(1)).alias("_n"))
-        return settle(members.join(settle(centres.filter("_n > 1").drop("_n")), "band"))
+        return written(members.join(written(centres.filter("_n > 1").drop("_n")), "band"))
 
     every = with_centres(bands, 0)
     open_ = every.select("key", "band", "centre")
     wanted = open_.select("key").distinct()
     body = docs.filter("text is not null").select(content_key().alias("key"), "text")
-    texts = settle(body.join(settle(wanted), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
+    texts = written(body.join(written(wanted), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
     seen: DataFrame | None = None
     for nth in range(1, ROUNDS + 1):
         pairs = open_.filter("key <> centre").select(F.least("centre", "key").alias("centre"), F.greatest("centre", "key").alias("key"))
         pairs = pairs.distinct() if seen is None else pairs.distinct().join(seen, ["centre", "key"], "left_anti")
         done = _verified(pairs, texts, idf, threshold)
-        seen = settle(done if seen is None else seen.unionByName(done))
+        seen = written(done if seen is None else seen.unionByName(done))
         if nth < ROUNDS:
             linked = seen.filter("linked").select("centre", "key")
             linked = linked.unionByName(linked.select(F.col("key").alias("centre"), F.col("centre").alias("key")))
@@ -233,28 +233,28 @@ def near_links(docs: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: flo
     # a bucket's first centre has met all its members
     unmet = unmet_pairs(every.filter("key <> centre").drop("centre"), per_text, seen, threshold)
     seen = seen.unionByName(_verified(unmet, texts, idf, threshold))
-    return settle(seen.filter("linked").select(F.col("centre").alias("a"), F.col("key").alias("b")))
+    return written(seen.filter("linked").select(F.col("centre").alias("a"), F.col("key").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, class_id, class_rows, n_links, kept`` for every row."""
     known = docs.select("doc_id", "text")
     idf = inverse_frequencies(known)
-    rows = settle(_with_bands(known, idf))
+    rows = written(_with_bands(known, idf))
     links = near_links(known, rows, idf, threshold)
     return _classes(rows, links)
 
 
 def _classes(rows: DataFrame, links: DataFrame) -> DataFrame:
-    roots = settle(components(links))
+    roots = written(components(links))
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-    degree = settle(roots.join(ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links")), "node", "left"))
-    some = settle(
+    degree = written(roots.join(ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links")), "node", "left"))
+    some = written(
         rows.filter("key is not null")
         .join(degree, F.col("key") == F.col("node"), "left")
         .select("doc_id", "key", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
-    classes = settle(some.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows")))
+    classes = written(some.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows")))
     first = _first_rows(some)
     joined = some.join(classes, "root").join(
         first.select(F.col("root"), F.col("_key"), F.col("_id")), "root"
@@ -272,16 +272,16 @@ def _first_rows(some: DataFrame) -> DataFrame:
     """Per class the row that stays: the smallest id, nulls last, then the smallest key."""
     order: Column = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("key").alias("k"))
     least = some.groupBy("root").agg(F.min(order).alias("_least"))
-    return settle(least.select("root", F.col("_least.k").alias("_key"), F.col("_least.d").alias("_id")))
+    return written(least.select("root", F.col("_least.k").alias("_key"), F.col("_least.d").alias("_id")))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: one of each class, and all with a null text."""
     known = docs.select("doc_id", "text")
     idf = inverse_frequencies(known)
-    rows = settle(_with_bands(known, idf))
+    rows = written(_with_bands(known, idf))
     links = near_links(known, rows, idf, threshold)
-    roots = settle(components(links))
+    roots = written(components(links))
     some = rows.filter("key is not null").join(roots, F.col("key") == F.col("node"), "left")
     first = _first_rows(some.select("doc_id", "key", F.coalesce("root", "key").alias("root")))
     columns = docs.columns
