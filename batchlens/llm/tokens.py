@@ -20,6 +20,19 @@ from tokenizers import Tokenizer  # noqa: E402
 
 MEMO_ENTRIES = 1_000_000  # some 200 MB when full
 
+_ENDS = '.,;:!?")]}#$%&*|-'  # may close a word; a run of them is a piece of its own
+_OLD_LETTERS = "\u0500"  # letters below are letters to every version of the Unicode tables
+
+
+def _byte_letters() -> dict[int, int]:
+    """How byte-level tokenizers write bytes: printable characters of Latin-1 as they are, others from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+_BLANK = chr(_BYTE_LETTERS[32])
 _BEFORE_WORD = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -40,15 +53,19 @@ class Pieces:
     run of digits, and so on, and then merges bytes inside each.  A single blank
     between two characters that aren't white space always begins a new one, and a
     single line break between two such characters is one of its own, so texts may
-    be cut there.  Pieces met before come from a memo.  Texts that hold a special
-    token's string go to the library whole.
+    be cut there.  Pieces met before come from a memo, of two generations: what was not
+    asked for while one filled up is forgotten.  A word of letters, with or without closing
+    punctuation, goes to the library's model alone, other pieces through all of the library.
+    Texts that hold a special token's string go to the library whole.
     """
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         self.whole = Whole(tokenizer)
+        self.tokenize = tokenizer.model.tokenize
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.line_break = tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
         words = text.split()
@@ -59,8 +76,8 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
+        if len(self.memo) > MEMO_ENTRIES // 2:
+            self.memo, self.older = {}, self.memo
         cut = [None if any(s in t for s in self.special) else self.cut(t) for t in texts]
         known = [list(map(self.memo.get, c)) if c else [] for c in cut]
         self._learn(list({p for c, k in zip(cut, known) if c for p, ids in zip(c, k) if ids is None}))
@@ -71,10 +88,32 @@ class Pieces:
                 out.append(b"".join(map(self.memo.__getitem__, pieces) if None in ids else ids))
         return out
 
+    def _by_model(self, piece: str) -> bytes | None:
+        """The ids of a word of letters and its closing punctuation, None for other pieces."""
+        body = piece.rstrip(_ENDS)
+        word = body[1:] if body[:1] == " " else body
+        if not word.isalpha():
+            return None
+        if body.isascii():
+            found = self.tokenize(body.replace(" ", _BLANK))
+        elif max(word) < _OLD_LETTERS:
+            found = self.tokenize(body.encode().decode("latin-1").translate(_BYTE_LETTERS))
+        else:
+            return None
+        if len(body) < len(piece):
+            found += self.tokenize(piece[len(body) :])
+        return array("I", [t.id for t in found]).tobytes()
+
     def _learn(self, pieces: list[str]) -> None:
-        """Words go to the library as one text, a line each; the ids of the line breaks part them again."""
+        """Words the model can't take alone go to the library as one text, a line each; the ids of the line breaks part them again."""
         plain, rest = [], []
         for p in pieces:
+            ids = self.older.get(p)
+            if ids is None:
+                ids = self._by_model(p)
+            if ids is not None:
+                self.memo[p] = ids
+                continue
             word = p[1:] if p[0] == " " else p
             (plain if word.split() == [word] else rest).append(p)
         self.memo.update(zip(rest, self.whole.encode(rest)))

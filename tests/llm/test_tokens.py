@@ -144,3 +144,21 @@ def test_other_tokenizers(spark, odd, name):
     texts = {r["doc_id"]: r["text"] or "" for r in odd.filter("doc_id is not null").collect()}
     for r in rows.filter("doc_id is not null").collect():
         assert r["n_tokens"] == count(texts[r["doc_id"]])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aéЖωßnN \n.,;:!?\")]}'x9-#$%&*|ʰ߷ա"), max_size=40))
+def test_words_by_the_model_alone_give_the_librarys_ids(text):
+    assert np.frombuffer(encoder(byte_bpe()).encode([text])[0], np.uint32).tolist() == ids(text)
+
+
+def test_memo_keeps_what_is_asked_for(monkeypatch):
+    import batchlens.llm.tokens as tokens
+
+    monkeypatch.setattr(tokens, "MEMO_ENTRIES", 20)
+    own = tokens.Pieces(Tokenizer.from_file(byte_bpe()))
+    for i in range(60):
+        text = f"always here and word{i} x{i}y, more-{i}"
+        assert np.frombuffer(own.encode([text])[0], np.uint32).tolist() == ids(text)
+        assert len(own.memo) <= 30 and len(own.older) <= 30
+    assert " here" in own.memo or " here" in own.older
