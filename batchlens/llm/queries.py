@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from batchlens.llm.centroids import cluster_vectors
 from batchlens.llm.counting import token_counts
@@ -90,8 +91,14 @@ def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op5_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of at least 50 words that two documents share, up to a fifth of their words."""
-    return repeated_passages(table(spark, sf_dir, "documents"), min_words=50, identity=0.8)
+    """Passages of at least 50 words that two documents share, up to a fifth of their words; a row for each side."""
+    found = repeated_passages(table(spark, sf_dir, "documents"), min_words=50, identity=0.8)
+    side = lambda own, other: F.struct(
+        F.col(f"doc_{own}").alias("doc_id"), F.col(f"start_{own}").alias("start"), F.col(f"words_{own}").alias("n_words"),
+        F.col(f"doc_{other}").alias("partner_id"), F.col(f"start_{other}").alias("partner_start"),
+        F.col(f"words_{other}").alias("partner_words"), "n_equal",
+    )
+    return found.select(F.inline(F.array(side("a", "b"), side("b", "a"))))
 
 
 @query()

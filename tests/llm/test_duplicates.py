@@ -107,10 +107,13 @@ def test_op5_finds_every_document_with_a_repeated_passage(spark, texts):
             at[tuple(w[i : i + 50])].add(d)
     want = {d for some in at.values() if len(some) > 1 for d in some}
     got = QUERIES["op5_chained_passages"](spark, SF).collect()
-    assert want <= {r["doc_a"] for r in got} | {r["doc_b"] for r in got}
+    assert want <= {r["doc_id"] for r in got}
+    assert {(r["doc_id"], r["start"], r["partner_id"], r["partner_start"]) for r in got} == {
+        (r["partner_id"], r["partner_start"], r["doc_id"], r["start"]) for r in got
+    }
     for r in got:
-        a = words[r["doc_a"]][r["start_a"] : r["start_a"] + r["words_a"]]
-        b = words[r["doc_b"]][r["start_b"] : r["start_b"] + r["words_b"]]
+        a = words[r["doc_id"]][r["start"] : r["start"] + r["n_words"]]
+        b = words[r["partner_id"]][r["partner_start"] : r["partner_start"] + r["partner_words"]]
         assert min(len(a), len(b)) >= 50 and r["n_equal"] >= 0.8 * max(len(a), len(b))
         table = [[0] * (len(b) + 1)]
         for x in a if len(a) < 300 else ():
