@@ -207,8 +207,7 @@ def seed_stability(
     n = df.count()
     flags = {seed: f"in_{i}" for i, seed in enumerate(seeds)}
     flagged = settle(sample_flags(df.select(key, *cols), round(frac * n), {f: s for s, f in flags.items()}, key, n))
-    scores = IsolationForest(trees=trees, **forest).fit_score_seeds(flagged, cols, flags, key)
-    both = settle(scores.join(flagged.select(key, *flags.values()), key))
+    both = settle(IsolationForest(trees=trees, **forest).fit_score_seeds(flagged, cols, flags, key, keep=True))
     # Cutoffs come from the rows a seed was grown on, labels go to all rows.
     known = both.select(*[F.when(F.col(f), F.col(f"decision_{s}")).alias(f"d{s}") for s, f in flags.items()])
     cut = quantile_values(known, [f"d{s}" for s in seeds], contaminations)

@@ -6,8 +6,11 @@ Two ways to choose the rows a tree is grown from:
   table; growing them costs trees × ψ rows, and scoring is one pass without an
   exchange.  This is the way to run on a table of any size.
 * ``"all"``: every tree sees every (sampled) row, so the work is rows × trees by
-  definition.  Nodes above ``group_rows`` rows are split by counting passes over
-  the table; once a node fits, its rows meet in one task that finishes it.
+  definition.  Large nodes are split by counting passes over the table, their
+  splits held in a table of at most ``table_nodes`` nodes that goes to every task;
+  where that table would grow too large, nodes still above ``group_rows`` rows are
+  split level by level in the frame, where no split reaches the driver.  Once a
+  node fits, its rows meet in one task that finishes it.
 
 Scores do not depend on how rows are distributed, on ``group_rows``, or on how
 many trees a task grows.
@@ -30,8 +33,7 @@ from batchlens.functions import hash_text, isolation
 from batchlens.operators.ranking import global_rank, sample_flag
 from batchlens.sources.shared import settle
 
-# Nodes of a tree table that may be sent to every task (about 50 bytes each).
-TABLE_NODES = 2_000_000
+TABLE_NODES = 2_000_000  # nodes of a tree table that may be sent to every task (about 50 bytes each)
 _FEW = 1 << 20  # rows of a table that is written out and spread before it is worked on
 _GROUP = ("seed", "first_tree", "last_tree", "bin")  # rows that one task works on together
 _PATH_FIELDS = "id bigint, seed bigint, last_tree int, path bigint"
@@ -40,13 +42,17 @@ _NODE_FIELDS = "tree int, node bigint, depth int, feature int, threshold double,
 
 @dataclass(frozen=True)
 class IsolationForest:
-    """``max_samples`` is "all" or a number of rows per tree; ``max_depth`` None means ⌈log2 ψ⌉."""
+    """``max_samples`` is "all" or a number of rows per tree; ``max_depth`` None means ⌈log2 ψ⌉.
+
+    What a task holds is bounded by ``group_rows`` and ``table_nodes``, whatever the table.
+    """
 
     trees: int = 100
     max_samples: int | str = "all"
     seed: int = 42
     max_depth: int | None = None
     group_rows: int = 1 << 20
+    table_nodes: int = TABLE_NODES
 
     def fit_score(
         self,
@@ -71,36 +77,38 @@ class IsolationForest:
         return _scores(totals, key, names, psi)
 
     def fit_score_seeds(
-        self, df: DataFrame, cols: Sequence[str], sampled: Mapping[int, str | None], key: str = "row_key"
+        self, df: DataFrame, cols: Sequence[str], sampled: Mapping[int, str | None], key: str = "row_key", keep: bool = False
     ) -> DataFrame:
-        """One forest per seed, grown together: ``key``, ``score_<seed>``, ``decision_<seed>``.
+        """One forest per seed, grown and walked together: ``key``, ``score_<seed>``, ``decision_<seed>``.
 
-        ``sampled`` maps each seed to the boolean column marking its rows.
+        ``sampled`` maps each seed to the boolean column marking its rows; with ``keep``
+        these columns are passed on.
         """
         totals, psi = self._totals(df, list(cols), key, sampled, [self.trees])
-        return _scores(totals, key, {(seed, self.trees): f"_{seed}" for seed in sampled}, psi)
+        flags = [F.col(_flag(seed)).alias(column) for seed, column in sampled.items() if column] if keep else []
+        return _scores(totals, key, {(seed, self.trees): f"_{seed}" for seed in sampled}, psi, flags)
 
     def _totals(self, df, cols, key, sampled: Mapping[int, str | None], cuts) -> tuple[DataFrame, dict[int, int]]:
-        """Path totals per row, seed and cut; and the rows each seed's trees were grown from."""
+        """Path totals per row, seed and cut beside the key and the flags; and the rows each seed's trees were grown from."""
         d, seeds = len(cols), list(sampled)
         rows = _matrix(df, cols, key, sampled)
         facts = _facts(rows, d, seeds)
         rows = _spread(rows, facts[seeds[0]].n_rows)
+        flags = [_flag(s) for s in seeds]
         if self.max_samples == "all":
             # Rows go through Python once per tree or block: as a number, not as their key.
             rows = rows.withColumn("id", F.monotonically_increasing_id())
             rows = rows if facts[seeds[0]].n_rows <= _FEW else settle(rows)
             paths = self._grow_all(rows.drop("key"), facts, d, cuts)
-            totals = paths.groupBy("id").agg(*_sums(seeds, cuts)).join(rows.select("id", "key"), "id")
+            totals = paths.groupBy("id").agg(*_sums(seeds, cuts)).join(rows.select("id", "key", *flags), "id")
             return totals, {s: facts[s].n_sampled for s in seeds}
-        psi, parts = {}, []
-        for seed in seeds:
+        psi, parts, plan = {}, [], {}
+        for k, seed in enumerate(seeds):
             nodes, psi[seed] = self._grow_sampled(rows, facts[seed], d, seed)
-            parts.append(_walk_all(rows, nodes, d, seed, cuts))
-        totals = parts[0]
-        for part in parts[1:]:
-            totals = totals.join(part, "key")
-        return totals, psi
+            # seed after seed, the trees of all forests are one series of numbers
+            parts.append(nodes.withColumn("tree", F.col("tree") + F.lit(k * self.trees)))
+            plan |= {k * self.trees + c: (_total(seed, c), c == cuts[-1]) for c in cuts}
+        return _walk(rows, _union(parts), d, plan, flags, self.table_nodes), psi
 
     def fit(self, df: DataFrame, cols: Sequence[str], key: str = "row_key", sampled: str | None = None) -> DataFrame:
         """The node table (tree, node, depth, feature, threshold, n); leaves have no feature.
@@ -121,7 +129,8 @@ class IsolationForest:
         parts = []
         for top in self._tops(rows, facts[self.seed], d, self.seed):
             parts.append(top.own_nodes(rows.sparkSession))
-            parts.append(_grow_nodes(top.rows_by_bin(rows, d), d, {self.seed: limit}))
+            groups, _, nodes = self._groups(top, rows, d, limit)
+            parts += [_grow_nodes(groups, d, {self.seed: limit}), *nodes]
         return _union(parts)
 
     # -- every row in every tree -------------------------------------------------
@@ -144,18 +153,24 @@ class IsolationForest:
         parts = []
         for seed in facts:
             for top in self._tops(rows, facts[seed], d, seed):
-                parts.append(_grow_paths(top.rows_by_bin(rows, d), d, limits))
+                groups, ended, _ = self._groups(top, rows, d, limits[seed])
+                parts += [_grow_paths(groups, d, limits), *ended]
                 if top.finished:
                     parts.append(top.finished_paths(rows, d))
         return _union(parts)
 
+    def _groups(self, top: _Tops, rows: DataFrame, d: int, limit: int) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+        """Rows in groups that a task can finish; paths of rows that ended before; nodes decided before."""
+        lots = top.rows_by_bin(rows, d)
+        return _split_in_frame(lots, d, limit, self.group_rows) if top.group_rows > self.group_rows else (lots, [], [])
+
     def _tops(self, rows: DataFrame, facts: _Facts, d: int, seed: int):
         # A level has at most n / group_rows nodes that large, in any tree; that
         # bounds the table of tops before anything is counted.
         limit = self._limit(facts.n_sampled)
-        group_rows = max(self.group_rows, ceil(4 * limit * facts.n_rows / TABLE_NODES))
+        group_rows = max(self.group_rows, ceil(4 * limit * facts.n_rows / self.table_nodes))
         per_tree = 4 * limit * ceil(facts.n_rows / group_rows)
-        batch = max(1, min(self.trees, TABLE_NODES // per_tree))
+        batch = max(1, min(self.trees, self.table_nodes // per_tree))
         for first in range(1, self.trees + 1, batch):
             trees = range(first, min(first + batch, self.trees + 1))
             yield _Tops.build(rows, facts, d, seed, trees, limit, group_rows)
@@ -361,13 +376,14 @@ class _Tops:
 
     seed: int
     trees: range
+    group_rows: int
     inner: dict  # (tree, node) -> (feature, threshold, sampled rows)
     bins: dict  # (tree, node) -> bin; the node's rows fit in one task
     finished: dict  # (tree, node) -> sampled rows; large, but cannot be split
 
     @classmethod
     def build(cls, rows, facts, d, seed, trees, limit, group_rows) -> _Tops:
-        tops = cls(seed, trees, {}, {}, {})
+        tops = cls(seed, trees, group_rows, {}, {}, {})
         fits: dict = {}
         pending = {(t, 1): (facts.n_rows, facts.n_sampled, facts.low, facts.high) for t in trees}
         while pending:
@@ -421,32 +437,37 @@ class _Tops:
                     known.setdefault((tree, child))
         table = self._table(list(known))
         asked = np.array([(int(t), int(k)) in wanted for t, k in zip(table["tree"], table["node"])])
-        shared = rows.sparkSession.sparkContext.broadcast((table, asked))
+        # counted are the asked nodes alone, by their place among them
+        of_slot = np.where(asked, np.cumsum(asked) - 1, -1).astype(np.int32)
+        names = table["tree"][asked].astype(np.int32), table["node"][asked]
+        shared = rows.sparkSession.sparkContext.broadcast((table, of_slot, names))
         trees, flag = self.trees, _flag(self.seed)
 
         def count(batches):
-            table, asked = shared.value
-            size = np.zeros(len(asked), dtype=np.int64)
-            n = np.zeros(len(asked), dtype=np.int64)
-            low, high = np.full((d, len(asked)), np.inf), np.full((d, len(asked)), -np.inf)
+            table, of_slot, (tree_of, node_of) = shared.value
+            held = len(node_of)
+            size, n = np.zeros(held, dtype=np.int64), np.zeros(held, dtype=np.int64)
+            low, high = np.full((d, held), np.inf), np.full((d, held), -np.inf)
             for batch in batches:
                 x, sampled = _x(batch, d), batch.column(flag).to_numpy(zero_copy_only=False).astype(bool)
                 for tree in trees:
-                    slot = isolation.walk(table, x, tree)
-                    here = np.flatnonzero(asked[slot])
-                    size += np.bincount(slot[here], minlength=len(asked))
-                    here = here[sampled[here]]
+                    place = of_slot[isolation.walk(table, x, tree)]
+                    here = np.flatnonzero(place >= 0)
                     if not here.size:
                         continue
-                    order = here[np.argsort(slot[here], kind="stable")]
-                    slots = slot[order]
-                    starts, spans = isolation.runs(slots)
-                    at, part = slots[starts], x[:, order]
+                    order = here[np.argsort(place[here], kind="stable")]
+                    starts, spans = isolation.runs(place[order])
+                    size[place[order][starts]] += spans
+                    order = order[sampled[order]]
+                    if not order.size:
+                        continue
+                    starts, spans = isolation.runs(place[order])
+                    at, part = place[order][starts], x[:, order]
                     n[at] += spans
                     low[:, at] = np.minimum(low[:, at], np.minimum.reduceat(part, starts, axis=1))
                     high[:, at] = np.maximum(high[:, at], np.maximum.reduceat(part, starts, axis=1))
             met = np.flatnonzero(size)
-            columns = {"tree": table["tree"][met].astype(np.int32), "node": table["node"][met], "size": size[met], "n": n[met]}
+            columns = {"tree": tree_of[met], "node": node_of[met], "size": size[met], "n": n[met]}
             columns |= {f"l{i}": low[i, met] for i in range(d)} | {f"h{i}": high[i, met] for i in range(d)}
             yield pa.RecordBatch.from_pydict(columns)
 
@@ -521,90 +542,189 @@ class _Tops:
         return spark.createDataFrame(nodes, _NODE_FIELDS)
 
 
+# -- nodes whose splits do not fit the driver's table ----------------------------------
+
+
+_PLACE = ("seed", "first_tree", "last_tree", "bin", "node")
+
+
+def _split_in_frame(lots: DataFrame, d: int, limit: int, group_rows: int) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """Rows at nodes of any size, split until each node fits ``group_rows``; see ``IsolationForest._groups``.
+
+    A level is one aggregate of sizes and ranges per node and one join of the rows with
+    their node's split.  Splits are a table, of which the driver sees nothing but whether
+    it is empty; a node that holds many rows is a hot key of a join that run-time
+    re-planning splits.
+    """
+    values = [c for c in lots.columns if c not in (*_PLACE, "sampled")]
+    xs = [f"x{i}" for i in range(d)]
+    when_sampled = lambda x: F.when(F.col("sampled"), F.col(x))
+    state, level = lots, 0
+    groups, ended, nodes = [], [], []
+    while True:
+        facts = state.groupBy(*_PLACE).agg(
+            F.count(F.lit(1)).alias("size"),
+            F.count_if("sampled").alias("n"),
+            F.array(*[F.coalesce(F.min(when_sampled(x)), F.lit(np.inf)) for x in xs]).alias("low"),
+            F.array(*[F.coalesce(F.max(when_sampled(x)), F.lit(-np.inf)) for x in xs]).alias("high"),
+        )
+        decided = settle(_decide(facts, d, limit, group_rows))
+        small = F.col("size") > F.lit(group_rows // 2)
+        # Small nodes of a bin share groups: each of at most half ``group_rows`` or one node alone.
+        order = Window.partitionBy("seed", "first_tree", "bin", small).orderBy("node")
+        filled = F.floor((F.sum("size").over(order) - F.col("size")) / F.lit(max(1, group_rows // 2)))
+        name = F.concat_ws("-", F.lit(level), "bin", F.when(small, F.concat(F.lit("n"), F.col("node"))).otherwise(filled.cast("string")))
+        fits = decided.filter("kind = 'fits'").withColumn("group", name).select(*_PLACE, "group")
+        groups.append(state.join(fits, list(_PLACE)).select("seed", "first_tree", "last_tree", F.col("group").alias("bin"), "node", "sampled", *values))
+        ends = decided.filter("kind = 'ends'")
+        if "id" in values:
+            ended.append(state.join(ends.select(*_PLACE, "path"), list(_PLACE)).select("id", "seed", "last_tree", "path"))
+        tree = F.col("first_tree").alias("tree")
+        nodes.append(decided.filter("kind <> 'fits'").select(tree, "node", "depth", "feature", "threshold", "n"))
+        splits = decided.filter("kind = 'splits'")
+        if splits.isEmpty():
+            return _union(groups), ended, nodes
+        value = F.element_at(F.array(*xs), F.col("feature") + 1)
+        child = (F.col("node") * 2 + (value > F.col("threshold")).cast("bigint")).alias("node")
+        moved = state.join(splits.select(*_PLACE, "feature", "threshold"), list(_PLACE))
+        state = settle(moved.select("seed", "first_tree", "last_tree", "bin", child, "sampled", *values))
+        level += 1
+
+
+def _decide(facts: DataFrame, d: int, limit: int, group_rows: int) -> DataFrame:
+    """Whether a node fits a group, ends (and with which path), or splits (and how)."""
+
+    def run(batches):
+        for batch in batches:
+            seed, tree, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("seed", "first_tree", "node"))
+            size, n = batch.column("size").to_numpy(), batch.column("n").to_numpy()
+            low, high = (batch.column(c).flatten().to_numpy().reshape(-1, d).T for c in ("low", "high"))
+            depth = isolation.depth_of(node)
+            fits = size <= group_rows
+            splits = ~fits & (depth < limit) & (n > 1) & (high > low).any(axis=0)
+            feature, threshold = np.full(len(node), -1), np.zeros(len(node))
+            for s, t in sorted(set(zip(seed[splits].tolist(), tree[splits].tolist()))):
+                at = np.flatnonzero(splits & (seed == s) & (tree == t))
+                feature[at], threshold[at] = isolation.choose_splits(s, t, node[at], low[:, at], high[:, at])
+            columns = {c: batch.column(c) for c in (*_PLACE, "size", "n")}
+            columns |= {
+                "kind": pa.array(np.where(fits, "fits", np.where(splits, "splits", "ends")).tolist(), pa.string()),
+                "depth": pa.array(depth.astype(np.int32)),
+                "feature": pa.array(feature.astype(np.int32), mask=~splits),
+                "threshold": pa.array(threshold, mask=~splits),
+                "path": pa.array(isolation.leaf_path(depth, n)),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+
+    fields = "seed bigint, first_tree int, last_tree int, bin int, node bigint, size bigint, n bigint"
+    return facts.mapInArrow(run, f"{fields}, kind string, depth int, feature int, threshold double, path bigint")
+
+
 # -- scoring ---------------------------------------------------------------------------
 
 
-def _scores(totals: DataFrame, key: str, names: Mapping[tuple[int, int], str], psi: Mapping[int, int]) -> DataFrame:
-    """Score and decision columns; ``names`` gives the suffix of each (seed, size)."""
+def _scores(
+    totals: DataFrame, key: str, names: Mapping[tuple[int, int], str], psi: Mapping[int, int], others: Sequence = ()
+) -> DataFrame:
+    """Score and decision columns, and ``others``; ``names`` gives the suffix of each (seed, size)."""
     out = [F.col("key").alias(key)]
     for (seed, size), suffix in names.items():
         norm = float(isolation.average_path(psi[seed])) or 1.0
         mean = F.col(_total(seed, size)) / F.lit(float(size) * isolation.PATH_UNIT)
         score = F.pow(F.lit(2.0), -mean / F.lit(norm))
         out += [score.alias(f"score{suffix}"), (F.lit(0.5) - score).alias(f"decision{suffix}")]
-    return totals.select(*out)
+    return totals.select(*out, *others)
 
 
-def score(df: DataFrame, cols: Sequence[str], nodes: DataFrame, psi: int, key: str = "row_key") -> DataFrame:
+def score(
+    df: DataFrame, cols: Sequence[str], nodes: DataFrame, psi: int, key: str = "row_key", table_nodes: int = TABLE_NODES
+) -> DataFrame:
     """Score rows against a stored node table grown from ``psi`` rows per tree; refuses gaps, as growing does."""
     trees = nodes.agg(F.max("tree")).first()[0]
     rows = _matrix(df, list(cols), key, {})
     gaps = rows.filter(F.greatest(*[(F.col(f"x{i}").isNull() | F.isnan(f"x{i}")).cast("int") for i in range(len(cols))], F.lit(0)) > 0).count()
     if gaps:
         raise ValueError(f"{gaps} rows have missing attribute values; impute them first")
-    return _scores(_walk_all(rows, nodes, len(cols), 0, [trees]), key, {(0, trees): ""}, {0: psi})
+    totals = _walk(rows, nodes, len(cols), {trees: (_total(0, trees), True)}, [], table_nodes)
+    return _scores(totals, key, {(0, trees): ""}, {0: psi})
 
 
-def _walk_all(rows: DataFrame, nodes: DataFrame, d: int, seed: int, cuts: Sequence[int]) -> DataFrame:
-    """(key, path total for each size): a small forest goes to the rows, a large one is joined to them."""
-    if nodes.count() <= TABLE_NODES:
-        return _walk_shared(rows, nodes, d, seed, cuts)
-    return _walk_joined(rows, nodes, d, seed, cuts)
+def _walk(
+    rows: DataFrame, nodes: DataFrame, d: int, plan: Mapping[int, tuple[str, bool]], keep: Sequence[str], table_nodes: int
+) -> DataFrame:
+    """``key``, ``keep`` and path totals: rows go through the trees in order, with their total so far.
 
-
-def _walk_shared(rows: DataFrame, nodes: DataFrame, d: int, seed: int, cuts: Sequence[int]) -> DataFrame:
-    small = nodes.toPandas()  # at most TABLE_NODES rows, checked by the caller
+    ``plan`` says after which trees the total becomes a column, and whether it starts anew
+    there.  Whole trees go to the rows in batches of at most ``table_nodes`` nodes, a pass
+    each; nothing is exchanged.  A single tree above that is joined to the rows.
+    """
+    sizes = [(r["tree"], r["n"]) for r in nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).orderBy("tree").collect()]
+    batches: list[tuple[list[int], int]] = []  # one row a tree was collected
+    for tree, n in sizes:
+        if batches and batches[-1][1] + n <= table_nodes:
+            batches[-1] = [*batches[-1][0], tree], batches[-1][1] + n
+        else:
+            batches.append(([tree], n))
+    state = rows.select("key", *keep, *[f"x{i}" for i in range(d)], F.lit(0).cast("bigint").alias("_total"))
+    for k, (trees, n) in enumerate(batches):
+        some = nodes.filter(F.col("tree").between(trees[0], trees[-1]))
+        mine = {t: plan[t] for t in trees if t in plan}
+        state = _walk_shared(state, some, d, mine) if n <= table_nodes else _walk_joined(state, some, d, mine)
+        if k + 1 < len(batches):
+            state = settle(state)
+    return state.select("key", *keep, *[name for name, _ in plan.values()])
+
+
+def _walk_shared(state: DataFrame, nodes: DataFrame, d: int, plan: Mapping[int, tuple[str, bool]]) -> DataFrame:
+    small = nodes.toPandas()  # at most ``table_nodes`` rows, checked by the caller
     table = isolation.tree_table(small["tree"], small["node"], small["feature"].fillna(-1), small["threshold"].fillna(0.0))
     paths = isolation.leaf_path(small["depth"].to_numpy(), small["n"].to_numpy())[table["order"]]
-    shared = rows.sparkSession.sparkContext.broadcast((table, paths))
-    named = {c: _total(seed, c) for c in cuts}
+    shared = state.sparkSession.sparkContext.broadcast((table, paths))
 
     def walk(batches):
         table, paths = shared.value
         for batch in batches:
-            x, total = _x(batch, d), np.zeros(batch.num_rows, dtype=np.int64)
-            columns = {"key": batch.column("key")}
+            x, total, columns = _x(batch, d), batch.column("_total").to_numpy(), {}
             for tree in table["roots"]:
                 total = total + paths[isolation.walk(table, x, tree)]
-                if tree in named:
-                    columns[named[tree]] = total
-            yield pa.RecordBatch.from_pydict(columns)
+                if tree in plan:
+                    name, anew = plan[tree]
+                    columns[name] = total
+                    total = np.zeros_like(total) if anew else total
+            carried = {c: batch.column(c) for c in batch.schema.names if c != "_total"}
+            yield pa.RecordBatch.from_pydict({**carried, "_total": total, **columns})
 
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.select("key", *[f"x{i}" for i in range(d)]).mapInArrow(walk, f"key {kind}, " + ", ".join(f"`{n}` bigint" for n in named.values()))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema if f.name != "_total"]
+    return state.mapInArrow(walk, ", ".join([*kinds, "_total bigint", *[f"`{name}` bigint" for name, _ in plan.values()]]))
 
 
-def _walk_joined(rows: DataFrame, nodes: DataFrame, d: int, seed: int, cuts: Sequence[int]) -> DataFrame:
-    """Level by level: every (row, tree) meets its node by an equi-join.
+def _walk_joined(state: DataFrame, nodes: DataFrame, d: int, plan: Mapping[int, tuple[str, bool]]) -> DataFrame:
+    """One tree, level by level: every row meets its node by an equi-join.
 
     The upper levels are few nodes and are broadcast from their measured size;
     below, rows have spread over many nodes, and a hot one is split at run time.
     """
-    trees, depth = nodes.agg(F.max("tree"), F.max("depth")).first()
-    owed = F.col("n").cast("double")
-    average = (
-        F.when(owed > 2, 2.0 * (F.ln(owed - 1.0) + isolation.EULER_GAMMA) - 2.0 * (owed - 1.0) / owed)
-        .when(owed == 2, 1.0)
-        .otherwise(0.0)
-    )
-    value = F.element_at(F.array(*[F.col(f"x{i}") for i in range(d)]), F.col("feature") + 1)
-    state = rows.select("key", *[f"x{i}" for i in range(d)]).withColumns(
-        {"tree": F.explode(F.sequence(F.lit(1), F.lit(trees))), "node": F.lit(1).cast("bigint")}
-    )
-    ended = []
+    xs = [f"x{i}" for i in range(d)]
+    state = settle(state.withColumn("_id", F.monotonically_increasing_id()))
+
+    def with_path(batches):
+        for batch in batches:
+            depth, n = batch.column("depth").to_numpy(), batch.column("n").to_numpy()
+            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in batch.schema.names}, "path": isolation.leaf_path(depth, n)})
+
+    nodes = settle(nodes.select("node", "depth", "feature", "threshold", "n").mapInArrow(with_path, "node bigint, depth int, feature int, threshold double, n bigint, path bigint"))
+    depth = nodes.agg(F.max("depth")).first()[0]
+    value = F.element_at(F.array(*xs), F.col("feature") + 1)
+    at, ended = state.select("_id", *xs, F.lit(1).cast("bigint").alias("node")), []
     for level in range(depth + 1):
-        here = state.join(nodes.filter(F.col("depth") == level).select("tree", "node", "depth", "feature", "threshold", "n"), ["tree", "node"])
-        here = settle(here)
-        ended.append(
-            here.filter("feature is null").select(
-                "key", F.lit(seed).alias("seed"), F.col("tree").alias("last_tree"), F.rint((F.col("depth") + average) * isolation.PATH_UNIT).cast("bigint").alias("path")
-            )
-        )
-        state = here.filter("feature is not null").select(
-            "key", *[f"x{i}" for i in range(d)], "tree",
-            (F.col("node") * 2 + (value > F.col("threshold")).cast("bigint")).alias("node"),
-        )
-    return _union(ended).groupBy("key").agg(*_sums([seed], cuts))
+        here = settle(at.join(nodes.filter(F.col("depth") == level).select("node", "feature", "threshold", "path"), "node"))
+        ended.append(here.filter("feature is null").select("_id", "path"))
+        child = (F.col("node") * 2 + (value > F.col("threshold")).cast("bigint")).alias("node")
+        at = here.filter("feature is not null").select("_id", *xs, child)
+    out = state.join(_union(ended), "_id").withColumn("_total", F.col("_total") + F.col("path")).drop("_id", "path")
+    for name, anew in plan.values():
+        out = out.withColumn(name, F.col("_total")).withColumn("_total", F.lit(0).cast("bigint") if anew else F.col("_total"))
+    return out
 
 
 # Closures above refer to helpers of this module; tasks get them by value.

@@ -68,11 +68,59 @@ def test_stored_nodes_score_like_the_growth(points, reference, group_rows):
     assert scored(score(points, COLS, nodes, 3000)) == reference
 
 
-def test_a_large_node_table_is_joined(points, reference, monkeypatch):
-    nodes = settle(IsolationForest(trees=12).fit(points, COLS))
-    monkeypatch.setattr(forest_module, "TABLE_NODES", 10)
-    joined = scored(score(points, COLS, nodes, 3000))
-    assert all(joined[k] == pytest.approx(v, abs=1e-9) for k, v in reference.items())
+@pytest.mark.parametrize("table_nodes", [10, 1000, 5000])
+def test_a_forest_too_large_to_send_is_walked_in_batches(points, reference, table_nodes):
+    """Equal to the last bit: trees in batches, and with 10 nodes every tree joined level by level."""
+    nodes = settle(IsolationForest(trees=12 if table_nodes > 10 else 3).fit(points, COLS))
+    trees = nodes.groupBy("tree").count().collect()
+    assert table_nodes == 10 or 1 < sum(r["count"] for r in trees) / table_nodes
+    whole = scored(score(points, COLS, nodes, 3000))
+    assert scored(score(points, COLS, nodes, 3000, table_nodes=table_nodes)) == whole
+    assert table_nodes == 10 or whole == reference
+
+
+@pytest.mark.parametrize("group_rows,table_nodes", [(100, 1200), (64, 400)])
+def test_nodes_beyond_the_drivers_table_are_split_in_the_frame(points, group_rows, table_nodes):
+    """The table of tops would need larger groups; the rest is split by aggregates and joins instead."""
+    small, forest = IsolationForest(trees=3), IsolationForest(trees=3, group_rows=group_rows, table_nodes=table_nodes)
+    assert 4 * 12 * 3000 / table_nodes > group_rows
+    assert scored(forest.fit_score(points, COLS)) == scored(small.fit_score(points, COLS))
+    plain, deep = small.fit(points, COLS), forest.fit(points, COLS)
+    assert plain.exceptAll(deep).count() == deep.exceptAll(plain).count() == 0
+
+
+def test_a_task_holds_no_group_above_group_rows(points):
+    forest = IsolationForest(trees=2, group_rows=200, table_nodes=300)
+    rows = forest_module._matrix(points, COLS, "row_key", {42: None})
+    facts = forest_module._facts(rows, 3, [42])
+    rows = rows.drop("key").withColumn("id", F.monotonically_increasing_id())
+    sizes = []
+    for top in forest._tops(settle(rows), facts[42], 3, 42):
+        assert len(top.inner) + len(top.bins) + len(top.finished) <= forest.table_nodes
+        groups, _, _ = forest._groups(top, rows, 3, 12)
+        sizes += [r["count"] for r in groups.groupBy("seed", "first_tree", "last_tree", "bin").count().collect()]
+    assert max(sizes) <= 200 and sum(sizes) <= 2 * 3000
+
+
+def test_seeds_share_one_walk(points):
+    """All forests of samples are walked in one pass, equal to each seed by itself, and flags are kept."""
+    flags = {s: f"in_{s}" for s in (1, 2, 3)}
+    df = points
+    for s, f in flags.items():
+        df = sample_flag(df, 2400, s, "row_key", 3000, f)
+    df = settle(df)
+    together = IsolationForest(trees=9, max_samples=64).fit_score_seeds(df, COLS, flags, keep=True)
+    assert set(flags.values()) <= set(together.columns)
+    plan = together._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+    rows = {r["row_key"]: r for r in together.collect()}
+    marks = {r["row_key"]: r for r in df.collect()}
+    for s, f in flags.items():
+        alone = scored(IsolationForest(trees=9, max_samples=64, seed=s).fit_score(df, COLS, sampled=f))
+        assert {k: r[f"decision_{s}"] for k, r in rows.items()} == alone
+        assert all(r[f] == marks[k][f] for k, r in rows.items())
+    in_batches = IsolationForest(trees=9, max_samples=64, table_nodes=700).fit_score_seeds(df, COLS, flags)
+    assert {r["row_key"]: r["decision_3"] for r in in_batches.collect()} == {k: r["decision_3"] for k, r in rows.items()}
 
 
 @pytest.mark.parametrize("group_rows", [1 << 20, 500])
