@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from batchlens.functions import finite_only
 from batchlens.operators.forest import IsolationForest
@@ -16,6 +18,7 @@ from batchlens.operators.ranking import sample_flags
 from batchlens.sources.shared import settle
 
 _SETTINGS = 1000  # groups that one box summary compares
+_WORD = 62  # labels packed into one number
 
 
 def label_outliers(
@@ -86,29 +89,33 @@ def contamination_grid(
 ) -> DataFrame:
     """For each forest size and contamination: rows strictly below the quantile, and the score summary.
 
-    All cutoffs come from one call, all counts from one pass.
+    All cutoffs come from one call.  A score's place among its forest's sorted cutoffs tells
+    which of them it lies below, so rows are counted by place, whatever the number of cells,
+    and the grid meets these few counts in a join.
     """
+    sizes, contaminations = list(dict.fromkeys(sizes)), list(dict.fromkeys(contaminations))
     cols = [f"{prefix}{s}" for s in sizes]
     finite = scores.select(*[finite_only(F.col(c)).alias(c) for c in cols])
-    cut = quantile_values(finite, cols, [*contaminations, 0.5])
-    row = finite.agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("contamination"),
-                    F.lit(s).alias("n_estimators"),
-                    F.count_if(F.col(col) < F.lit(cut[col, c])).alias("outliers_flagged"),
-                    F.min(col).alias("score_min"),
-                    F.max(col).alias("score_max"),
-                    F.lit(cut[col, 0.5]).alias("score_median"),
-                    F.stddev_samp(col).alias("score_std"),
-                )
-                for s, col in zip(sizes, cols)
-                for c in contaminations
-            ]
-        ).alias("grid")
+    cut = quantile_values(finite, cols, list(contaminations))
+    spark, cells, places = scores.sparkSession, [], []
+    for size, col in zip(sizes, cols):
+        known = sorted({cut[col, c] for c in contaminations} - {None})
+        # a score below the k-th cutoff has at most k cutoffs that it reaches
+        cells += [(size, float(c), cut[col, c], known.index(cut[col, c]) if known else -1) for c in contaminations]
+        reached = F.filter(F.array(*map(F.lit, known)), lambda q: q <= F.col(col)) if known else F.array()
+        places.append(F.struct(F.lit(size).alias("n_estimators"), F.when(F.col(col).isNotNull(), F.size(reached)).alias("reached")))
+    cutoffs = spark.createDataFrame(cells, "n_estimators int, contamination double, cutoff double, place int")
+    grid = param_grid(spark, n_estimators=list(sizes), contamination=[float(c) for c in contaminations]).join(cutoffs, ["n_estimators", "contamination"])
+    counted = finite.select(F.inline(F.array(*places))).filter("reached is not null").groupBy("n_estimators", "reached").agg(F.count(F.lit(1)).alias("n"))
+    below = grid.join(
+        counted.withColumnRenamed("n_estimators", "_size"), (F.col("_size") == F.col("n_estimators")) & (F.col("reached") <= F.col("place")), "left"
     )
-    return row.select(F.inline("grid")).orderBy("n_estimators", "contamination")
+    flagged = below.groupBy("contamination", "n_estimators").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("outliers_flagged"))
+    named = F.create_map(*[x for s, c in zip(sizes, cols) for x in (F.lit(c), F.lit(s))])
+    summary = score_summary(finite, cols).select(F.element_at(named, F.col("scores")).alias("n_estimators"), "score_min", "score_max", "score_median", "score_std")
+    return flagged.join(summary, "n_estimators").select(
+        "contamination", "n_estimators", "outliers_flagged", "score_min", "score_max", "score_median", "score_std"
+    ).orderBy("n_estimators", "contamination")
 
 
 def estimator_sweep(
@@ -150,43 +157,65 @@ def stability_pairs(
 ) -> DataFrame:
     """Adjusted Rand index of every pair of runs, from long labels (key, run, *by, label).
 
-    A row's labels over all runs are packed into one number, rows with the same
-    number are counted, and the pairs are formed from those few counts; rows are
-    never paired with each other or repeated per pair.
+    A row's labels over all runs are packed into bits, rows with the same bits are
+    counted, and the pairs are formed from those counts; rows are never paired with
+    each other or repeated per pair.  Rows that repeat a run count once, and are -1
+    there if any of them is.
     """
-    if len(runs) > 62:
-        raise ValueError("at most 62 runs fit in one pattern")
-    bit = F.coalesce(*[F.when(F.col(run) == r, F.lit(1 << i)) for i, r in enumerate(runs)])
-    packed = labels.groupBy(key, *by).agg(
-        F.sum(F.when(F.col(label) == -1, bit).otherwise(0)).cast("bigint").alias("pattern")
-    )
-    return pattern_pairs(packed, runs, by)
+    place = F.array_position(F.array(*map(F.lit, runs)), F.col(run)).cast("int") - 1
+    mine = (F.col(label) == -1) & (place >= 0)
+    words = [
+        F.bit_or(F.when(mine & (F.floor(place / _WORD) == w), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(_WORD)))).otherwise(F.lit(0).cast("bigint")))
+        for w in range(-(-len(runs) // _WORD))
+    ]
+    return pattern_pairs(labels.groupBy(key, *by).agg(F.array(*words).alias("pattern")), runs, by)
+
+
+def _packed(marks: Sequence[Column]) -> Column:
+    """Booleans as bits, ``_WORD`` to a number."""
+    bit = lambda mark, i: F.when(mark, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    words = [marks[w : w + _WORD] for w in range(0, len(marks), _WORD)]
+    return F.array(*[reduce(lambda a, b: a + b, [bit(m, i) for i, m in enumerate(word)]) for word in words])
 
 
 def pattern_pairs(packed: DataFrame, runs: Sequence, by: Sequence[str] = ("contamination",)) -> DataFrame:
-    """``stability_pairs`` from rows that already carry ``pattern``: bit i set where run i said -1."""
+    """``stability_pairs`` from rows that already carry ``pattern``, an array of words: bit i is set where run i said -1.
+
+    How often two runs both say -1 is a product of the counted patterns' bits with
+    themselves.  A task adds it up over the patterns it holds and sends a row a pair.
+    """
     counted = packed.groupBy(*by, "pattern").agg(F.count(F.lit(1)).alias("n"))
-    pairs = F.array(
-        *[
-            F.struct(F.lit(f"{runs[i]}-{runs[j]}").alias("seed_pair"), F.lit(1 << i).cast("bigint").alias("a"), F.lit(1 << j).cast("bigint").alias("b"))
-            for i, j in combinations(range(len(runs)), 2)
-        ]
-    )
-    has = lambda bit: F.col("pattern").bitwiseAND(F.col(bit)) != 0
-    cells = (
-        counted.select(*by, "pattern", "n", F.inline(pairs))
-        .groupBy(*by, "seed_pair")
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum(F.when(has("a"), F.col("n")).otherwise(0)).alias("na"),
-            F.sum(F.when(has("b"), F.col("n")).otherwise(0)).alias("nb"),
-            F.sum(F.when(has("a") & has("b"), F.col("n")).otherwise(0)).alias("nab"),
-        )
-    )
+    left, right = np.triu_indices(len(runs), 1)
+
+    def tally(batches):
+        sums: dict = {}
+        for batch in batches:
+            n = batch.column("n").to_numpy().astype(float)
+            words = batch.column("pattern").flatten().to_numpy().reshape(batch.num_rows, -1)
+            bits = np.concatenate([(words[:, w, None] >> np.arange(_WORD)) & 1 for w in range(words.shape[1])], axis=1)[:, : len(runs)].astype(float)
+            groups = [tuple(row.values()) for row in batch.select(list(by)).to_pylist()] if by else [()] * batch.num_rows
+            for group in set(groups):
+                mine = np.array([g == group for g in groups])
+                both = (bits[mine] * n[mine, None]).T @ bits[mine]  # whole numbers below 2 ** 53
+                total, held = sums.get(group, (0, 0))
+                sums[group] = total + n[mine].sum(), held + both
+        for group, (total, both) in sums.items():
+            alone, size = np.diag(both), len(left)
+            columns = {c: pa.array([v] * size, kinds[c]) for c, v in zip(by, group)}
+            counts = {"n": np.full(size, total), "na": alone[left], "nb": alone[right], "nab": both[left, right]}
+            columns |= {"a": left.astype(np.int32), "b": right.astype(np.int32)} | {c: v.astype(np.int64) for c, v in counts.items()}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    kinds = {f.name: f.type for f in to_arrow_schema(counted.select(*by).schema)} if by else {}
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in counted.select(*by).schema] if by else []
+    each = counted.mapInArrow(tally, ", ".join([*fields, "a int, b int, n bigint, na bigint, nb bigint, nab bigint"]))
+    cells = each.groupBy(*by, "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "na", "nb", "nab")])
+    names = F.array(*[F.lit(str(r)) for r in runs])
+    pair = F.concat_ws("-", F.element_at(names, F.col("a") + 1), F.element_at(names, F.col("b") + 1))
     n, na, nb, nab = (F.col(c) for c in ("n", "na", "nb", "nab"))
     both = _pairs(nab) + _pairs(na - nab) + _pairs(nb - nab) + _pairs(n - na - nb + nab)
     ari = _rand_index(both, _pairs(na) + _pairs(n - na), _pairs(nb) + _pairs(n - nb), n)
-    return cells.select(*by, "seed_pair", ari.alias("ari")).orderBy(*by, "seed_pair")
+    return cells.select(*by, pair.alias("seed_pair"), ari.alias("ari")).orderBy(*by, "seed_pair")
 
 
 def seed_stability(
@@ -212,13 +241,7 @@ def seed_stability(
     known = both.select(*[F.when(F.col(f), F.col(f"decision_{s}")).alias(f"d{s}") for s, f in flags.items()])
     cut = quantile_values(known, [f"d{s}" for s in seeds], contaminations)
     patterns = [
-        F.struct(
-            F.lit(c).alias("contamination"),
-            reduce(
-                lambda a, b: a + b,
-                [F.when(F.col(f"decision_{s}") < F.lit(cut[f"d{s}", c]), F.lit(1 << i)).otherwise(0).cast("bigint") for i, s in enumerate(seeds)],
-            ).alias("pattern"),
-        )
+        F.struct(F.lit(c).alias("contamination"), _packed([F.col(f"decision_{s}") < F.lit(cut[f"d{s}", c]) for s in seeds]).alias("pattern"))
         for c in contaminations
     ]
     return pattern_pairs(both.select(F.inline(F.array(*patterns))), seeds)
@@ -233,8 +256,11 @@ def stability_summary(pairs: DataFrame) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
-    """Counts over ``bins`` equal ranges between the smallest and largest value; the last includes its end."""
+def histogram(df: DataFrame, col: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
+    """Counts over ``bins`` equal ranges between the smallest and largest value; the last includes its end.
+
+    With ``by`` a histogram per group, all on the same ranges.
+    """
     value = finite_only(F.col(col))
     low, high = df.agg(F.min(value), F.max(value)).first()
     if low is None:
@@ -243,7 +269,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     place = F.floor((value - F.lit(low)) / F.lit(width) * F.lit(bins))
     return (
         df.filter(value.isNotNull())
-        .groupBy(F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
+        .groupBy(*by, F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumns(
             {
@@ -251,10 +277,28 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
                 "bin_to": F.lit(low) + (F.col("bin") + 1) * F.lit(width / bins),
             }
         )
-        .orderBy("bin")
+        .orderBy(*by, "bin")
     )
 
 
+def histogram_grid(
+    scores: DataFrame, sizes: Sequence[int], contaminations: Sequence[float], bins: int = 30, prefix: str = "decision_"
+) -> DataFrame:
+    """For each forest size and contamination: the histogram of the scores, and the cutoff to draw into it.
+
+    All histograms share their ranges, and are counted in one pass over all forests.
+    """
+    sizes, contaminations = list(dict.fromkeys(sizes)), list(dict.fromkeys(contaminations))
+    cols = [f"{prefix}{s}" for s in sizes]
+    cut = quantile_values(scores.select(*[finite_only(F.col(c)).alias(c) for c in cols]), cols, list(contaminations))
+    each = scores.select(F.inline(F.array(*[F.struct(F.lit(s).alias("n_estimators"), F.col(c).alias("score")) for s, c in zip(sizes, cols)])))
+    cells = [(s, float(c), cut[col, c]) for s, col in zip(sizes, cols) for c in contaminations]
+    cutoffs = scores.sparkSession.createDataFrame(cells, "n_estimators int, contamination double, cutoff double")
+    return histogram(each, "score", bins, ["n_estimators"]).join(cutoffs, "n_estimators").select(
+        "n_estimators", "contamination", "cutoff", "bin", "n", "bin_from", "bin_to"
+    ).orderBy("n_estimators", "contamination", "bin")
+
+
 def box_summary(df: DataFrame, by: str, col: str, k: float = 1.5) -> DataFrame:
     """Quartiles, whisker ends (the last values inside the fences) and values beyond, per group.
 

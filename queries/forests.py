@@ -13,7 +13,7 @@ from batchlens.operators.reporting import flagged_report
 from batchlens.plans import clean, curate, explain_outliers, final_model
 from batchlens.sources import run_folder, settle, write_table
 from queries.fixture import FILLED, FILLED_DOUBLES, IDS, Book, filled, opv, quantile_sql, r, rounded, table
-from queries.joins import LABELS, PAIRS, labels
+from queries.joins import LABELS, PAIRS, labels, pairs_sql
 
 BOOK = Book()
 COLS = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -35,18 +35,31 @@ def owed_sql(n: str) -> str:
     )
 
 
-def forest_sql(base: str, d: int, trees: int, levels: int, seed: int, tag: str = "") -> str:
-    """CTEs that end in leaf{tag}(row_key, tree, path): path lengths in units of 1e-9."""
+DEEPEST = 20  # levels spelled out where depth follows from the rows, enough for 2 ** 20 of them
+
+
+def forest_sql(base: str, d: int, trees: int, levels: int | None, seed: int | None, tag: str = "") -> str:
+    """CTEs that end in leaf{tag}(row_key, tree, path): path lengths in units of 1e-9.
+
+    Without ``levels``, trees are as deep as the logarithm of the sampled rows.  Without
+    ``seed``, ``base`` holds as many sampled rows for each value of its column ``seed``,
+    and trees are called 'seed|tree'.
+    """
+    tree, first = ("tree", f"'{seed}|', tree, '|', node") if seed is not None else ("concat(seed, '|', tree) AS tree", "tree, '|', node")
+    of_seed = "" if seed is not None else f" WHERE seed = (SELECT min(seed) FROM {base})"
     xs = [f"x{i}" for i in range(d)]
+    limit = f"{levels}" if levels is not None else f"(SELECT l FROM deepest{tag})"
+    levels = DEEPEST if levels is None else levels
     parts = [
-        f"s0{tag} AS MATERIALIZED (SELECT tree, row_key, sampled, {', '.join(xs)}, CAST(1 AS bigint) AS node FROM {base}, (SELECT unnest(range(1, {trees + 1})) AS tree))"
+        f"deepest{tag} AS MATERIALIZED (SELECT CAST(ceil(log2(greatest(count(*) FILTER (sampled), 2))) AS integer) AS l FROM {base}{of_seed})",
+        f"s0{tag} AS MATERIALIZED (SELECT {tree}, row_key, sampled, {', '.join(xs)}, CAST(1 AS bigint) AS node FROM {base}, (SELECT unnest(range(1, {trees + 1})) AS tree))"
     ]
     leaves = []
     for level in range(levels + 1):
         ranges = ", ".join(f"min({x}) FILTER (sampled) AS lo{i}, max({x}) FILTER (sampled) AS hi{i}" for i, x in enumerate(xs))
         varies = [f"(CASE WHEN hi{i} > lo{i} THEN 1 ELSE 0 END)" for i in range(d)]
         before = lambda i: " + ".join(varies[:i]) or "0"
-        digest = f"md5(concat('{seed}|', tree, '|', node))"
+        digest = f"md5(concat({first}))"
         draw = lambda k: f"(CAST('0x' || substr({digest}, {8 * k + 1}, 8) AS bigint) / 4294967296.0::double)"
         feature = "CASE " + " ".join(f"WHEN {varies[i]} = 1 AND {before(i)} = pick THEN {i}" for i in range(d)) + " END"
         low = "CASE feature " + " ".join(f"WHEN {i} THEN lo{i}" for i in range(d)) + " END"
@@ -55,7 +68,7 @@ def forest_sql(base: str, d: int, trees: int, levels: int, seed: int, tag: str =
         parts += [
             f"a{level}{tag} AS (SELECT tree, node, count(*) FILTER (sampled) AS n, {ranges} FROM s{level}{tag} GROUP BY tree, node)",
             f"b{level}{tag} AS (SELECT *, {' + '.join(varies)} AS m, CAST(floor({draw(0)} * ({' + '.join(varies)})) AS integer) AS pick, {draw(1)} AS u FROM a{level}{tag})",
-            f"f{level}{tag} AS (SELECT *, CASE WHEN m = 0 OR n <= 1 OR {level} = {levels} THEN NULL ELSE {feature} END AS feature FROM b{level}{tag})",
+            f"f{level}{tag} AS (SELECT *, CASE WHEN m = 0 OR n <= 1 OR {level} >= {limit} THEN NULL ELSE {feature} END AS feature FROM b{level}{tag})",
             f"t{level}{tag} AS (SELECT *, {low} AS lo, {high} AS hi, {low} + u * ({high} - ({low})) AS raw FROM f{level}{tag})",
             f"c{level}{tag} AS MATERIALIZED (SELECT tree, node, n, feature, CASE WHEN raw >= hi THEN lo ELSE raw END AS threshold FROM t{level}{tag})",
         ]
@@ -102,11 +115,29 @@ def forest_split_by_counting(spark, sf_dir):
     return forest.fit_score(lines(spark, sf_dir), COLS).select("row_key", r("score", 9).alias("score"))
 
 
-@BOOK.add("m15_forest_full_depth")
+_FULL = f"WITH {LINES}, {forest_sql('base', 3, 10, None, 42)}, {scores_sql('base', (10,), _ALL)} SELECT row_key, round(score_10, 9) AS score, round(decision_10, 9) AS decision FROM scored"
+
+
+@BOOK.add("m15_forest_full_depth", _FULL)
 def forest_full_depth(spark, sf_dir):
     return rounded(IsolationForest(trees=10).fit_score(lines(spark, sf_dir), COLS), "score", "decision", places=9)
 
 
+@BOOK.add("m15_forest_full_depth_by_counting", _FULL)
+def forest_full_depth_by_counting(spark, sf_dir):
+    # As above, with groups of 4,096 rows at most, and tops of which the driver holds no more than 20,000 nodes at once.
+    forest = IsolationForest(trees=10, group_rows=4096, table_nodes=20_000)
+    return rounded(forest.fit_score(lines(spark, sf_dir), COLS), "score", "decision", places=9)
+
+
+@BOOK.add("m15_stored_forest_in_batches", _FULL)
+def stored_forest_in_batches(spark, sf_dir):
+    # Whole trees go to the rows as many at a time as 300,000 nodes hold.
+    df, path = lines(spark, sf_dir), run_folder(spark, "forest")
+    write_table(IsolationForest(trees=10).fit(df, COLS), path)
+    return rounded(score(df, COLS, spark.read.parquet(path), df.count(), table_nodes=300_000), "score", "decision", places=9)
+
+
 @BOOK.add("m15_forest_of_samples")
 def forest_of_samples(spark, sf_dir):
     return rounded(IsolationForest(trees=100, max_samples=256).fit_score(lines(spark, sf_dir), COLS), "score", "decision", places=9)
@@ -189,29 +220,28 @@ def label_stability(spark, sf_dir):
     return rounded(ev.stability_pairs(marked, [10, 20, 30, 40], key="o_orderkey"), "ari", places=9)
 
 
-def _stability_sql(seeds, contaminations, trees, levels) -> str:
-    """Forest, cutoff and labels per seed on that seed's 80 % sample; then every pair."""
-    ctes = [LINES]
-    for s in seeds:
-        ctes += [
-            f"base{s} AS MATERIALIZED (SELECT row_key, row_number() OVER (ORDER BY md5(concat(row_key, '|{s}')), row_key) <= round_even(0.8::double * (SELECT count(*) FROM base), 0) AS sampled, x0, x1, x2 FROM base)",
-            forest_sql(f"base{s}", 3, trees, levels, s, f"_{s}"),
-            scores_sql(f"base{s}", (trees,), f"SELECT count(*) FROM base{s} WHERE sampled", f"_{s}"),
-            f"known{s} AS MATERIALIZED (SELECT decision_{trees} AS d FROM scored_{s} JOIN base{s} USING (row_key) WHERE sampled)",
-            f"cut{s} AS MATERIALIZED (SELECT " + ", ".join(f"{quantile_sql(f'known{s}', 'd', c)} AS q{i}" for i, c in enumerate(contaminations)) + ")",
-        ]
-    rows = " UNION ALL ".join(
-        f"SELECT row_key AS o_orderkey, CAST({c} AS double) AS contamination, {s} AS seed, CASE WHEN decision_{trees} < q{i} THEN -1 ELSE 1 END AS label FROM scored_{s}, cut{s}"
-        for s in seeds for i, c in enumerate(contaminations)
-    )
-    ctes.append(f"every AS MATERIALIZED ({rows})")
-    outs = []
-    for i, c in enumerate(contaminations):
-        renamed = PAIRS.replace("labels", f"(SELECT * FROM every WHERE contamination = CAST({c} AS double))")
-        for name in ("pairs", "cell", "side_a", "side_b", "ari AS"):
-            renamed = renamed.replace(name, f"{name[:-3]}{i} AS" if name.endswith(" AS") else f"{name}{i}")
-        ctes.append(renamed)
-        outs.append(f"SELECT CAST({c} AS double) AS contamination, seed_pair, round(ari, 9) AS ari FROM ari{i}")
+def _stability_sql(seeds, contaminations, trees, levels, head=LINES, xs=("x0", "x1", "x2"), median=False) -> str:
+    """Forest, cutoff and labels per seed on that seed's 80 % sample; then every pair, or the pairs' median."""
+    chosen = "row_number() OVER (PARTITION BY seed ORDER BY md5(concat(row_key, '|', seed)), row_key) <= round_even(0.8::double * (SELECT count(*) FROM base), 0)"
+    place = lambda c: f"((n - 1) * CAST({c} AS double))"
+    at = lambda c, side: f"max(CASE WHEN rn = CAST({side}({place(c)}) AS bigint) THEN d END)"
+    ctes = [
+        head,
+        f"every_seed AS MATERIALIZED (SELECT row_key, seed, {chosen} AS sampled, {', '.join(xs)} FROM base, (SELECT unnest([{', '.join(map(str, seeds))}]) AS seed))",
+        forest_sql("every_seed", len(xs), trees, levels, None),
+        f"norm AS (SELECT {owed_sql('(n)')} AS norm FROM (SELECT count(*) AS n FROM every_seed WHERE sampled AND seed = {seeds[0]}))",
+        "scored AS MATERIALIZED (SELECT row_key, seed, 0.5::double - pow(2.0::double, -(p / {t}e9::double) / norm) AS d FROM (SELECT row_key,"
+        " CAST(split_part(tree, '|', 1) AS integer) AS seed, CAST(sum(path) AS double) AS p FROM leaf GROUP BY ALL), norm)".replace("{t}", str(trees)),
+        "known AS MATERIALIZED (SELECT seed, d, row_number() OVER (PARTITION BY seed ORDER BY d) - 1 AS rn, count(*) OVER (PARTITION BY seed) AS n FROM scored JOIN every_seed USING (row_key, seed) WHERE sampled)",
+        "cut AS MATERIALIZED (" + " UNION ALL ".join(
+            f"SELECT seed, CAST({c} AS double) AS contamination, lo + (hi - lo) * part AS q FROM (SELECT seed, {at(c, 'floor')} AS lo, {at(c, 'ceil')} AS hi, max({place(c)} - floor({place(c)})) AS part FROM known GROUP BY seed)"
+            for c in contaminations
+        ) + ")",
+        "every AS MATERIALIZED (SELECT row_key AS o_orderkey, contamination, seed, CASE WHEN d < q THEN -1 ELSE 1 END AS label FROM scored JOIN cut USING (seed))",
+    ]
+    ctes += [pairs_sql(f"(SELECT * FROM every WHERE contamination = CAST({c} AS double))", f"{i}") for i, c in enumerate(contaminations)]
+    shown = "round(quantile_cont(ari, 0.5), 9) AS median_ari" if median else "seed_pair, round(ari, 9) AS ari"
+    outs = [f"SELECT CAST({c} AS double) AS contamination, {shown} FROM ari{i}" for i, c in enumerate(contaminations)]
     return f"WITH {', '.join(ctes)} {' UNION ALL '.join(outs)}"
 
 
@@ -224,15 +254,17 @@ def seed_stability(spark, sf_dir):
 # -- the whole chain on the busiest slice ------------------------------------------------
 
 _SLICE_BASE = "base AS MATERIALIZED (SELECT row_key, TRUE AS sampled, " + ", ".join(f"{c} AS x{i}" for i, c in enumerate(FILLED)) + " FROM filled)"
+_XS = tuple(f"x{i}" for i in range(len(FILLED)))
 _SLICE_FOREST = (
-    f"WITH {FILLED_DOUBLES}, {_SLICE_BASE}, {forest_sql('base', 6, 8, 5, 42)}, {scores_sql('base', (8,), _ALL)},"
-    f" cut AS (SELECT {quantile_sql('scored', 'decision_8', 0.05)} AS q), flagged AS (SELECT row_key FROM scored, cut WHERE decision_8 < q)"
+    f"WITH {FILLED_DOUBLES}, {_SLICE_BASE}, {forest_sql('base', 6, 400, None, 42)}, {scores_sql('base', (400,), _ALL)},"
+    f" cut AS (SELECT {quantile_sql('scored', 'decision_400', 0.05)} AS q), flagged AS (SELECT row_key FROM scored, cut WHERE decision_400 < q)"
 )
 
 
 def _slice_labels(spark, sf_dir):
+    # The published final model is one of the product slice under study: 400 trees over all of its rows.
     df = filled(spark, sf_dir, whole=False)
-    scores = settle(IsolationForest(trees=8, max_depth=5).fit_score(df, FILLED))
+    scores = settle(IsolationForest(trees=400).fit_score(df, FILLED))
     return df, ev.label_outliers(scores, 0.05)
 
 
@@ -247,11 +279,70 @@ def forest_report(spark, sf_dir):
     return flagged_report(df, marked.filter("label = -1"))
 
 
+# The published grid, sweep and stability run, at their sizes.
+SIZES, GRID, SWEEP, SEEDS = (100, 200, 300, 400, 500, 600), (0.03, 0.05, 0.1), (0.03, 0.05), tuple(range(10, 110, 10))
+_SIZED = f"WITH {FILLED_DOUBLES}, {_SLICE_BASE}, {forest_sql('base', 6, 600, None, 42)}, {scores_sql('base', SIZES, _ALL)}"
+
+
+def _cells_sql(sizes, contaminations) -> str:
+    cells = [(s, c) for s in sizes for c in contaminations]
+    return ", cell AS MATERIALIZED (" + " UNION ALL ".join(
+        f"SELECT {s} AS n_estimators, CAST({c} AS double) AS contamination, {quantile_sql('scored', f'decision_{s}', c)} AS cutoff" for s, c in cells
+    ) + "), long AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {s} AS n_estimators, decision_{s} AS v FROM scored" for s in sizes) + ")"
+
+
+def _sized(spark, sf_dir):
+    return settle(IsolationForest(trees=600).fit_score(filled(spark, sf_dir, whole=False), FILLED, sizes=SIZES))
+
+
+@BOOK.add(
+    "m18_published_grid",
+    _SIZED + _cells_sql(SIZES[:5], GRID) + " SELECT contamination, n_estimators, count(*) FILTER (v < cutoff) AS outliers_flagged, round(min(v), 9) AS score_min,"
+    " round(max(v), 9) AS score_max, round(quantile_cont(v, 0.5), 9) AS score_median, round(stddev_samp(v), 9) AS score_std FROM cell JOIN long USING (n_estimators) GROUP BY ALL",
+)
+def published_grid(spark, sf_dir):
+    grid = ev.contamination_grid(_sized(spark, sf_dir), SIZES[:5], GRID)
+    return rounded(grid, "score_min", "score_max", "score_median", "score_std", places=9)
+
+
+@BOOK.add(
+    "a21_published_histograms",
+    _SIZED + _cells_sql(SIZES[:5], GRID) + ", m AS (SELECT min(v) AS lo, max(v) AS hi FROM long), w AS (SELECT lo, CASE WHEN hi > lo THEN hi - lo ELSE 1 END AS w FROM m),"
+    " b AS (SELECT n_estimators, CAST(least(floor((v - lo) / w * 30), 29) AS integer) AS bin, count(*) AS n FROM long, w GROUP BY ALL)"
+    " SELECT n_estimators, contamination, round(cutoff, 9) AS cutoff, bin, n, round(lo + bin * (w / 30), 9) AS bin_from, round(lo + (bin + 1) * (w / 30), 9) AS bin_to"
+    " FROM b JOIN cell USING (n_estimators), w",
+)
+def published_histograms(spark, sf_dir):
+    return rounded(ev.histogram_grid(_sized(spark, sf_dir), SIZES[:5], GRID), "cutoff", "bin_from", "bin_to", places=9)
+
+
+@BOOK.add(
+    "m19_published_sweep",
+    _SIZED + _cells_sql(SIZES, SWEEP) + " SELECT contamination, n_estimators, count(*) FILTER (v < cutoff) AS outliers_flagged FROM cell JOIN long USING (n_estimators) GROUP BY ALL",
+)
+def published_sweep(spark, sf_dir):
+    return ev.estimator_sweep(_sized(spark, sf_dir), SIZES, SWEEP)
+
+
+_SLICE_HEAD = f"{FILLED_DOUBLES}, {_SLICE_BASE}"
+
+
+@BOOK.add("m21_published_stability", _stability_sql(SEEDS, SWEEP, 400, None, _SLICE_HEAD, _XS))
+def published_stability(spark, sf_dir):
+    return rounded(ev.seed_stability(filled(spark, sf_dir, whole=False), FILLED), "ari", places=9)
+
+
+@BOOK.add("a16_published_median_index", _stability_sql(SEEDS, SWEEP, 400, None, _SLICE_HEAD, _XS, median=True))
+def published_median_index(spark, sf_dir):
+    pairs = ev.seed_stability(filled(spark, sf_dir, whole=False), FILLED)
+    return rounded(ev.stability_summary(pairs), "median_ari", places=9)
+
+
 @BOOK.add("m17_final_model")
 def chain(spark, sf_dir):
     # curate → clean → standardise → components → standardise → forest → label → explain
     df = settle(clean(curate(opv(spark, sf_dir)))[0])
-    marked = final_model(df, FILLED, forest=IsolationForest(trees=40))
+    marked = final_model(df, FILLED, forest=IsolationForest(trees=400))
     return explain_outliers(df, marked, FILLED)
 
 

@@ -89,16 +89,12 @@ def mapped(spark, sf_dir):
     return apply_mapping(df.select("row_key", "material_batch_nr"), mapping, "material_batch_nr")
 
 
-LABELS = """labels AS (SELECT o_orderkey, seed, CASE WHEN substr(md5(concat_ws('|', o_orderkey, seed)), 1, 1) IN ('0', '1')
-   OR o_totalprice > 300000 THEN -1 ELSE 1 END AS label FROM orders, (SELECT unnest([10, 20, 30, 40]) AS seed))"""
-
-
-def labels(spark, sf_dir):
-    """Four labelings of the orders that agree on the expensive ones."""
+def labels(spark, sf_dir, seeds=(10, 20, 30, 40)):
+    """Labelings of the orders that agree on the expensive ones, four unless more are asked for."""
     chosen = F.substring(F.md5(F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("seed").cast("string"))), 1, 1).isin("0", "1")
     return (
         table(spark, sf_dir, "orders")
-        .select("o_orderkey", "o_totalprice", F.explode(F.array(*[F.lit(s) for s in (10, 20, 30, 40)])).alias("seed"))
+        .select("o_orderkey", "o_totalprice", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
         .select("o_orderkey", "seed", F.when(chosen | (F.col("o_totalprice") > 300000), -1).otherwise(1).alias("label"))
     )
 
@@ -108,12 +104,23 @@ def rand_sql(cells: str, a: str, b: str, n: str) -> str:
     return f"(({cells}) - {expected}) / ((({a}) + ({b})) / 2.0 - {expected})"
 
 
-PAIRS = f"""pairs AS (SELECT a.seed AS s1, b.seed AS s2, a.label AS la, b.label AS lb, CAST(count(*) AS double) AS n
-   FROM labels a JOIN labels b ON a.o_orderkey = b.o_orderkey AND a.seed < b.seed GROUP BY ALL),
-cell AS (SELECT s1, s2, sum(n * (n - 1) / 2) AS c, sum(n) AS n FROM pairs GROUP BY s1, s2),
-side_a AS (SELECT s1, s2, sum(n * (n - 1) / 2) AS sa FROM (SELECT s1, s2, la, sum(n) AS n FROM pairs GROUP BY s1, s2, la) GROUP BY s1, s2),
-side_b AS (SELECT s1, s2, sum(n * (n - 1) / 2) AS sb FROM (SELECT s1, s2, lb, sum(n) AS n FROM pairs GROUP BY s1, s2, lb) GROUP BY s1, s2),
-ari AS (SELECT concat(s1, '-', s2) AS seed_pair, {rand_sql('c', 'sa', 'sb', 'n')} AS ari FROM cell JOIN side_a USING (s1, s2) JOIN side_b USING (s1, s2))"""
+def labels_sql(seeds: str = "[10, 20, 30, 40]") -> str:
+    return f"""labels AS (SELECT o_orderkey, seed, CASE WHEN substr(md5(concat_ws('|', o_orderkey, seed)), 1, 1) IN ('0', '1')
+   OR o_totalprice > 300000 THEN -1 ELSE 1 END AS label FROM orders, (SELECT unnest({seeds}) AS seed))"""
+
+
+def pairs_sql(source: str = "labels", tag: str = "") -> str:
+    """CTE ari{tag}(seed_pair, ari) over every pair of runs in ``source`` (o_orderkey, seed, label)."""
+    return f"""pairs{tag} AS (SELECT a.seed AS s1, b.seed AS s2, a.label AS la, b.label AS lb, CAST(count(*) AS double) AS n
+   FROM {source} a JOIN {source} b ON a.o_orderkey = b.o_orderkey AND a.seed < b.seed GROUP BY ALL),
+cell{tag} AS (SELECT s1, s2, sum(n * (n - 1) / 2) AS c, sum(n) AS n FROM pairs{tag} GROUP BY s1, s2),
+side_a{tag} AS (SELECT s1, s2, sum(n * (n - 1) / 2) AS sa FROM (SELECT s1, s2, la, sum(n) AS n FROM pairs{tag} GROUP BY s1, s2, la) GROUP BY s1, s2),
+side_b{tag} AS (SELECT s1, s2, sum(n * (n - 1) / 2) AS sb FROM (SELECT s1, s2, lb, sum(n) AS n FROM pairs{tag} GROUP BY s1, s2, lb) GROUP BY s1, s2),
+ari{tag} AS (SELECT concat(s1, '-', s2) AS seed_pair, {rand_sql('c', 'sa', 'sb', 'n')} AS ari
+   FROM cell{tag} JOIN side_a{tag} USING (s1, s2) JOIN side_b{tag} USING (s1, s2))"""
+
+
+LABELS, PAIRS = labels_sql(), pairs_sql()
 
 
 @BOOK.add("j7_seed_pairs", f"WITH {LABELS}, {PAIRS} SELECT seed_pair, round(ari, 9) AS ari FROM ari")
@@ -121,6 +128,12 @@ def seed_pairs(spark, sf_dir):
     return rounded(stability_pairs(labels(spark, sf_dir), [10, 20, 30, 40], key="o_orderkey", by=()), "ari", places=9)
 
 
+@BOOK.add("j7_hundred_runs", f"WITH {labels_sql('range(1, 101)')}, {PAIRS} SELECT seed_pair, round(ari, 9) AS ari FROM ari")
+def hundred_runs(spark, sf_dir):
+    runs = list(range(1, 101))
+    return rounded(stability_pairs(labels(spark, sf_dir, runs), runs, key="o_orderkey", by=()), "ari", places=9)
+
+
 @BOOK.add(
     "j8_parameter_grid",
     f"WITH {OPV}, cut AS (" + " UNION ALL ".join(
