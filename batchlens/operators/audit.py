@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchlens.functions import DECIMAL, hash_text, parse_decimal
+from batchlens.operators.ranking import global_rank
+from batchlens.sources.shared import settle
 
 
 def audit_types(raw: DataFrame, cols: Sequence[str], kind: str = DECIMAL) -> DataFrame:
@@ -81,3 +83,34 @@ def row_digests(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` as it is; refuses a table in which keys repeat, and says how many do.
+
+    Joins by row key multiply rows if a key stands for several of them.
+    """
+    row = duplicate_keys(df, keys).agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("rows")).first()
+    if row["keys"]:
+        raise ValueError(f"{row['keys']} keys of {', '.join(keys)} stand for {row['rows']} rows; make them unique first (with_row_key)")
+    return df
+
+
+def with_row_key(df: DataFrame, keys: Sequence[str], name: str = "row_key") -> DataFrame:
+    """``name``: the source keys as text, null as empty, with an ordinal where several rows share them.
+
+    The ordinal counts rows of one key by a hash of all their columns.  Only rows whose
+    keys repeat are ranked, in ranges of (key, hash), so a key that a third of the table
+    shares is ranked by many tasks; all other rows stay where they are.
+    """
+    text = F.concat_ws("-", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in keys])
+    keyed = df.withColumn("_key", text)
+    repeated = duplicate_keys(keyed, ["_key"]).select("_key")
+    alone = keyed.join(repeated, "_key", "left_anti")
+    content = hash_text(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    shared = settle(keyed.join(repeated, "_key", "left_semi").withColumns({"_content": content, "_nth": F.monotonically_increasing_id()}))
+    ranked = global_rank(shared, ["_key", "_content", "_nth"], "_rank")
+    first = ranked.groupBy("_key").agg(F.min("_rank").alias("_first"))
+    ordinal = F.concat_ws("#", "_key", (F.col("_rank") - F.col("_first") + 1).cast("string"))
+    own = [F.col(f"`{c}`") for c in df.columns if c != name]
+    return alone.select(F.col("_key").alias(name), *own).unionByName(ranked.join(first, "_key").select(ordinal.alias(name), *own))

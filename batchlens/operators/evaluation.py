@@ -13,11 +13,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from batchlens.functions import finite_only
 from batchlens.operators.forest import IsolationForest
-from batchlens.operators.quantiles import quantile_values
+from batchlens.operators.quantiles import grouped_quantiles, quantile_values
 from batchlens.operators.ranking import sample_flags
 from batchlens.sources.shared import settle
 
-_SETTINGS = 1000  # groups that one box summary compares
 _WORD = 62  # labels packed into one number
 
 
@@ -299,37 +298,27 @@ def histogram_grid(
     ).orderBy("n_estimators", "contamination", "bin")
 
 
-def box_summary(df: DataFrame, by: str, col: str, k: float = 1.5) -> DataFrame:
+def box_summary(df: DataFrame, by: str, col: str, k: float = 1.5, examine: int = 1 << 14) -> DataFrame:
     """Quartiles, whisker ends (the last values inside the fences) and values beyond, per group.
 
-    The groups are the few settings being compared: each becomes a column, and exact
-    quartiles of all columns are found together by counting, so no task has to sort
-    a group.
+    Any number of groups: quartiles are found for all of them in the same passes, and no
+    group above ``examine`` values is ever sorted.
     """
-    spark = df.sparkSession
-    groups = [r[by] for r in df.filter(F.col(col).isNotNull()).select(by).distinct().orderBy(by).limit(_SETTINGS + 1).collect()]
-    if len(groups) > _SETTINGS:
-        raise ValueError(f"more than {_SETTINGS} groups to compare in {by}")
-    names = [f"g{i}" for i in range(len(groups))]
-    wide = df.select(
-        *[F.when(F.col(by).eqNullSafe(F.lit(g)), F.col(col).cast("double")).alias(n) for n, g in zip(names, groups)]
-    )
-    ps = (0.25, 0.5, 0.75)
-    values = quantile_values(wide, names, ps) if names else {}
-    kind = df.schema[by].dataType.simpleString()
-    boxes = spark.createDataFrame(
-        [(g, *[values[n, p] for p in ps]) for n, g in zip(names, groups)], f"`{by}` {kind}, q1 double, median double, q3 double"
-    )
+    boxes = grouped_quantiles(df, by, col, (0.25, 0.5, 0.75), examine)
+    q = [F.col("quantiles")[i] for i in range(3)]
+    boxes = boxes.select(F.struct(F.col(by).alias("g")).alias("_by"), *[v.alias(n) for v, n in zip(q, ("q1", "median", "q3"))])
     low, high = F.col("q1") - k * (F.col("q3") - F.col("q1")), F.col("q3") + k * (F.col("q3") - F.col("q1"))
     inside = F.col("_value").between(low, high)
-    rows = df.filter(F.col(col).isNotNull()).select(F.col(by).alias("_by"), F.col(col).alias("_value"))
+    rows = df.select(F.struct(F.col(f"`{by}`").alias("g")).alias("_by"), F.col(f"`{col}`").cast("double").alias("_value"))
     return (
-        rows.join(F.broadcast(boxes), F.col("_by").eqNullSafe(F.col(by)))  # at most _SETTINGS rows
-        .groupBy(by, "q1", "median", "q3")
+        rows.filter("_value is not null")
+        .join(boxes, "_by")
+        .groupBy("_by", "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col("_value"))).alias("whisker_low"),
             F.max(F.when(inside, F.col("_value"))).alias("whisker_high"),
             F.count_if(~inside).alias("n_fliers"),
         )
+        .select(F.col("_by.g").alias(by), "q1", "median", "q3", "whisker_low", "whisker_high", "n_fliers")
         .orderBy(by)
     )

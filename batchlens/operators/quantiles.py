@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from batchlens.functions import finite_only
+from batchlens.sources.shared import settle
 
 _BINS = 1024
 _EXAMINE = 1 << 17  # rows of one range that are ranked value by value
 _PRECISION = 80  # digits of decimal arithmetic on the driver, for any two decimals of 38
+_GROUP_EXAMINE = 1 << 14  # values of one group that are ranked together
+_GROUP_POINTS = tuple(i / 64 for i in range(1, 64))  # where a larger group is cut
 _ACCURACY = 10000  # of the sketch: ranks are off by at most n / _ACCURACY
 _MARGIN = 2 / _ACCURACY
 
@@ -240,6 +243,62 @@ def quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], examine:
     )
 
 
+def grouped_quantiles(df: DataFrame, by: str, col: str, ps: Sequence[float], examine: int = _GROUP_EXAMINE) -> DataFrame:
+    """``by, n, quantiles``: exact quantiles of ``col`` in every group, any number of groups of any size.
+
+    Groups of up to ``examine`` values are ranked by counts of their values.  Larger ones are
+    cut at points that a sketch of the group names; counts of the rows at and between the
+    points prove which gap holds a wanted rank, and only the rows of such gaps go on to the
+    next round, where a gap is what a group was.  Points are values of the group, so each
+    round leaves fewer values, and a value that is repeated often becomes a point itself.
+    Null and non-finite values do not count; the null group is a group.
+    """
+    # in a struct, nulls equal each other in joins
+    rows = df.select(F.struct(F.col(f"`{by}`").alias("g")).alias("by"), finite_only(F.col(f"`{col}`").cast("double")).alias("x"))
+    rows = rows.filter("x is not null").withColumn("part", F.lit(0).cast("bigint"))
+    places = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("n") - 1) * F.lit(float(p))).alias("at")) for i, p in enumerate(ps)])
+    sizes = settle(rows.groupBy("by").agg(F.count(F.lit(1)).alias("n")))
+    placed = sizes.select("by", "n", F.inline(places))
+    ranks = placed.select("by", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).distinct()
+    wanted = settle(ranks.select("by", F.lit(0).cast("bigint").alias("part"), "rank", F.col("rank").alias("place")))
+    found, within = [], (F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("n"))
+    while True:
+        parts = settle(rows.groupBy("by", "part").agg(F.count(F.lit(1)).alias("size"), F.min("x").alias("low"), F.max("x").alias("high")))
+        large = parts.filter((F.col("size") > examine) & (F.col("low") < F.col("high"))).select("by", "part", "low", "high")
+        ranked = rows.join(parts.filter((F.col("size") <= examine) | (F.col("low") == F.col("high"))).select("by", "part"), ["by", "part"])
+        found.append(wanted.join(_started(ranked, "x"), ["by", "part"]).filter(within).select("by", "rank", "x"))
+        if large.isEmpty():
+            break
+        held = rows.join(large, ["by", "part"])
+        points = F.array_sort(F.array_distinct(F.concat(F.percentile_approx("x", list(_GROUP_POINTS), 2000), F.array(F.first("low"), F.first("high")))))
+        cuts = settle(held.groupBy("by", "part").agg(points.alias("points")))
+        met = F.size(F.filter("points", lambda p: p <= F.col("x")))
+        # 2k: the k-th point itself, 2k + 1: the gap after it
+        slot = 2 * met + F.when(F.element_at("points", met) == F.col("x"), 0).otherwise(1)
+        slotted = rows.join(cuts, ["by", "part"]).withColumn("slot", slot)
+        hit = settle(wanted.join(_started(slotted, "slot"), ["by", "part"]).filter(within))
+        at_point = hit.filter("slot % 2 = 0").join(cuts, ["by", "part"])
+        found.append(at_point.select("by", "rank", F.element_at("points", F.floor(F.col("slot") / 2).cast("int")).alias("x")))
+        gaps = hit.filter("slot % 2 = 1")
+        next_part = (F.col("part") * 256 + F.col("slot")).alias("part")
+        rows = settle(slotted.join(gaps.select("by", "part", "slot").distinct(), ["by", "part", "slot"]).select("by", "x", next_part))
+        wanted = settle(gaps.select("by", next_part, "rank", (F.col("place") - F.col("start")).alias("place")))
+    values = settle(reduce(DataFrame.unionByName, found))
+    edge = lambda name: values.select("by", F.col("rank").alias(f"_{name}"), F.col("x").alias(name))
+    ends = placed.withColumns({"_low": F.floor("at"), "_high": F.ceil("at")}).join(edge("low"), ["by", "_low"]).join(edge("high"), ["by", "_high"])
+    step, share = F.col("high") - F.col("low"), F.col("at") - F.floor("at")
+    one = F.when(F.abs(step) < float("inf"), F.col("low") + step * share).otherwise(F.col("low") * (1 - share) + F.col("high") * share)
+    each = ends.groupBy("by", "n").agg(F.array_sort(F.collect_list(F.struct("i", one.alias("v")))).alias("v"))  # one entry a wanted quantile
+    return each.select(F.col("by.g").alias(by), "n", F.col("v.v").alias("quantiles"))
+
+
+def _started(rows: DataFrame, of: str) -> DataFrame:
+    """``n`` rows for each value of ``of`` in a part of a group, and how many come before it."""
+    order = Window.partitionBy("by", "part").orderBy(of)
+    counts = rows.groupBy("by", "part", of).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("start", F.sum("n").over(order) - F.col("n"))
+
+
 def approx_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], accuracy: int = 10000) -> DataFrame:
     """One pass and a bounded sketch instead of exact ranks, where an estimate will do."""
     row = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), list(ps), accuracy).alias(c) for c in cols]).first()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchlens.functions import hash_text
+from batchlens.operators.quantiles import order_statistics
 from batchlens.sources.shared import settle
 
 _IN_SLICE = 33  # bits monotonically_increasing_id keeps for the place inside a partition
@@ -50,25 +51,27 @@ def sample_flags(df: DataFrame, size: int, seeds: Mapping[str, int | str], key:
 
     Counting rows per hash prefix finds the bucket in which the last chosen row
     lies; lengthening the prefix shrinks that bucket until it can be looked at.
-    No row is moved: the result is more columns on the same partitions.
+    No row is moved: the result is more columns on the same partitions.  Rows that
+    share a key are told apart by a hash of all their columns, so the same rows are
+    chosen however they are distributed; rows that are equal in all columns are
+    numbered where they lie, and as many of them are taken as are wanted.
     """
     if size >= n_rows or size <= 0:
         return df.withColumns({name: F.lit(size > 0) for name in seeds})
-    names = list(seeds)
+    names, columns = list(seeds), [F.col(f"`{c}`") for c in df.columns]
     digest = {name: hash_text(F.col(key), seeds[name]) for name in names}
+    # 32 digits more, of the whole row; looked at only where rows share a key
+    whole = {name: F.concat(digest[name], hash_text(F.to_json(F.struct(*columns)), seeds[name])) for name in names}
     prefix, wanted, bucket = dict.fromkeys(names, ""), dict.fromkeys(names, size), dict.fromkeys(names, n_rows)
 
-    def within_buckets(of: list[str]) -> DataFrame:
-        """(name, hash, key) of the rows in the current bucket of each of these seeds."""
-        hashes = [F.struct(F.lit(n).alias("s"), F.lit(prefix[n]).alias("p"), digest[n].alias("h")) for n in of]
-        rows = df.select(F.col(key).alias("k"), F.explode(F.array(*hashes)).alias("v")).select("k", "v.*")
-        return rows.filter(F.col("h").startswith(F.col("p")))
+    def within_buckets(of: list[str], full: bool = False) -> DataFrame:
+        """(name, hash) of the rows in the current bucket of each of these seeds."""
+        hashes = [F.struct(F.lit(n).alias("s"), F.lit(prefix[n]).alias("p"), (whole if full or len(prefix[n]) >= 32 else digest)[n].alias("h")) for n in of]
+        return df.select(F.explode(F.array(*hashes)).alias("v")).select("v.*").filter(F.col("h").startswith(F.col("p")))
 
-    while deep := [n for n in names if bucket[n] > _SMALL]:
+    while deep := [n for n in names if bucket[n] > _SMALL and len(prefix[n]) < 64]:
         done = len(prefix[deep[0]])  # all open prefixes have the same length
-        if done >= 32:
-            raise ValueError(f"more than {_SMALL} rows share one value of {key}")
-        width = min(3, 32 - done, max(1, ceil(log(max(bucket[n] for n in deep) / (_SMALL / 4), 16))))
+        width = min(3, 32 - done % 32, max(1, ceil(log(max(bucket[n] for n in deep) / (_SMALL / 4), 16))))
         counts = (
             within_buckets(deep)
             .groupBy("s", F.substring("h", done + 1, width).alias("part"))
@@ -86,14 +89,25 @@ def sample_flags(df: DataFrame, size: int, seeds: Mapping[str, int | str], key:
                 settled.add(name)
             else:
                 wanted[name] -= row["n"]
-    last: dict[str, tuple] = {}
-    for row in within_buckets(names).select("s", "h", "k").orderBy("s", "h", "k").collect():  # small buckets
-        wanted[row["s"]] -= 1
-        if wanted[row["s"]] == 0:
-            last[row["s"]] = (row["h"], row["k"])
-    return df.withColumns(
-        {n: (digest[n] < last[n][0]) | ((digest[n] == last[n][0]) & (F.col(key) <= F.lit(last[n][1]))) for n in names}
-    )
+    # equal rows of a bucket are one row with a count, so what is collected stays small
+    last: dict[str, tuple[str, int, int]] = {}
+    for row in within_buckets(names, full=True).groupBy("s", "h").agg(F.count(F.lit(1)).alias("n")).orderBy("s", "h").collect():
+        if row["s"] not in last:
+            if wanted[row["s"]] <= row["n"]:
+                last[row["s"]] = row["h"], wanted[row["s"]], row["n"]
+            wanted[row["s"]] -= row["n"]
+    tied = [n for n in names if last[n][1] < last[n][2]]
+    numbered = settle(df.withColumn("_row", F.monotonically_increasing_id().cast("double"))) if tied else df
+    chosen = {}
+    for n in names:
+        h, take, of = last[n]
+        here = (digest[n] == h[:32]) & (whole[n] == h)
+        if n in tied:
+            lot = numbered.filter(here)
+            _, at = order_statistics(lot, lambda _, k=take: {k - 1}, ["_row"], [take / of])
+            here = here & (F.col("_row") <= F.lit(at["_row", take - 1]))
+        chosen[n] = (digest[n] < h[:32]) | ((digest[n] == h[:32]) & (whole[n] < h)) | here
+    return numbered.withColumns(chosen).drop("_row")
 
 
 def sample_flag(df: DataFrame, size: int, seed: int | str, key: str, n_rows: int, name: str = "in_sample") -> DataFrame:

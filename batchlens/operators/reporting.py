@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchlens.functions import gaussian_draw, map_literal
+from batchlens.operators.audit import require_unique
 from batchlens.operators.fences import MULTIVARIATE, UNIVARIATE
 
 CORE = "Core"
@@ -17,8 +18,11 @@ PROFILE_COLOURS = {"Frequent": "#7f7f7f", "Rare": "#1f4e79"}
 
 
 def attach(df: DataFrame, other: DataFrame, key: str = "row_key") -> DataFrame:
-    """The columns of ``other`` beside those of ``df``, matched by row key and not by position."""
-    return df.join(other, key)
+    """The columns of ``other`` beside those of ``df``, matched by row key and not by position.
+
+    Refuses an ``other`` with repeated keys, which would multiply rows.
+    """
+    return df.join(require_unique(other, [key]), key)
 
 
 def annotate_status(df: DataFrame, deviations: DataFrame, key: str = "row_key") -> DataFrame:
@@ -35,7 +39,8 @@ def with_colour(df: DataFrame, col: str = "status", colours=None) -> DataFrame:
 
 
 def flagged_report(df: DataFrame, keys: DataFrame, source: str = "IsolationForest", key: str = "row_key") -> DataFrame:
-    """Full rows of the flagged keys, headed by what flagged them."""
+    """Full rows of the flagged keys, headed by what flagged them; refuses a ``df`` with repeated keys."""
+    require_unique(df, [key])
     full = keys.select(key).distinct().join(df, key)
     return full.select(F.lit(source).alias("flagged_by"), *df.columns)
 

@@ -201,18 +201,35 @@ def score_histogram(spark, sf_dir):
     return rounded(ev.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice"), "bin_from", "bin_to", places=4)
 
 
-@BOOK.add(
-    "a22_box_summary",
-    "WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1)"
-    " SELECT event_type, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3,"
-    " round(min(value) FILTER (value >= q1 - 1.5 * (q3 - q1) AND value <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_low,"
-    " round(max(value) FILTER (value >= q1 - 1.5 * (q3 - q1) AND value <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high,"
-    " count(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS n_fliers"
-    " FROM events JOIN q USING (event_type) GROUP BY event_type, q1, med, q3",
-)
+def _box_sql(source: str, by: str, value: str) -> str:
+    return (
+        f"WITH q AS (SELECT {by}, quantile_cont({value}, 0.25) AS q1, quantile_cont({value}, 0.5) AS med, quantile_cont({value}, 0.75) AS q3 FROM {source} GROUP BY 1)"
+        f" SELECT {by}, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3,"
+        f" round(min({value}) FILTER ({value} >= q1 - 1.5 * (q3 - q1) AND {value} <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_low,"
+        f" round(max({value}) FILTER ({value} >= q1 - 1.5 * (q3 - q1) AND {value} <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high,"
+        f" count(*) FILTER ({value} < q1 - 1.5 * (q3 - q1) OR {value} > q3 + 1.5 * (q3 - q1)) AS n_fliers"
+        f" FROM {source} JOIN q USING ({by}) GROUP BY {by}, q1, med, q3"
+    )
+
+
+_BOX = ("q1", "median", "q3", "whisker_low", "whisker_high")
+
+
+@BOOK.add("a22_box_summary", _box_sql("events", "event_type", "value"))
 def box(spark, sf_dir):
-    out = ev.box_summary(table(spark, sf_dir, "events"), "event_type", "value")
-    return rounded(out, "q1", "median", "q3", "whisker_low", "whisker_high")
+    return rounded(ev.box_summary(table(spark, sf_dir, "events"), "event_type", "value"), *_BOX)
+
+
+@BOOK.add("a22_box_of_every_part", _box_sql("lineitem", "l_partkey", "l_extendedprice"))
+def box_of_every_part(spark, sf_dir):
+    # A group for each part; none of them is large.
+    return rounded(ev.box_summary(table(spark, sf_dir, "lineitem"), "l_partkey", "l_extendedprice"), *_BOX)
+
+
+@BOOK.add("a22_box_of_large_groups", _box_sql("lineitem", "l_returnflag", "l_extendedprice"))
+def box_of_large_groups(spark, sf_dir):
+    # Groups above 512 values are cut by sketches and counts, round by round.
+    return rounded(ev.box_summary(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", examine=512), *_BOX)
 
 
 @BOOK.add(

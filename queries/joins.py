@@ -6,6 +6,7 @@ from batchlens.operators.evaluation import contamination_grid, stability_pairs
 from batchlens.operators.fences import deviation_type, iqr_fences, with_constants
 from batchlens.operators.masking import apply_mapping, build_mapping
 from batchlens.operators.profiles import profile_frequency, with_profile
+from batchlens.operators.audit import require_unique, with_row_key
 from batchlens.operators.reporting import annotate_status, attach, flagged_report
 from queries.fixture import (
     FILLED,
@@ -68,6 +69,17 @@ def attach_scores(spark, sf_dir):
     return attach(df.select("row_key", *IDS), scores)
 
 
+@BOOK.add(
+    "j4_row_keys",
+    "WITH k AS (SELECT CAST(l_orderkey AS varchar) AS k, count(*) AS n FROM lineitem GROUP BY 1)"
+    " SELECT CASE WHEN n = 1 THEN k ELSE concat(k, '#', unnest(range(1, n + 1))) END AS row_key FROM k",
+)
+def row_keys(spark, sf_dir):
+    # An order stands for several lines, which get an ordinal; the keys then pass the gate of the joins.
+    keyed = with_row_key(table(spark, sf_dir, "lineitem"), ["l_orderkey"])
+    return require_unique(keyed, ["row_key"]).select("row_key")
+
+
 @BOOK.add(
     "j5_label_assignment",
     _FENCED + " SELECT row_key, cma4, cma5, coalesce(deviation_type, 'Core') AS status FROM opv LEFT JOIN flagged USING (row_key)",

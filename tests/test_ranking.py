@@ -10,9 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from batchlens.operators import quantiles as q
+from batchlens.operators.audit import require_unique, with_row_key
 from batchlens.operators.masking import build_mapping, mask
 from batchlens.operators.profiles import coded_profiles, frequent_or_rare
 from batchlens.operators.ranking import category_code, exact_sample, global_rank, sample_flags, top_code
+from batchlens.operators.reporting import attach
 from batchlens.operators.roles import Roles
 
 N = 3000
@@ -108,10 +110,46 @@ def test_sample_is_exact_and_stable(spark):
     assert exact_sample(df, 0.0, 9, "k").count() == 0 and exact_sample(df, 1.0, 9, "k").count() == 5000
 
 
-def test_sample_refuses_a_shared_key(spark):
-    df = spark.range(3000).withColumn("k", F.lit("same"))
-    with pytest.raises(ValueError, match="share one value"):
-        exact_sample(df, 0.5, 1, "k")
+def test_sample_of_rows_that_share_a_key_is_exact_and_stable(spark):
+    """A key of 30,000 rows is cut by a hash of the whole row, equal rows by where they lie."""
+    df = spark.range(30_000).select(F.lit("hot").alias("k"), F.col("id").alias("v")).unionByName(spark.range(500).select(F.concat(F.lit("k"), "id").alias("k"), F.col("id").alias("v")))
+    some = lambda frame: {(r["k"], r["v"]) for r in exact_sample(frame, 0.4, 10, "k").collect()}
+    first = some(df.repartition(7))
+    assert len(first) == 12_200 and first == some(df.repartition(3, "v"))
+    assert len({k for k, _ in first}) > 1
+    equal = spark.range(5000).select(F.lit("hot").alias("k"), F.lit(1).alias("v"), F.lit(None).cast("string").alias("w"))
+    assert exact_sample(equal.repartition(6), 0.31, 10, "k").count() == 1550
+    flagged = sample_flags(equal, 7, {"a": 1, "b": 2}, "k", 5000)
+    assert (flagged.filter("a").count(), flagged.filter("b").count(), flagged.columns) == (7, 7, ["k", "v", "w", "a", "b"])
+
+
+@pytest.mark.parametrize("examine", [4, 64, 1 << 14])
+def test_quantiles_of_groups(spark, examine):
+    rng = np.random.default_rng(5)
+    groups = {"hot": rng.integers(0, 40, 3000) / 8, "wide": rng.normal(0, 1e6, 2000), "one": np.array([3.5]), "same": np.full(900, 2.25), None: rng.normal(size=77)}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("hot", None), ("gap", None), ("wide", float("nan")), ("wide", float("inf"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    ps = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+    got = {r["g"]: r for r in q.grouped_quantiles(df, "g", "v", ps, examine).collect()}
+    assert set(got) == set(groups)
+    for g, v in groups.items():
+        assert got[g]["n"] == len(v) and got[g]["quantiles"] == pytest.approx(np.quantile(v, ps).tolist(), rel=1e-12)
+
+
+def test_row_keys_are_unique_and_repeated_ones_are_refused(spark):
+    rows = [("a", 1, "x")] * 3 + [("a", 1, "y"), ("a", None, "x"), (None, 1, "x"), ("b", 2, None)]
+    df = spark.createDataFrame(rows, "p string, q int, v string")
+    keyed = with_row_key(df, ["p", "q"])
+    got = sorted((r["row_key"], r["v"]) for r in keyed.collect())
+    assert [k for k, _ in got] == ["-1", "a-", "a-1#1", "a-1#2", "a-1#3", "a-1#4", "b-2"]
+    assert len({v for k, v in got[2:5]} | {got[5][1]}) == 2
+    assert require_unique(keyed, ["row_key"]) is keyed
+    with pytest.raises(ValueError, match="1 keys of p, q stand for 4 rows"):
+        require_unique(df, ["p", "q"])
+    scores = keyed.select("row_key", F.lit(0.5).alias("score"))
+    assert attach(keyed, scores).count() == 7
+    with pytest.raises(ValueError):
+        attach(keyed, scores.unionByName(scores))
 
 
 def test_top_code_skips_nulls_and_breaks_ties(spark):
