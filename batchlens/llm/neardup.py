@@ -14,9 +14,9 @@ compared with its centre, the first in an order by hash, by their exact weighted
 Jaccard similarity.  Those that are not similar to it get another centre by another
 order, for ``ROUNDS`` rounds; no bucket is cut off and none is paired out.  These
 rounds only join what is quick to join.  After them, in each bucket whose texts are
-not all in one class yet, every pair of texts of different classes is compared that
-was not before, but for pairs whose total weights alone keep them below the threshold
-(``unmet_pairs``).  So classes are exactly the connected components of all similar
+not all in one class yet, every pair of texts of different classes is compared, block by
+block through an index of shingles, so that only similar pairs leave a task
+(``unmet_links``).  So classes are exactly the connected components of all similar
 pairs that share a bucket, whatever the size of the buckets; a bucket of n texts that
 are not similar costs n * n / 2 comparisons.
 
@@ -45,7 +45,7 @@ from batchlens.llm.words import hash_words, mix, shingles
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
 ROUNDS = 4
-MEETING = 256  # members of a bucket that meet the others in one task
+MEETING, MEETING_CHARS = 1024, 8 << 20  # members of a bucket that are held together in one task, and their characters
 BUCKETS = 1 << 16
 _POOL_BITS = 14
 
@@ -165,35 +165,94 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: fl
     return both.select("centre", "key", "text", "_other").mapInArrow(run, "centre binary, key binary, linked boolean")
 
 
-def unmet_pairs(members: DataFrame, texts: DataFrame, seen: DataFrame, threshold: float) -> DataFrame:
-    """``centre, key``: pairs of ``members`` (key, band, i, j) of a bucket that are neither in ``seen`` nor in one class.
-
-    A pair that shares several buckets is made only in that of its first two equal
-    ``bands`` (of ``texts``).  Members of a bucket's largest class don't meet each other.
+class _Block:
+    """Members of one bucket, by their shingles: which of them hold a shingle, and with which weight."""
+
+    def __init__(self, keys: list, roots: list, texts: list, bands: np.ndarray, main: np.ndarray, idf: np.ndarray) -> None:
+        self.keys, self.bands, self.main = keys, bands, main
+        self.number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+        self.roots = np.array([self.number[r] for r in roots])
+        words, bounds = hash_words(texts)
+        self.members = [weighted_shingles(words[a:b], idf) for a, b in zip(bounds, bounds[1:])]
+        self.weights = np.array([w.sum() for _, w in self.members])
+        every = np.concatenate([s for s, _ in self.members])
+        owner = np.repeat(np.arange(len(keys)), [len(s) for s, _ in self.members])
+        order = np.argsort(every, kind="stable")
+        self.owner, self.weight = owner[order], np.concatenate([w for _, w in self.members])[order]
+        self.shingles, self.starts, self.counts = np.unique(every[order], return_index=True, return_counts=True)
+
+    def similar(self, one: tuple[np.ndarray, np.ndarray], asked: np.ndarray, threshold: float) -> list[int]:
+        """Places of the ``asked`` members whose similarity to ``one`` reaches the threshold."""
+        found, weights = one
+        at = np.minimum(np.searchsorted(self.shingles, found), len(self.shingles) - 1)
+        hit = self.shingles[at] == found
+        starts, counts = self.starts[at[hit]], self.counts[at[hit]]
+        places = np.arange(counts.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) if len(counts) else np.zeros(0, np.int64)
+        less = np.minimum(self.weight[places], np.repeat(weights[hit], counts))
+        overlap = np.bincount(self.owner[places], less, len(self.keys))
+        near = overlap >= (threshold - 1e-6) * (self.weights + weights.sum() - overlap)
+        return [k for k in np.flatnonzero(near & asked).tolist() if similarity(self.members[k], one) >= threshold]
+
+
+def unmet_links(members: DataFrame, texts: DataFrame, seen: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """``centre, key``: similar pairs of ``members`` (key, band, i, j) of a bucket that are not in one class yet.
+
+    A bucket's members are held in blocks of bounded size, by their shingles, and all of its
+    members that are not in its largest class stream past each block; so a member travels once
+    a block, and only similar pairs leave a task.  A pair that shares several buckets is
+    compared only in that of its first two equal ``bands`` (of ``texts``).
     """
     roots = written(components(seen.filter("linked").select(F.col("centre").alias("a"), F.col("key").alias("b"))))
     own = members.join(roots, F.col("key") == F.col("node"), "left").select(*members.columns, F.coalesce("root", "key").alias("root"))
-    own = written(own)
-    sizes = own.groupBy("band", "root").agg(F.count(F.lit(1)).alias("_n")).groupBy("band")
-    sizes = sizes.agg(F.max_by("root", F.struct("_n", "root")).alias("_main"), F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_roots"))
-    some = written(sizes.filter("_roots > 1").select("band", "_main", F.ceil(F.col("_n") / MEETING).cast("int").alias("_parts")))
-    held = texts.select("key", "bands", "weight")
-    some = written(own.join(some, "band").join(held, "key"))
-    part = F.pmod(F.xxhash64("key", "band"), F.col("_parts")).cast("int")
-    left = some.filter("root <> _main").select(
-        "band", "i", "j", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"),
-        *(F.col(c).alias(f"_{c}") for c in ("key", "root", "bands", "weight")),
-    )
-    right = some.select("band", part.alias("part"), "key", "root", "bands", "weight", (F.col("root") == F.col("_main")).alias("_in_main"))
-    equal = lambda k: F.element_at("bands", k) == F.element_at("_bands", k)
-    nth = F.sequence(F.lit(1), F.col("j") + 1)
-    first = F.size(F.filter(nth, equal)) == 2  # i and j are equal and no other before j
-    alike = F.least("weight", "_weight") >= F.greatest("weight", "_weight") * (threshold - 1e-9)
-    met = left.join(right, ["band", "part"]).filter(
-        (F.col("root") != F.col("_root")) & (F.col("_in_main") | (F.col("_key") < F.col("key"))) & alike & first
-    )
-    pairs = met.select(F.least("_key", "key").alias("centre"), F.greatest("_key", "key").alias("key"))
-    return written(pairs.join(seen, ["centre", "key"], "left_anti"))
+    own = written(own.join(texts.select("key", F.length("text").alias("_chars")), "key"))
+    sizes = own.groupBy("band", "root").agg(F.count(F.lit(1)).alias("_n"), F.sum("_chars").alias("_chars")).groupBy("band")
+    sizes = sizes.agg(F.max_by("root", F.struct("_n", "root")).alias("_main"), F.sum("_n").alias("_n"), F.sum("_chars").alias("_chars"), F.count(F.lit(1)).alias("_roots"))
+    parts = F.ceil(F.greatest(F.col("_n") / MEETING, F.col("_chars") / MEETING_CHARS)).cast("int").alias("_parts")
+    open_ = sizes.filter("_roots > 1").select("band", "_main", F.greatest(parts, F.lit(1)).alias("_parts"))
+    some = own.join(open_, "band").join(texts, "key")
+    row = ["band", "part", "asks", "key", "root", "in_main", "j", "bands", "text"]
+    some = some.withColumn("in_main", F.col("root") == F.col("_main"))
+    held = some.withColumns({"part": F.pmod(F.xxhash64("key", "band"), F.col("_parts")).cast("int"), "asks": F.lit(False)})
+    asks = some.filter(~F.col("in_main")).withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)), "asks": F.lit(True)})
+    dealt = held.select(*row).unionByName(asks.select(*row)).repartition("band", "part").sortWithinPartitions("band", "part", "asks")
+
+    def meet(block: _Block, rows: dict) -> list[tuple]:
+        words, bounds = hash_words(rows["text"])
+        out = []
+        for key, root, j, bands, a, b in zip(rows["key"], rows["root"], rows["j"], rows["bands"], bounds, bounds[1:]):
+            equal = block.bands == np.array(bands)
+            # in this bucket: the second of the pair's equal bands is the j-th; members of the main class ask nobody
+            asked = (equal[:, : j + 1].sum(axis=1) == 2) & equal[:, j] & (block.roots != block.number.get(root, -1))
+            asked &= block.main | np.array([k > key for k in block.keys])
+            if asked.any():
+                one = weighted_shingles(words[a:b], idf)
+                out += [(min(key, block.keys[k]), max(key, block.keys[k])) for k in block.similar(one, asked, threshold)]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, block, kept = None, None, []
+        for whole in batches:
+            for batch in slices(whole):
+                rows = batch.to_pydict()
+                names = list(zip(rows["band"], rows["part"], rows["asks"]))
+                edges = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+                for a, b in zip(edges, edges[1:]):
+                    part = {c: v[a:b] for c, v in rows.items()}
+                    if names[a][:2] != group:
+                        group, block, kept = names[a][:2], None, []
+                    if not names[a][2]:
+                        kept.append(part)
+                        continue
+                    if block is None:
+                        if not kept:
+                            continue
+                        all_ = {c: [x for p in kept for x in p[c]] for c in ("key", "root", "text", "bands", "in_main")}
+                        block, kept = _Block(all_["key"], all_["root"], all_["text"], np.array(all_["bands"]), np.array(all_["in_main"]), idf), []
+                    pairs = meet(block, part)
+                    if pairs:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*pairs)], names=["centre", "key"])
+
+    return dealt.mapInArrow(run, "centre binary, key binary").distinct()
 
 
 def near_links(docs: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -231,9 +290,9 @@ def near_links(docs: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: flo
             if open_.isEmpty():
                 break
     # a bucket's first centre has met all its members
-    unmet = unmet_pairs(every.filter("key <> centre").drop("centre"), per_text, seen, threshold)
-    seen = seen.unionByName(_verified(unmet, texts, idf, threshold))
-    return written(seen.filter("linked").select(F.col("centre").alias("a"), F.col("key").alias("b")))
+    body = texts.join(per_text.select("key", "bands"), "key")
+    links = seen.filter("linked").select("centre", "key").unionByName(unmet_links(every.filter("key <> centre").drop("centre"), body, seen, idf, threshold))
+    return written(links.distinct().select(F.col("centre").alias("a"), F.col("key").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
