@@ -11,14 +11,13 @@ many that only share a passage, so buckets are groups of near-copies.
 
 Equal texts are one text throughout.  All texts of a bucket (of two bands) are
 compared with its centre, the first in an order by hash, by their exact weighted
-Jaccard similarity.  Those that are not similar to it get another centre by another
-order, for ``ROUNDS`` rounds; no bucket is cut off and none is paired out.  These
-rounds only join what is quick to join.  After them, in each bucket whose texts are
-not all in one class yet, every pair of texts of different classes is compared, block by
-block through an index of shingles, so that only similar pairs leave a task
-(``unmet_links``).  So classes are exactly the connected components of all similar
-pairs that share a bucket, whatever the size of the buckets; a bucket of n texts that
-are not similar costs n * n / 2 comparisons.
+Jaccard similarity; no bucket is cut off and none is paired out.  This only joins what
+is quick to join.  After it, in each bucket whose texts are not all in one class yet,
+every pair of texts of different classes is compared, block by block through an index
+of shingles, so that only similar pairs leave a task (``unmet_links``).  So classes are
+exactly the connected components of all similar pairs that share a bucket, whatever the
+size of the buckets; the texts of a bucket that its centre leaves out each pass all of
+the bucket once.
 
 Result: per row ``doc_id``, ``class_id`` (the smallest id in the class), its
 number of rows, of links of the row's text, and ``kept`` (true for one row of each
@@ -44,7 +43,6 @@ from batchlens.llm.words import hash_words, mix, shingles
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
-ROUNDS = 4
 MEETING, MEETING_CHARS = 1024, 8 << 20  # members of a bucket that are held together in one task, and their characters
 BUCKETS = 1 << 16
 _POOL_BITS = 14
@@ -265,30 +263,14 @@ def near_links(docs: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: flo
     both = F.transform(F.slice("_own", F.col("_at") + 2, F.lit(BANDS)), lambda b: F.struct(F.xxhash64("_a", b).alias("band"), b["_nth"].alias("j")))
     bands = written(other.select("key", F.col("_a._nth").alias("i"), F.explode(both).alias("_b")).select("key", "i", "_b.*"))
 
-    def with_centres(members: DataFrame, nth: int) -> DataFrame:
-        """Members of buckets with others in them, each with its bucket's centre."""
-        drawn = F.xxhash64("key", F.lit(nth))  # alike in all buckets, so a group's buckets mostly share a centre
-        centres = members.groupBy("band").agg(F.min_by("key", drawn).alias("centre"), F.count(F.lit(1)).alias("_n"))
-        return written(members.join(written(centres.filter("_n > 1").drop("_n")), "band"))
-
-    every = with_centres(bands, 0)
-    open_ = every.select("key", "band", "centre")
-    wanted = open_.select("key").distinct()
+    # an order alike in all buckets, so that a group's buckets mostly share a centre
+    centres = bands.groupBy("band").agg(F.min_by("key", F.xxhash64("key", F.lit(0))).alias("centre"), F.count(F.lit(1)).alias("_n"))
+    every = written(bands.join(centres.filter("_n > 1").drop("_n"), "band"))
     body = docs.filter("text is not null").select(content_key().alias("key"), "text")
-    texts = written(body.join(written(wanted), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
-    seen: DataFrame | None = None
-    for nth in range(1, ROUNDS + 1):
-        pairs = open_.filter("key <> centre").select(F.least("centre", "key").alias("centre"), F.greatest("centre", "key").alias("key"))
-        pairs = pairs.distinct() if seen is None else pairs.distinct().join(seen, ["centre", "key"], "left_anti")
-        done = _verified(pairs, texts, idf, threshold)
-        seen = written(done if seen is None else seen.unionByName(done))
-        if nth < ROUNDS:
-            linked = seen.filter("linked").select("centre", "key")
-            linked = linked.unionByName(linked.select(F.col("key").alias("centre"), F.col("centre").alias("key")))
-            rest = open_.filter("key <> centre").join(linked, ["centre", "key"], "left_anti").select("key", "band")
-            open_ = with_centres(rest, nth)
-            if open_.isEmpty():
-                break
+    wanted = every.select("key").distinct()
+    texts = written(body.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
+    pairs = every.filter("key <> centre").select(F.least("centre", "key").alias("centre"), F.greatest("centre", "key").alias("key"))
+    seen = written(_verified(pairs.distinct(), texts, idf, threshold))
     # a bucket's first centre has met all its members
     body = texts.join(per_text.select("key", "bands"), "key")
     links = seen.filter("linked").select("centre", "key").unionByName(unmet_links(every.filter("key <> centre").drop("centre"), body, seen, idf, threshold))
