@@ -79,13 +79,12 @@ class Pieces:
         if len(self.memo) > MEMO_ENTRIES // 2:
             self.memo, self.older = {}, self.memo
         cut = [None if any(s in t for s in self.special) else self.cut(t) for t in texts]
-        known = [list(map(self.memo.get, c)) if c else [] for c in cut]
-        self._learn(list({p for c, k in zip(cut, known) if c for p, ids in zip(c, k) if ids is None}))
-        for text, pieces, ids in zip(texts, cut, known):
+        self._learn(set().union(*filter(None, cut)).difference(self.memo))
+        for text, pieces in zip(texts, cut):
             if pieces is None:
                 out.append(self.whole.encode([text])[0])
             else:
-                out.append(b"".join(map(self.memo.__getitem__, pieces) if None in ids else ids))
+                out.append(b"".join(map(self.memo.__getitem__, pieces)))
         return out
 
     def _by_model(self, piece: str) -> bytes | None:
@@ -104,7 +103,7 @@ class Pieces:
             found += self.tokenize(piece[len(body) :])
         return array("I", [t.id for t in found]).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: set[str]) -> None:
         """Words the model can't take alone go to the library as one text, a line each; the ids of the line breaks part them again."""
         plain, rest = [], []
         for p in pieces:
