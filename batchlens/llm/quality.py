@@ -163,6 +163,44 @@ class Forests:
         return bad
 
 
+def smallest_by_hash(rows: DataFrame, size: int) -> np.ndarray:
+    """The ``COUNTS`` of the ``size`` rows whose hash is smallest, of all rows if there are fewer.
+
+    Counts per prefix of the hash find the prefix in which the last of them lies, and a
+    longer prefix narrows it until it holds no more than ``size`` rows.  What meets on
+    the driver is at most 4,096 counts a step and then twice ``size`` rows, however
+    many rows there are; rows that are equal come as one with a count.
+    """
+    hashed = rows.withColumn("_hash", F.xxhash64(*rows.columns))
+    bits, prefix, wanted = 64, 0, size
+    while bits:
+        here = hashed if bits == 64 else hashed.filter(F.shiftright("_hash", bits) == prefix)
+        bits = max(bits - 12, 0)
+        parts = here.groupBy(F.shiftright("_hash", bits).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+        before = np.cumsum([0, *(r["n"] for r in parts)])
+        if before[-1] < wanted:  # only at the first step: fewer rows than wanted
+            last = hashed
+            break
+        nth = int(np.searchsorted(before, wanted)) - 1
+        prefix, wanted = parts[nth]["part"], wanted - int(before[nth])
+        last = hashed.filter(F.col("_hash") <= ((prefix + 1) << bits) - 1)
+        if parts[nth]["n"] <= size:
+            break
+    found = last.groupBy("_hash", *rows.columns).agg(F.count(F.lit(1)).alias("_n")).collect()
+    found.sort(key=lambda r: (r["_hash"], r["doc_id"] is not None, r["doc_id"] or 0, *(r[c] for c in COUNTS)))
+    counts = np.array([[r[c] for c in COUNTS] for r in found], np.int64).reshape(-1, len(COUNTS))
+    left = size - np.cumsum([0, *(r["_n"] for r in found)])[:-1]
+    return np.repeat(counts, [max(min(r["_n"], room), 0) for r, room in zip(found, left)], axis=0)
+
+
+def at_least(hits: np.ndarray, of: np.ndarray, z: float) -> np.ndarray:
+    """Lower end of Wilson's interval for a share of which ``hits`` in ``of`` were seen; 0 where none were."""
+    n = np.maximum(of, 1)
+    share = hits / n
+    low = share + z * z / (2 * n) - z * np.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    return np.where(of > 0, low / (1 + z * z / n), 0.0)
+
+
 def fit_forests(statistics: DataFrame, trees: int = 100, sample: int = 256, seed: int = 7, base: BaseRules = BaseRules()) -> Forests:
     """Forests over documents that pass the base rules.
 
@@ -170,9 +208,7 @@ def fit_forests(statistics: DataFrame, trees: int = 100, sample: int = 256, seed
     ``trees * sample`` rows, those whose hash is smallest in the whole table.
     """
     passed = statistics.filter(~base.failed(F.col("n_words"), F.col("n_repeat_words")))
-    order = [F.xxhash64("doc_id", *COUNTS), F.col("doc_id"), *COUNTS]
-    pool = passed.orderBy(*order).limit(trees * sample).select(*COUNTS).collect()  # bounded by the two parameters
-    table = rates(np.array(pool, np.int64).reshape(-1, len(COUNTS)))
+    table = rates(smallest_by_hash(passed.select("doc_id", *COUNTS), trees * sample))
     size = min(sample, len(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,10 +235,14 @@ def fit_forests(statistics: DataFrame, trees: int = 100, sample: int = 256, seed
 
 
 def calibrate(
-    forests: Forests, statistics: DataFrame, labels: DataFrame, precision: float = 0.95, min_rows: int = 20
+    forests: Forests, statistics: DataFrame, labels: DataFrame, precision: float = 0.95, surely: float = 0.9, z: float = 1.2816
 ) -> Forests:
     """The forests with thresholds from all labelled documents that pass the base rules.
 
+    A forest rejects from the lowest score beyond which the share of low quality is
+    ``precision`` or more, and ``surely`` or more by the lower end of its interval
+    (``z`` = 1.2816: in nine cases of ten the true share is above it), so that few
+    labels need a clearer case than many.
     ``labels`` has ``doc_id, quality``; 0 is low.  What meets on the driver is a
     count per forest, score bin and label.
     """
@@ -225,7 +265,7 @@ def calibrate(
     thresholds = []
     for of in tally:
         low, good = np.cumsum(of[::-1], axis=0)[::-1].T
-        right = (low + good >= min_rows) & (low >= precision * (low + good)) & (of.sum(1) > 0)
+        right = (low >= precision * (low + good)) & (at_least(low, low + good, z) >= surely) & (of.sum(1) > 0)
         thresholds.append(int(np.flatnonzero(right)[0]) if right.any() else None)
     return Forests(forests.trees, forests.sample, tuple(thresholds), forests.base)
 

@@ -5,7 +5,20 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from batchlens.llm.quality import FORESTS, calibrate, fit_forests, grow, keep_good, quality_rules, rule_statistics, text_counts, unsplit
+from batchlens.llm.quality import (
+    COUNTS,
+    FORESTS,
+    at_least,
+    calibrate,
+    fit_forests,
+    grow,
+    keep_good,
+    quality_rules,
+    rule_statistics,
+    smallest_by_hash,
+    text_counts,
+    unsplit,
+)
 from batchlens.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +95,20 @@ def test_no_labels_keeps_what_passes_the_base(spark, documents):
     kept = keep_good(documents, none).count()
     base = statistics.filter((F.col("n_words") >= 50) & (100 * F.col("n_repeat_words") <= 50 * F.col("n_words"))).count()
     assert kept == base
+
+
+def test_pool_is_the_rows_of_smallest_hash(spark):
+    columns = [F.pmod(F.col("id") * (k + 3), F.lit(k + 7)).cast("bigint").alias(c) for k, c in enumerate(COUNTS)]
+    some = spark.range(9000).select(F.when(F.col("id") % 50 > 0, F.col("id")).alias("doc_id"), *columns)
+    hot = spark.range(6000).select(F.lit(1).cast("bigint").alias("doc_id"), *[F.lit(1).cast("bigint").alias(c) for c in COUNTS])
+    rows = some.unionByName(hot)
+    for size in (1, 40, 700, 5000, 14_999, 15_000, 99_999):
+        want = rows.orderBy(F.xxhash64("doc_id", *COUNTS), "doc_id", *COUNTS).limit(size).select(*COUNTS).collect()
+        assert smallest_by_hash(rows, size).tolist() == [list(r) for r in want]
+    assert smallest_by_hash(rows.limit(0), 5).shape == (0, len(COUNTS))
+
+
+def test_few_labels_need_a_clearer_case():
+    hits, of = np.array([0, 5, 20, 19, 186, 9100]), np.array([0, 5, 20, 20, 200, 10_000])
+    assert (at_least(hits, of, 1.2816) >= 0.9).tolist() == [False, False, True, False, True, True]
+    assert np.all(at_least(hits, of, 1.2816) <= hits / np.maximum(of, 1))
