@@ -1,6 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Benchmark items (in parts of at most ``PART`` words) are queries, taken in blocks
+1. Benchmark items (long ones in parts of ``PART`` words, each half over the one
+   before, so that a run of 64 words lies whole in one) are queries, taken in blocks
    of ``BLOCK``.  A block's terms are its words that are not in too many documents
    (and all words of items that have few such words); words weigh their inverse document frequency over all documents.
 2. A randomised SVD of the passages' TF-IDF matrix over these terms: every task adds
@@ -11,10 +12,12 @@
 3. Search: each window of ``WINDOW`` words of every document is compared with all
    items in the latent space; the cosine is taken with the norms of the whole
    vectors, so a window with little of an item in it comes out low.
-4. Candidates at ``CANDIDATE`` and above are checked word by word: the longest common
-   subsequence of an item's part and the words around the window.  A leak is a
-   ``copy`` if that holds ``copied`` of the part's words; a ``paraphrase`` if it holds
-   ``paraphrased`` and the item's answer is there too.  Without an ``answer`` column
+4. Candidates at ``CANDIDATE`` and above (lower for parts of a few words, which fill
+   little of a window) are checked word by word.  A leak is a ``copy`` if ``RUN``
+   words in a row, or all of a shorter part, stand there unchanged, or if the longest
+   common subsequence of the part and the words around the window holds ``copied`` of
+   the part's words; a ``paraphrase`` if it holds ``paraphrased`` and the item's
+   answer is there too.  Without an ``answer`` column
    the last sentence of the item counts as its answer.
 
 Words are compared in lower case without ASCII punctuation.
@@ -48,6 +51,7 @@ WINDOW, STRIDE = 64, 32
 CANDIDATE = 0.2
 ITEM_ENERGY = 100  # of the items in the matrix, times the corpus's, so no item falls out of the rank
 COMMON = 0.1  # a term in more of the documents than this tells nothing
+RUN = 50  # equal words in a row that are a copy by themselves
 _ROWS = 16  # terms of the sketch in one row of a shuffle
 
 _SENTENCE = re.compile(r"[^.!?\n]*\w[^.!?\n]*")
@@ -61,6 +65,27 @@ class Items:
     words: list[np.ndarray]
     answers: list[np.ndarray]
 
+    def bounds(self) -> np.ndarray:
+        """The cosine from which a window is a candidate for each part; half of what a whole copy has at least."""
+        sizes = np.array([len(w) for w in self.words])
+        return np.minimum(CANDIDATE, 0.5 * np.sqrt(sizes / WINDOW))
+
+
+def _parts(words: np.ndarray) -> list[np.ndarray]:
+    """An item's words in parts of ``PART`` that overlap by half; none for no words."""
+    if len(words) <= PART:
+        return [words] if len(words) else []
+    return [words[at : at + PART] for at in range(0, len(words) - PART // 2, PART // 2)]
+
+
+def _share_run(a: np.ndarray, b: np.ndarray, n: int) -> bool:
+    """Whether ``n`` words in a row stand in both."""
+    if not n or min(len(a), len(b)) < n:
+        return False
+    powers = np.cumprod(np.full(n, 0x9E3779B97F4A7C15, np.uint64))
+    runs = [np.lib.stride_tricks.sliding_window_view(words, n) @ powers for words in (a, b)]
+    return bool(np.isin(runs[1], runs[0]).any())
+
 
 def read_items(benchmark: DataFrame) -> list[Items]:
     """The benchmark, the query set of this search, in blocks; it has to fit the driver."""
@@ -70,8 +95,7 @@ def read_items(benchmark: DataFrame) -> list[Items]:
         words = hash_words([r["text"]], fold=True)[0]
         sentences = _SENTENCE.findall(r["text"])
         said = hash_words([r["answer"] or (sentences[-1] if sentences else "")], fold=True)[0]
-        n = -(-len(words) // PART)
-        parts += [(r["item_id"], part, said) for part in np.array_split(words, n)] if n else []
+        parts += [(r["item_id"], part, said) for part in _parts(words)]
     return [Items(*map(list, zip(*parts[i : i + BLOCK]))) for i in range(0, len(parts), BLOCK)]
 
 
@@ -229,20 +253,25 @@ class Search:
         end = np.minimum(first + WINDOW, bounds[text + 1])
         a, b = np.searchsorted(at, first), np.searchsorted(at, end)
         norm = np.sqrt(squares[end] - squares[first])
-        some = np.flatnonzero((b > a) & (np.sqrt(own[b] - own[a]) >= CANDIDATE * norm) & (norm > 0))
+        needed = self.items.bounds()
+        some = np.flatnonzero((b > a) & (np.sqrt(own[b] - own[a]) >= needed.min() * norm) & (norm > 0))
         queries, out = self._queries(), []
         for k in some.tolist():  # a few windows in a hundred hold enough terms of the benchmark
             inside = slice(a[k], b[k])
             latent = value[inside] @ self.vectors[term[inside]]
             cosine = (queries @ latent) / norm[k]
-            for part in np.flatnonzero(cosine >= CANDIDATE).tolist():
+            for part in np.flatnonzero(cosine >= needed).tolist():
                 out.append((int(text[k]), int(first[k] - bounds[text[k]]), part, float(cosine[part])))
         return out
 
-    def check(self, words: np.ndarray, first: int, part: int) -> tuple[str, int] | None:
+    def check(self, words: np.ndarray, first: int, part: int, cosine: float) -> tuple[str, int] | None:
         item, answer = self.items.words[part], self.items.answers[part]
         near = words[max(0, first - len(item)) : first + WINDOW + len(item)]
-        common = common_subsequence(item, near)
+        common, run = common_subsequence(item, near), min(RUN, len(item))
+        if common >= run and _share_run(item, near, run):
+            return "copy", common
+        if cosine < CANDIDATE:  # words of a very short item may stand anywhere: only all of it in a row tells
+            return None
         if common >= self.copied * len(item):
             return "copy", common
         if common >= self.paraphrased * len(item) and len(answer) and common_subsequence(answer, near) >= 0.8 * len(answer):
@@ -254,7 +283,7 @@ class Search:
         words, bounds = hash_words(texts, fold=True)
         best: dict[tuple, tuple] = {}
         for text, first, part, cosine in self.candidates(words, bounds):
-            found = self.check(words[bounds[text] : bounds[text + 1]], first, part)
+            found = self.check(words[bounds[text] : bounds[text + 1]], first, part, cosine)
             if found:
                 size = len(self.items.words[part])
                 row = (found[0] == "copy", found[1] / size, round(cosine, 6), *found, size)

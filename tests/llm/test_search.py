@@ -75,6 +75,29 @@ def test_answer_column_decides_a_paraphrase(spark):
     assert [(r["doc_id"], r["kind"]) for r in leaks(docs, bench).collect()] == [(1, "paraphrase")]
 
 
+def test_parts_of_items_are_copies(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{k}" for k in range(4000)]
+
+    def text(n):
+        return [vocabulary[k] for k in (4000 * rng.random(n) ** 2).astype(int)]
+
+    long, middle, short = [text(250) for _ in range(8)], [text(95) for _ in range(8)], [text(n) for n in (4, 5, 6, 7, 8, 9, 10, 12)]
+    docs, want = [], set()
+    for k in range(8):
+        at = 15 * k  # runs that lie across the ends of parts too
+        for group, words in ((100, long[k][at : at + 125]), (200, middle[k][4 * k : 4 * k + 64]), (300, short[k])):
+            docs.append((group + k, " ".join(text(150) + words + text(150))))
+            want.add((group + k, group + k))
+        docs += [(400 + 10 * k + j, " ".join(text(300))) for j in range(10)]
+        docs.append((500 + k, " ".join(text(150) + long[k][at : at + 20] + text(150))))  # too little to be one
+    items = [(g + k, " ".join(w)) for g, ws in ((100, long), (200, middle), (300, short)) for k, w in enumerate(ws)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = leaks(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want
+    assert {r["kind"] for r in found} == {"copy"}
+
+
 def test_nystrom_gives_singular_vectors():
     rng = np.random.default_rng(0)
     a = rng.normal(size=(300, 6)) @ rng.normal(size=(6, 40))
