@@ -52,6 +52,7 @@ CANDIDATE = 0.2
 ITEM_ENERGY = 100  # of the items in the matrix, times the corpus's, so no item falls out of the rank
 COMMON = 0.1  # a term in more of the documents than this tells nothing
 RUN = 50  # equal words in a row that are a copy by themselves
+_DEEP = 64  # rows added one after the other
 _ROWS = 16  # terms of the sketch in one row of a shuffle
 
 _SENTENCE = re.compile(r"[^.!?\n]*\w[^.!?\n]*")
@@ -137,18 +138,38 @@ class Terms:
         return table
 
 
-def _sketch_share(terms: Terms, omega: np.ndarray, places: np.ndarray, term: np.ndarray, passage: np.ndarray, into: np.ndarray) -> float:
-    """Adds A'A times omega of some passages (occurrences in order of passage) and returns their energy."""
+def _row_sums(table: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of ``table[rows[starts[i]:starts[i + 1]]]`` for each i.
+
+    The nth rows of all groups are added together, which needs no copy of all rows;
+    groups of more than ``_DEEP`` are cut, so there are never more than that many steps.
+    """
+    sizes = np.diff(np.append(starts, len(rows)))
+    pieces = -(-sizes // _DEEP)
+    ahead = np.cumsum(pieces) - pieces
+    nth = np.arange(pieces.sum()) - np.repeat(ahead, pieces)
+    first = np.repeat(starts, pieces) + nth * _DEEP
+    size = np.minimum(np.repeat(sizes, pieces) - nth * _DEEP, _DEEP)
+    by = np.argsort(-size, kind="stable")
+    first, size = first[by], size[by]
+    sums = table[rows[first]]
+    for step in range(1, int(size[0])):
+        some = int(np.searchsorted(-size, -step))
+        sums[:some] += table[rows[first[:some] + step]]
+    out = np.empty_like(sums)
+    out[by] = sums
+    return np.add.reduceat(out, ahead, axis=0) if len(out) > len(starts) else out
+
+
+def _sketch_share(weighted: np.ndarray, term: np.ndarray, passage: np.ndarray, into: np.ndarray) -> None:
+    """Adds A'A times omega of some passages (occurrences in order of passage); ``weighted`` is omega times the weights, which ``into`` still lacks."""
     if not len(term):
-        return 0.0
-    value = terms.weights[term]
-    first = np.flatnonzero(np.diff(passage, prepend=-1))
-    sums = np.add.reduceat(omega[term] * value[:, None], first)
-    which = np.cumsum(np.diff(passage, prepend=-1) != 0) - 1
+        return
+    new = np.diff(passage, prepend=-1) != 0
+    sums = _row_sums(weighted, term, np.flatnonzero(new))
     by = np.argsort(term, kind="stable")
     starts = np.flatnonzero(np.diff(term[by], prepend=-1))
-    into[term[by][starts]] += np.add.reduceat(sums[which[by]] * value[by][:, None], starts)
-    return float((value.astype(float) ** 2).sum())
+    into[term[by][starts]] += _row_sums(sums, (np.cumsum(new) - 1)[by], starts)
 
 
 def latent_space(docs: DataFrame, items: Items, idf: np.ndarray, seed: int = 17) -> tuple[Terms, np.ndarray]:
@@ -156,7 +177,7 @@ def latent_space(docs: DataFrame, items: Items, idf: np.ndarray, seed: int = 17)
     terms = Terms.of(items, idf)
     n, rank = len(terms.hashes), min(RANK, len(terms.hashes))
     omega = np.random.default_rng(seed).standard_normal((n, rank)).astype(np.float32)
-    spark = docs.sparkSession
+    weighted, squares = omega * terms.weights[:, None], terms.weights.astype(float) ** 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share, energy = np.zeros((n, rank), np.float32), 0.0
@@ -166,7 +187,9 @@ def latent_space(docs: DataFrame, items: Items, idf: np.ndarray, seed: int = 17)
                 at, term = terms.find(words)
                 doc = np.searchsorted(bounds, at, "right") - 1
                 passages = np.concatenate([[0], np.cumsum(-(-np.diff(bounds) // WINDOW))])
-                energy += _sketch_share(terms, omega, at, term, passages[doc] + (at - bounds[doc]) // WINDOW, share)
+                _sketch_share(weighted, term, passages[doc] + (at - bounds[doc]) // WINDOW, share)
+                energy += float(squares[term].sum())
+        share *= terms.weights[:, None]
         salt = TaskContext.get().partitionId() % 64
         yield _rows([-1], [salt], [np.array([energy]).tobytes()])
         for a in range(0, n, _ROWS * 64):
@@ -195,8 +218,9 @@ def latent_space(docs: DataFrame, items: Items, idf: np.ndarray, seed: int = 17)
     own, own_energy = np.zeros((n, rank), np.float32), 0.0
     for words in items.words:
         at, term = terms.find(words)
-        own_energy += _sketch_share(terms, omega, at, term, np.zeros(len(term), np.int64), own)
-    sketch += own.astype(float) * (ITEM_ENERGY * max(energy, 1.0) / max(own_energy, 1e-9))
+        _sketch_share(weighted, term, np.zeros(len(term), np.int64), own)
+        own_energy += float(squares[term].sum())
+    sketch += own.astype(float) * terms.weights[:, None] * (ITEM_ENERGY * max(energy, 1.0) / max(own_energy, 1e-9))
     return terms, _nystrom(sketch, omega.astype(float)).astype(np.float32)
 
 
@@ -226,42 +250,54 @@ class Search:
     copied: float
     paraphrased: float
 
-    def _queries(self) -> np.ndarray:
+    def _weighted(self) -> tuple[np.ndarray, np.ndarray]:
+        """Term vectors times their weights, and the parts in the latent space."""
         found = self.__dict__.get("_latent")
         if found is None:
-            found = np.zeros((len(self.items.words), self.vectors.shape[1]), np.float32)
+            table = self.vectors * self.terms.weights[:, None]
+            parts = np.zeros((len(self.items.words), table.shape[1]), np.float32)
             for i, words in enumerate(self.items.words):
-                _, term = self.terms.find(words)
                 weight = self.terms.all_weights[bucket_of(words)]
-                norm = float(np.sqrt((weight.astype(float) ** 2).sum())) or 1.0
-                found[i] = (self.vectors[term] * self.terms.weights[term][:, None]).sum(0) / norm
+                parts[i] = table[self.terms.find(words)[1]].sum(0) / (float(np.sqrt((weight.astype(float) ** 2).sum())) or 1.0)
+            found = table, parts
             object.__setattr__(self, "_latent", found)
         return found
 
     def candidates(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(text, first word in it, part, cosine) of all windows near a part."""
+        """(text, first word in it, part, cosine) of all windows near a part; a window is two steps of ``STRIDE`` words."""
         weight = self.terms.all_weights[bucket_of(words)].astype(float)
         squares = np.concatenate([[0.0], np.cumsum(weight**2)])
         at, term = self.terms.find(words)
-        value = self.terms.weights[term]
-        own = np.concatenate([[0.0], np.cumsum(value.astype(float) ** 2)])
+        own = np.concatenate([[0.0], np.cumsum(self.terms.weights[term].astype(float) ** 2)])
         sizes = np.diff(bounds)
-        windows = np.where(sizes > 0, np.maximum(1, -(-(sizes - WINDOW) // STRIDE) + 1), 0)
+        steps = -(-sizes // STRIDE)
+        ahead = np.concatenate([[0], np.cumsum(steps)])  # steps of the texts before
+        windows = np.where(sizes > 0, np.maximum(1, steps - 1), 0)
         text = np.repeat(np.arange(len(sizes)), windows)
         nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        first = bounds[text] + np.minimum(nth * STRIDE, np.maximum(sizes[text] - WINDOW, 0))
+        first = bounds[text] + nth * STRIDE
         end = np.minimum(first + WINDOW, bounds[text + 1])
         a, b = np.searchsorted(at, first), np.searchsorted(at, end)
         norm = np.sqrt(squares[end] - squares[first])
         needed = self.items.bounds()
         some = np.flatnonzero((b > a) & (np.sqrt(own[b] - own[a]) >= needed.min() * norm) & (norm > 0))
-        queries, out = self._queries(), []
-        for k in some.tolist():  # a few windows in a hundred hold enough terms of the benchmark
-            inside = slice(a[k], b[k])
-            latent = value[inside] @ self.vectors[term[inside]]
-            cosine = (queries @ latent) / norm[k]
-            for part in np.flatnonzero(cosine >= needed).tolist():
-                out.append((int(text[k]), int(first[k] - bounds[text[k]]), part, float(cosine[part])))
+        if not len(some):
+            return []
+        owner = np.searchsorted(bounds, at, "right") - 1
+        step = ahead[owner] + (at - bounds[owner]) // STRIDE
+        starts = np.flatnonzero(np.diff(step, prepend=-1))
+        table, queries = self._weighted()
+        sums = np.concatenate([_row_sums(table, term, starts), np.zeros((1, table.shape[1]), np.float32)])
+        place = np.full(ahead[-1] + 1, len(sums) - 1)  # steps without a term are zero
+        place[step[starts]] = np.arange(len(starts))
+        out = []
+        for chunk in np.array_split(some, -(-len(some) // 512)):
+            here = ahead[text[chunk]] + nth[chunk]
+            next_one = np.where(nth[chunk] + 1 < steps[text[chunk]], place[here + 1], len(sums) - 1)
+            cosine = ((sums[place[here]] + sums[next_one]) @ queries.T) / norm[chunk, None]
+            for k, part in zip(*np.nonzero(cosine >= needed)):
+                w = chunk[k]
+                out.append((int(text[w]), int(first[w] - bounds[text[w]]), int(part), float(cosine[k, part])))
         return out
 
     def check(self, words: np.ndarray, first: int, part: int, cosine: float) -> tuple[str, int] | None:
