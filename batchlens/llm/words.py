@@ -86,3 +86,16 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(min(n, len(words))):
         out = out * np.uint64(0xD1342543DE82EF95) + words[k : k + size]
     return mix(out)
+
+
+def runs(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` words, in order, from running sums, so long runs cost no more than short ones; a shorter text has none."""
+    if len(words) < n:
+        return words[:0]
+    size = BLOCK * 2
+    while size < len(words):
+        size *= 2
+    power, inverse = _powers(size)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * power[: len(words)], out=sums[1:])
+    return mix((sums[n:] - sums[:-n]) * inverse[: len(words) - n + 1])

@@ -13,7 +13,7 @@ from batchlens.llm.neardup import inverse_frequencies, keep_one, near_duplicates
 from batchlens.llm.passages import chains, common_subsequence, repeated_passages
 from batchlens.llm.queries import QUERIES
 from batchlens.llm.substrings import Parsed, remove_repeats
-from batchlens.llm.words import hash_words
+from batchlens.llm.words import hash_words, runs
 
 SF = "/root/testdata/sf0.001"
 
@@ -136,6 +136,29 @@ def test_fuzzy_passage_with_edits_and_a_gap(spark, odd, empty):
     assert repeated_passages(odd, min_words=10).filter("doc_a = 1 and doc_b = 2").count() == 1
 
 
+def test_halves_of_a_passage_hide_no_whole_copies(spark):
+    """A holds the first half of a passage, D the second, B and C all of it, in every order of ids."""
+    rng = np.random.default_rng(3)
+    docs, want = [], set()
+    for group in range(30):
+        passage = [f"p{group}_{i}" for i in range(64)]
+        ids = (10 * group + rng.permutation(4)).tolist()
+        for doc, held in zip(ids, (passage[:32], passage, passage, passage[32:])):
+            docs.append((doc, " ".join([f"x{doc}_{i}" for i in range(60)] + held + [f"y{doc}_{i}" for i in range(60)])))
+        want.add(frozenset(ids[1:3]))
+    found = repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(7)).collect()
+    assert {frozenset((r["doc_a"], r["doc_b"])) for r in found} == want
+    assert all(r["words_a"] == r["words_b"] == r["n_equal"] == 64 for r in found)
+
+
+def test_runs_are_equal_where_their_words_are():
+    words = np.random.default_rng(0).integers(0, 3, 400).astype(np.uint64)
+    for n in (1, 2, 5, 50, 400, 401):
+        want = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+        got = runs(words, n).tolist()
+        assert len(got) == len(want) and len(set(got)) == len(set(want)) == len(set(zip(got, want)))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), min_size=1, max_size=14, unique=True))
 def test_best_chain_is_best(points):
