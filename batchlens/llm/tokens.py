@@ -12,6 +12,7 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
 
@@ -75,16 +76,22 @@ class Pieces:
         return [p for p in text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if p]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
         if len(self.memo) > MEMO_ENTRIES // 2:
             self.memo, self.older = {}, self.memo
         cut = [None if any(s in t for s in self.special) else self.cut(t) for t in texts]
-        self._learn(set().union(*filter(None, cut)).difference(self.memo))
-        for text, pieces in zip(texts, cut):
-            if pieces is None:
+        pieces = list(chain.from_iterable(filter(None, cut)))
+        ids = list(map(self.memo.get, pieces))
+        unknown = [i for i, known in enumerate(ids) if known is None]
+        self._learn({pieces[i] for i in unknown})
+        for i in unknown:
+            ids[i] = self.memo[pieces[i]]
+        out, at = [], 0
+        for text, own in zip(texts, cut):
+            if own is None:
                 out.append(self.whole.encode([text])[0])
             else:
-                out.append(b"".join(map(self.memo.__getitem__, pieces)))
+                out.append(b"".join(ids[at : at + len(own)]))
+                at += len(own)
         return out
 
     def _by_model(self, piece: str) -> bytes | None:
