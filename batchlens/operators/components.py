@@ -147,6 +147,20 @@ def global_contribution(model: ComponentModel) -> DataFrame:
     )
 
 
+def implied_correlations(model: ComponentModel) -> DataFrame:
+    """``attribute, other, correlation``: what the kept components say of each pair of attributes.
+
+    Σ variance · loading · loading over the components.  With all of them kept these are the
+    correlations of the columns, which checks a model; with fewer, the difference is what was
+    left out.  0 for a constant column.
+    """
+    varying = (np.abs(model.weights[:, model.ratios > 1e-12]) > 1e-12).any(axis=1).sum()  # a constant column has no variance
+    variances = model.ratios * varying
+    matrix = (model.weights * variances) @ model.weights.T
+    rows = [(a, b, float(matrix[i, j])) for i, a in enumerate(model.attributes) for j, b in enumerate(model.attributes)]
+    return model.spark.createDataFrame(rows, "attribute string, other string, correlation double")
+
+
 def attribute_variance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Sample variance of each column, as rows."""
     row = df.agg(*[F.var_samp(f"`{c}`").alias(c) for c in cols])

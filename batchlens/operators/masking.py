@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from batchlens.operators.audit import require_unique
 from batchlens.operators.ranking import global_rank
 from batchlens.operators.roles import Roles
+from batchlens.sources.shared import settle
 
 # Code prefixes, in the order of the four identifier columns.
 ID_PREFIXES = {
@@ -19,34 +22,53 @@ ID_PREFIXES = {
 }
 
 
-def build_mappings(df: DataFrame, prefixes: Mapping[str, str], order_by: str | None = None) -> dict[str, DataFrame]:
-    """``original`` → ``masked`` for each distinct value of each column: M1, M2, …
-
-    Numbered by value, or by first appearance along the column ``order_by``.
-    Nulls get no code.  All columns are collected in one pass and ranked in one
-    total order; a column's codes start where the column starts in it.
-    """
+def _long_codes(
+    df: DataFrame, prefixes: Mapping[str, str], order_by: str | None, stored: Mapping[str, DataFrame] | None
+) -> DataFrame:
+    """(col, original, masked) of all columns: what is stored, and codes of the values that are new."""
     entries = F.array(
         *[
             F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("original")))
             for c in prefixes
         ]
     )
-    kept = [F.col(order_by).alias("_place")] if order_by else []
-    values = df.select(F.explode(entries).alias("e"), *kept).filter("e is not null").select("e.*", *[c for c in ("_place",) if order_by])
+    place = {"_place": F.col(f"`{order_by}`")} if order_by else {}
+    kept = [c.alias(name) for name, c in place.items()]
+    values = df.select(F.explode(entries).alias("e"), *kept).filter("e is not null").select("e.*", *place)
     if order_by:
-        values = values.groupBy("col", "original").agg(F.min("_place").alias("_first"))
-        order = ["col", "_first", "original"]
+        values, order = values.groupBy("col", "original").agg(F.min("_place").alias("_first")), ["col", "_first", "original"]
     else:
         values, order = values.distinct(), ["col", "original"]
-    ranked = global_rank(values, order, "_n")
+    old, last = [], {}
+    for c in prefixes:
+        if stored and c in stored:
+            old.append(require_unique(stored[c], ["original"]).select(F.lit(c).alias("col"), "original", "masked"))
+    if old:
+        known = reduce(DataFrame.unionByName, old)
+        values = values.join(known, ["col", "original"], "left_anti")
+        number = F.regexp_extract("masked", r"(\d+)$", 1).try_cast("bigint")
+        last = {r["col"]: r["last"] or 0 for r in known.groupBy("col").agg(F.max(number).alias("last")).collect()}
+    ranked = global_rank(settle(values), order, "_n")  # ranges are sampled, which reads the values once more
     before = {r["col"]: r["first"] - 1 for r in ranked.groupBy("col").agg(F.min("_n").alias("first")).collect()}
-    return {
-        c: ranked.filter(F.col("col") == c).select(
-            "original", F.concat(F.lit(prefix), (F.col("_n") - before.get(c, 0)).cast("string")).alias("masked")
-        )
-        for c, prefix in prefixes.items()
-    }
+    start = F.create_map(*[F.lit(x) for c in prefixes for x in (c, last.get(c, 0) - before.get(c, 0))])
+    prefix = F.create_map(*[F.lit(x) for pair in prefixes.items() for x in pair])
+    code = F.concat(prefix[F.col("col")], (F.col("_n") + start[F.col("col")]).cast("string"))
+    new = ranked.select("col", "original", code.alias("masked"))
+    return known.unionByName(new) if old else new
+
+
+def build_mappings(
+    df: DataFrame, prefixes: Mapping[str, str], order_by: str | None = None, stored: Mapping[str, DataFrame] | None = None
+) -> dict[str, DataFrame]:
+    """``original`` → ``masked`` for each distinct value of each column: M1, M2, …
+
+    Numbered by value, or by first appearance along the column ``order_by``.
+    Nulls get no code.  All columns are collected in one pass and ranked in one
+    total order; a column's codes start where the column starts in it.  Values that
+    ``stored`` mappings hold keep their codes; new ones are numbered behind the last.
+    """
+    codes = _long_codes(df, prefixes, order_by, stored)
+    return {c: codes.filter(F.col("col") == c).select("original", "masked") for c in prefixes}
 
 
 def build_mapping(df: DataFrame, col: str, prefix: str, order_by: str | None = None) -> DataFrame:
@@ -76,17 +98,38 @@ def name_mapping(df: DataFrame, cols: Sequence[str], prefix: str = "CMA") -> Dat
 
 
 def mask(
-    df: DataFrame, roles: Roles = Roles(), on: bool = True, order_by: str | None = None
+    df: DataFrame,
+    roles: Roles = Roles(),
+    on: bool = True,
+    order_by: str | None = None,
+    stored: Mapping[str, DataFrame] | None = None,
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Mask the identifiers and attribute names; returns the table and its five mappings.
 
+    Codes are found and put on rows of key and identifiers alone, and these meet the
+    table once, by the key, which must be unique; without a key, the table's own rows
+    meet each mapping.  ``stored`` mappings of an earlier batch are extended and not renumbered.
     With ``on=False`` the table comes back untouched and there are no mappings.
     """
     if not on:
         return df, {}
-    attributes = roles.features(df)
-    mappings = build_mappings(df, {c: ID_PREFIXES[c] for c in roles.ids}, order_by)
-    for col in roles.ids:
-        df = apply_mapping(df, mappings[col], col)
+    attributes, key = roles.features(df), roles.key
+    needed = dict.fromkeys(c for c in (*roles.ids, key, order_by) if c in df.columns)
+    narrow = settle(df.select(*[F.col(f"`{c}`") for c in needed]))
+    prefixes = {c: ID_PREFIXES[c] for c in roles.ids}
+    codes = settle(_long_codes(narrow, prefixes, order_by, stored))
+    mappings = {c: codes.filter(F.col("col") == c).select("original", "masked") for c in prefixes}
+    if key in df.columns:
+        require_unique(narrow, [key])
+        by_key = narrow.select(F.col(f"`{key}`").alias("_key"), *roles.ids)
+        for col in roles.ids:
+            by_key = apply_mapping(by_key, mappings[col], col)
+        kept = df.columns
+        by_key = by_key.withColumnsRenamed({c: f"_{c}" for c in roles.ids})
+        wide = df.join(by_key, F.col(f"`{key}`").eqNullSafe(F.col("_key")), "left")
+        df = wide.select(*[F.col(f"_{c}").alias(c) if c in roles.ids else F.col(f"`{c}`") for c in kept])
+    else:
+        for col in roles.ids:
+            df = apply_mapping(df, mappings[col], col)
     mappings["attribute"] = name_mapping(df, attributes)
     return df.withColumnsRenamed({c: f"CMA{i}" for i, c in enumerate(attributes, 1)}), mappings

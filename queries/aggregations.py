@@ -9,9 +9,16 @@ from batchlens.operators.cleaning import column_precision, mode_smallest, to_dec
 from batchlens.operators.coverage import coverage_distribution, non_null_counts, with_test_count
 from batchlens.operators.fences import iqr_fences
 from batchlens.operators.profiles import profile_frequency, profile_spectrum
-from batchlens.operators.quantiles import approx_quantiles, decimal_median, quantiles
+from batchlens.operators.quantiles import (
+    approx_quantiles,
+    decimal_median,
+    quantile_sketches,
+    quantiles,
+    rank_errors,
+    sketch_quantiles,
+)
 from batchlens.operators.ranking import top_code, value_counts
-from batchlens.sources import settle
+from batchlens.sources import run_folder, settle, write_table
 from queries.fixture import ATTRS, COUNTED, FILLED, OPV, Book, dec, fences_sql, median_sql, opv, rounded, table
 from queries.joins import LABELS, PAIRS, labels, rand_sql
 from queries.projections import PAIR, pair_model
@@ -122,6 +129,31 @@ def estimated_quantiles(spark, sf_dir):
     return approx_quantiles(opv(spark, sf_dir), FILLED, _PS)
 
 
+_EDGES = (0.0, *_PS, 0.99, 1.0)
+
+
+_WITHIN = f"WITH {OPV} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS attribute, CAST({p} AS double) AS p, count({c}) AS n, TRUE AS within FROM opv" for c in FILLED for p in _EDGES
+)
+
+
+@BOOK.add("a12_sketch_rank_error", _WITHIN)
+def sketch_rank_error(spark, sf_dir):
+    """Sketches of each shipping year, stored, read again and merged; their ranks against exact counts."""
+    df, path = opv(spark, sf_dir).withColumn("year", F.substring("row_key", -8, 4)), run_folder(spark, "sketches")
+    write_table(quantile_sketches(df, FILLED, accuracy=0.01, by=["year"]), path)
+    errors = rank_errors(df, sketch_quantiles(spark.read.parquet(path), _EDGES))
+    return errors.select("attribute", "p", "n", (F.col("error") <= 0.01).alias("within"))
+
+
+@BOOK.add("a12_approximate_rank_error", _WITHIN)
+def approximate_rank_error(spark, sf_dir):
+    """Ranks of ``approx_quantiles`` against exact counts: within 1/accuracy, and half a row."""
+    df = opv(spark, sf_dir)
+    errors = rank_errors(df, approx_quantiles(df, FILLED, _EDGES, accuracy=10000))
+    return errors.select("attribute", "p", "n", (F.col("error") <= F.lit(1 / 10000) + 1 / F.col("n")).alias("within"))
+
+
 @BOOK.add(
     "a13_score_summary",
     f"WITH {OPV} " + " UNION ALL ".join(

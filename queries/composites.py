@@ -19,7 +19,7 @@ from batchlens.operators.reporting import annotate_status, attach, flagged_repor
 from batchlens.operators.roles import prefix_columns
 from batchlens.plans import clean, curate, fence_screen
 from batchlens.plans.detect import component_scores
-from batchlens.sources import settle
+from batchlens.sources import read_batches, run_folder, settle, write_mappings
 from queries.fixture import (
     ATTRS,
     COUNTED,
@@ -75,6 +75,30 @@ def masked_by_appearance(spark, sf_dir):
     return mask(opv(spark, sf_dir), order_by="row_key")[0]
 
 
+def _next_batch_sql() -> str:
+    """Codes of the first batch by value, those that the second adds numbered behind them."""
+    maps = []
+    for c, prefix in zip(IDS, ("M", "C", "MB", "CB")):
+        maps.append(
+            f"map_{c} AS (SELECT v, concat('{prefix}', row_number() OVER (ORDER BY b, v)) AS m"
+            f" FROM (SELECT {c} AS v, min(CASE WHEN right(row_key, 8) < '19950101' THEN 1 ELSE 2 END) AS b FROM opv WHERE {c} IS NOT NULL GROUP BY {c}))"
+        )
+    joins = " ".join(f"LEFT JOIN map_{c} ON map_{c}.v = opv.{c}" for c in IDS)
+    cols = ", ".join(f"map_{c}.m AS {c}" for c in IDS) + ", " + ", ".join(f"{c} AS CMA{i}" for i, c in enumerate(ATTRS, 1))
+    return f"WITH {OPV}, {', '.join(maps)} SELECT opv.row_key, {cols} FROM opv {joins}"
+
+
+@BOOK.add("m1_mask_next_batch", _next_batch_sql())
+def masked_in_batches(spark, sf_dir):
+    """What was shipped before 1995 is masked first, its mappings are stored, and the rest extends them."""
+    df, path = opv(spark, sf_dir), run_folder(spark, "mappings")
+    early = F.substring("row_key", -8, 8) < "19950101"
+    first, mappings = mask(df.filter(early))
+    write_mappings({c: mappings[c] for c in IDS}, path)
+    stored = {c: read_batches(spark, f"{path}/{c}", schema="original string, masked string") for c in IDS}
+    return first.unionByName(mask(df.filter(~early), stored=stored)[0])
+
+
 def _as_double(source: str) -> str:
     return ", ".join(f"round(CAST({c} AS double), 6) AS {c}" for c in FILLED) + f" FROM {source}"
 
@@ -154,11 +178,26 @@ def components_kept(spark, sf_dir):
     return rounded(pc.explained_variance(pair_model(spark, sf_dir, 0.95)), "ratio").select("position", "ratio")
 
 
-@BOOK.add("m8_embedding_components")
-def embedding_components(spark, sf_dir):
+def _embedding_model(spark, sf_dir, keep):
     wide = pc.vector_columns(table(spark, sf_dir, "embeddings"), "embedding", 64, "e")
     cols = [f"e{i}" for i in range(1, 65)]
-    return rounded(pc.scree(pc.fit_pca(settle(pc.standardize(wide, cols)), cols)), "ratio", "cumulative")
+    return pc.fit_pca(settle(pc.standardize(wide, cols)), cols, keep)
+
+
+@BOOK.add(
+    "m8_embedding_components",
+    "WITH u AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),"
+    " v AS (SELECT vec_id, i, CAST(x AS double) AS x FROM u)"
+    " SELECT concat('e', a.i) AS attribute, concat('e', b.i) AS other, round(corr(a.x, b.x), 6) + 0.0 AS correlation FROM v a JOIN v b USING (vec_id) GROUP BY a.i, b.i",
+)
+def embedding_components(spark, sf_dir):
+    """All 64 components, put together again: loadings and variances must give the correlations of the columns."""
+    return rounded(pc.implied_correlations(_embedding_model(spark, sf_dir, 1.0)), "correlation")
+
+
+@BOOK.add("m10_embedding_scree")
+def embedding_scree(spark, sf_dir):
+    return rounded(pc.scree(_embedding_model(spark, sf_dir, 0.95)), "ratio", "cumulative")
 
 
 @BOOK.add(
