@@ -310,9 +310,9 @@ def approx_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], ac
 
 def sketch_size(accuracy: float) -> int:
     """``k`` of a KLL sketch whose rank error, at 99 % confidence 2.296 / k^0.9021, is a third of ``accuracy``."""
-    size = ceil((3 * 2.296 / accuracy) ** (1 / 0.9021))
-    if not 0 < accuracy < 1 or size > 65535:
-        raise ValueError("accuracy must lie between 0.0004 and 1")
+    size = ceil((3 * 2.296 / accuracy) ** (1 / 0.9021)) if 0 < accuracy < 1 else 0
+    if not 0 < size <= 65535:
+        raise ValueError(f"no sketch has an accuracy of {accuracy}")
     return max(size, 8)
 
 
