@@ -200,3 +200,38 @@ def test_deviation_rules(spark):
     assert fence_mask(df, fences, ["row_key"]).filter("a = 'missing'").count() == 1
     status = annotate_status(df, df.filter("a < 0").select("row_key", deviation_type(fences).alias("deviation_type")))
     assert {r["status"] for r in status.collect()} == {"Core", UNIVARIATE}
+
+
+def test_tops_of_trees_that_fit_the_table_are_counted_together(points):
+    forest = IsolationForest(trees=3, group_rows=100, table_nodes=3000)
+    rows = forest_module._matrix(points, COLS, "row_key", {42: None})
+    tops = list(forest._tops(settle(rows.drop("key")), forest_module._facts(rows, 3, [42])[42], 3, 42))
+    assert [top.trees for top in tops] == [range(1, 4)] and not tops[0].large
+    few = list(IsolationForest(trees=3, group_rows=20, table_nodes=300)._tops(rows.drop("key"), forest_module._facts(rows, 3, [42])[42], 3, 42))
+    assert [t for top in few for t in top.trees] == [1, 2, 3] and all(2 * len(top.inner) + len(top.trees) <= 300 for top in few)
+
+
+@pytest.mark.parametrize("table_nodes, lot", [(2000, 1 << 18), (100, 50)])
+def test_large_stored_trees_are_entered_together(points, spark, monkeypatch, table_nodes, lot):
+    """Jobs don't grow with trees times levels, and a part that many rows reach is shared by tasks."""
+    nodes = settle(IsolationForest(trees=4).fit(points, COLS))
+    whole = scored(score(points, COLS, nodes, 3000))
+    monkeypatch.setattr(forest_module, "_LOT", lot)
+    spark.sparkContext.setJobGroup(f"large-{table_nodes}", "")
+    assert scored(score(points, COLS, nodes, 3000, table_nodes=table_nodes)) == whole
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"large-{table_nodes}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert table_nodes < 1000 or jobs < 4 * 12
+
+
+def test_trees_of_a_few_levels_move_no_rows(points, monkeypatch):
+    df = sample_flag(points, 2400, 7, "row_key", 3000, "in_7")
+    forest = IsolationForest(trees=6, max_depth=4)
+    moved, nodes = scored(forest.fit_score(df, COLS, sampled="in_7")), forest.fit(df, COLS, sampled="in_7")
+    nodes = settle(nodes)
+    monkeypatch.setattr(forest_module, "_LOT", 100)
+    counted = forest.fit_score(df, COLS, sampled="in_7")
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    assert scored(counted) == moved
+    again = forest.fit(df, COLS, sampled="in_7")
+    assert nodes.exceptAll(again).count() == again.exceptAll(nodes).count() == 0
