@@ -20,16 +20,21 @@ ID_PREFIXES = {
     "material_batch_nr": "MB",
     "component_batch_nr": "CB",
 }
+_FEW_CODES = 50_000  # codes of a column that are sent to every task
 
 
 def _long_codes(
     df: DataFrame, prefixes: Mapping[str, str], order_by: str | None, stored: Mapping[str, DataFrame] | None
 ) -> DataFrame:
-    """(col, original, masked) of all columns: what is stored, and codes of the values that are new."""
+    """(col, original, masked) of all columns: what is stored, and codes of the values that are new.
+
+    On the way columns go by number: a name on every value would be most of what is exchanged.
+    """
+    names = list(prefixes)
     entries = F.array(
         *[
-            F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("original")))
-            for c in prefixes
+            F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("col"), F.col(c).cast("string").alias("original")))
+            for i, c in enumerate(names)
         ]
     )
     place = {"_place": F.col(f"`{order_by}`")} if order_by else {}
@@ -40,9 +45,9 @@ def _long_codes(
     else:
         values, order = values.distinct(), ["col", "original"]
     old, last = [], {}
-    for c in prefixes:
+    for i, c in enumerate(names):
         if stored and c in stored:
-            old.append(require_unique(stored[c], ["original"]).select(F.lit(c).alias("col"), "original", "masked"))
+            old.append(require_unique(stored[c], ["original"]).select(F.lit(i).alias("col"), "original", "masked"))
     if old:
         known = reduce(DataFrame.unionByName, old)
         values = values.join(known, ["col", "original"], "left_anti")
@@ -50,11 +55,12 @@ def _long_codes(
         last = {r["col"]: r["last"] or 0 for r in known.groupBy("col").agg(F.max(number).alias("last")).collect()}
     ranked = global_rank(settle(values), order, "_n")  # ranges are sampled, which reads the values once more
     before = {r["col"]: r["first"] - 1 for r in ranked.groupBy("col").agg(F.min("_n").alias("first")).collect()}
-    start = F.create_map(*[F.lit(x) for c in prefixes for x in (c, last.get(c, 0) - before.get(c, 0))])
-    prefix = F.create_map(*[F.lit(x) for pair in prefixes.items() for x in pair])
+    start = F.create_map(*[F.lit(x) for i in range(len(names)) for x in (i, last.get(i, 0) - before.get(i, 0))])
+    prefix = F.create_map(*[F.lit(x) for i, c in enumerate(names) for x in (i, prefixes[c])])
     code = F.concat(prefix[F.col("col")], (F.col("_n") + start[F.col("col")]).cast("string"))
     new = ranked.select("col", "original", code.alias("masked"))
-    return known.unionByName(new) if old else new
+    codes = known.unionByName(new) if old else new
+    return codes.withColumn("col", F.element_at(F.array(*map(F.lit, names)), F.col("col") + 1))
 
 
 def build_mappings(
@@ -122,8 +128,11 @@ def mask(
     if key in df.columns:
         require_unique(narrow, [key])
         by_key = narrow.select(F.col(f"`{key}`").alias("_key"), *roles.ids)
+        held = {r["col"]: r["n"] for r in codes.groupBy("col").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a column
         for col in roles.ids:
-            by_key = apply_mapping(by_key, mappings[col], col)
+            # A checkpoint does not know its size, and Spark would exchange the rows to learn it.
+            few = held.get(col, 0) <= _FEW_CODES
+            by_key = apply_mapping(by_key, F.broadcast(mappings[col]) if few else mappings[col], col)
         kept = df.columns
         by_key = by_key.withColumnsRenamed({c: f"_{c}" for c in roles.ids})
         wide = df.join(by_key, F.col(f"`{key}`").eqNullSafe(F.col("_key")), "left")

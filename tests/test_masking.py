@@ -81,3 +81,13 @@ def test_components_imply_the_correlations(spark):
         assert got[a, "flat"] == pytest.approx(0.0, abs=1e-9)
         for j, b in enumerate("abcde"):
             assert got[a, b] == pytest.approx(want[i, j], abs=1e-9)
+
+
+def test_mappings_known_to_be_small_are_sent_and_not_exchanged(spark):
+    rows = [(f"k{i}", f"m{i % 3}", f"c{i % 5}", f"b{i}", f"d{i}", float(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "row_key string, material_code string, component_code string, material_batch_nr string, component_batch_nr string, cma1 double")
+    masked, mappings = mask(df)
+    assert masked._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 4
+    assert {c: m.count() for c, m in mappings.items() if c != "attribute"} == {"material_code": 3, "component_code": 5, "material_batch_nr": 50, "component_batch_nr": 50}
+    found = {r["row_key"]: (r["material_code"], r["component_code"]) for r in masked.collect()}
+    assert found == {f"k{i}": (f"M{i % 3 + 1}", f"C{i % 5 + 1}") for i in range(50)}
