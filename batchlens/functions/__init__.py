@@ -3,6 +3,7 @@ from batchlens.functions.values import (
     DECIMAL,
     component_label,
     decimal_places,
+    exact_double,
     finite_only,
     map_literal,
     missing_to_null,
@@ -16,6 +17,7 @@ __all__ = [
     "DECIMAL",
     "component_label",
     "decimal_places",
+    "exact_double",
     "finite_only",
     "gaussian_draw",
     "hash_text",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from batchlens.functions import DECIMAL, decimal_places, parse_decimal, round_half_up
+from batchlens.functions import DECIMAL, decimal_places, exact_double, parse_decimal, round_half_up
 from batchlens.operators.quantiles import median_values
 
 
@@ -18,7 +18,8 @@ def to_decimal(df: DataFrame, cols: Sequence[str], kind: str = DECIMAL) -> DataF
 
 
 def to_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: F.col(f"`{c}`").cast("double") for c in cols})
+    double = lambda c: exact_double(F.col(f"`{c}`")) if isinstance(df.schema[c].dataType, DecimalType) else F.col(f"`{c}`").cast("double")
+    return df.withColumns({c: double(c) for c in cols})
 
 
 def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-from batchlens.sources.shared import run_folder, settle
+from batchlens.sources.shared import run_folder, settle, stored
 from batchlens.sources.tables import (
     describe_schema,
     preview,
@@ -14,6 +14,7 @@ __all__ = [
     "read_batches",
     "run_folder",
     "settle",
+    "stored",
     "table_shape",
     "write_mappings",
     "write_table",

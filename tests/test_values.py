@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from batchlens.functions import (
     decimal_places,
+    exact_double,
     finite_only,
     gaussian_draw,
     map_literal,
@@ -15,7 +16,7 @@ from batchlens.functions import (
     uniform_draw,
 )
 from batchlens.operators.audit import audit_alignment, audit_types
-from batchlens.operators.cleaning import column_precision, impute_median, normalize_precision, to_decimal
+from batchlens.operators.cleaning import column_precision, impute_median, normalize_precision, to_decimal, to_double
 from batchlens.operators.roles import Roles, canonical_names, cast_roles
 from batchlens.sources import read_batches
 
@@ -147,3 +148,15 @@ def test_box_summary_by_group_and_null_group(spark):
     assert (got["a"]["q1"], got["a"]["median"], got["a"]["q3"], got["a"]["n_fliers"]) == (2.75, 5.5, 8.25, 1)
     assert (got["a"]["whisker_low"], got["a"]["whisker_high"]) == (0.0, 10.0)
     assert got[None]["median"] == 2.0 and "b" not in got
+
+
+def test_exact_doubles_do_not_go_through_text(spark):
+    texts = ["0.1", "-0.07", "901.5", "99999999999.9999", "99999999999.99999", "100000000000", "0.00001", "-0.00005", "12345678901234567890.123456789012345678", "0", None]
+    for kind in ("decimal(38,18)", "decimal(38,0)", "decimal(12,2)"):
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").try_cast(kind).alias("x"))
+        both = rows.select(F.col("x").cast("double").alias("slow"), exact_double(F.col("x")).alias("fast")).collect()
+        assert [r["slow"] for r in both] == [r["fast"] for r in both]
+    huge = spark.createDataFrame([("9" * 38,), ("-" + "9" * 38,), ("7",)], "t string").select(F.col("t").cast("decimal(38,0)").alias("x"))
+    assert [r[0] for r in huge.select(exact_double(F.col("x"))).collect()] == [1e38, -1e38, 7.0]
+    plan = to_double(rows, ["x"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "decimal(15,4)" in plan
