@@ -361,9 +361,9 @@ def profile_projection(spark, sf_dir):
 @BOOK.add("m31_coded_projection")
 def coded_projection(spark, sf_dir):
     # Components of the cleaned slice beside the profile group; the axes are not jittered here.
-    df = filled(spark, sf_dir)
+    df, cols = filled(spark, sf_dir), ["cma1", "cma3", "cma4"]
     scores, _ = component_scores(df, FILLED, keep=0.9999)
-    both = attach(scores, coded_profiles(df, ["cma1", "cma3", "cma4"]).select("row_key", "profile_group", "code"))
+    both = attach(scores, coded_profiles(df.select("row_key", *cols), cols).select("row_key", "profile_group", "code"))
     return projection_frame(both, prefix_columns(scores, "PC"), "code", sd=0)
 
 

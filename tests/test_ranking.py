@@ -188,3 +188,18 @@ def test_profiles_with_a_dominating_combination(spark):
     assert groups["0"] == (335, "Frequent") and groups["7"] == (None, "Rare") and groups["2"] == (1, "Rare")
     coded = {r["row_key"]: r["profile_group"] for r in coded_profiles(df, ["a", "b"]).collect()}
     assert coded["0"] == "CMA_Profile_0" and coded["2"] == "Rare_Profile" and coded["7"] is None
+
+
+def test_few_profiles_move_no_rows(spark):
+    rows = [(f"k{i}", float(i % 3), 1.0) for i in range(60)] + [("once", 9.0, 9.0), ("gap", None, 1.0)]
+    df = spark.createDataFrame(rows, "row_key string, a double, b double").repartition(4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        coded = coded_profiles(df, ["a", "b"])
+        plan = coded._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    got = {r["row_key"]: (r["profile_group"], r["code"]) for r in coded.collect()}
+    assert len(got) == 62 and got["once"][0] == "Rare_Profile" and got["gap"][0] is None
+    assert [got[f"k{i}"][0] for i in range(3)] == [f"CMA_Profile_{i}" for i in range(3)] and len({c for _, c in got.values()}) == 5
