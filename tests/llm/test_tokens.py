@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from batchlens.llm.counting import token_counts
 from batchlens.llm.packing import pack, plan_best_fit
 from batchlens.llm.queries import QUERIES, byte_bpe
-from batchlens.llm.tokens import encoder
+from batchlens.llm.tokens import Pieces, encoder
 from batchlens.sources.shared import run_folder
 
 SF = "/root/testdata/sf0.001"
@@ -162,3 +162,14 @@ def test_memo_keeps_what_is_asked_for(monkeypatch):
         assert np.frombuffer(own.encode([text])[0], np.uint32).tolist() == ids(text)
         assert len(own.memo) <= 30 and len(own.older) <= 30
     assert " here" in own.memo or " here" in own.older
+
+
+def test_a_word_costs_once_whatever_closes_it():
+    own = Pieces(Tokenizer.from_file(byte_bpe()))
+    asked, model = [], own.tokenize
+    own.tokenize = lambda word: asked.append(word) or model(word)
+    texts = [f"{a} nonesuchword{b} {a}" for a in ("it", "été") for b in (",", ".", "", ";", "),", ".")]
+    for text in [*texts, "\n".join(texts)]:
+        assert np.frombuffer(own.encode([text])[0], np.uint32).tolist() == ids(text)
+    assert sum("nonesuchword" in w for w in asked) == 1
+    assert sum(w == "," for w in asked) == 1
