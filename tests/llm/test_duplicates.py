@@ -1,6 +1,7 @@
 """Near-duplicates, passages and repeated bytes against brute force."""
 
 import hashlib
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import batchlens.llm.words as words_module
 from batchlens.llm.components import components
 from batchlens.llm.neardup import inverse_frequencies, keep_one, near_duplicates, similarity, weighted_shingles
 from batchlens.llm.passages import chains, common_subsequence, repeated_passages
@@ -238,3 +240,16 @@ def test_phrases_cover_every_window():
     parsed = Parsed(text, 200)
     near = [i for a, b in zip(parsed.low, parsed.high) for i in range(a, b + 1)]
     assert sorted([*near, *parsed.far.tolist()]) == list(range(len(text) - 199))
+
+
+def test_hashes_take_little_memory_and_do_not_depend_on_blocks(monkeypatch):
+    texts = [" ".join(f"w{i % 997}-{k}" for i in range(700 * k)) for k in range(1, 21)] + ["y" * 300_000 + " z", ""]
+    words_module._powers.cache_clear()
+    tracemalloc.start()
+    hashes, bounds = hash_words(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    monkeypatch.setattr(words_module, "BLOCK", 5000)
+    other, cuts = hash_words(texts)
+    assert (hashes == other).all() and (bounds == cuts).all()
