@@ -203,3 +203,19 @@ def test_few_profiles_move_no_rows(spark):
     got = {r["row_key"]: (r["profile_group"], r["code"]) for r in coded.collect()}
     assert len(got) == 62 and got["once"][0] == "Rare_Profile" and got["gap"][0] is None
     assert [got[f"k{i}"][0] for i in range(3)] == [f"CMA_Profile_{i}" for i in range(3)] and len({c for _, c in got.values()}) == 5
+
+
+def test_rows_of_a_few_large_groups_stay_where_they_are(spark, tmp_path, monkeypatch):
+    """A table that Spark takes for small must not be sent to the few rows of a lookup, and so meet in one task."""
+    path, moved, settle = str(tmp_path / "rows"), [], q.settle
+    spark.range(0, 60_000, 1, 8).selectExpr("id % 3 AS g", "cast(hash(id) AS double) AS x").write.parquet(path)
+
+    def settled(df):
+        moved.append(settle(df))
+        return moved[-1]
+
+    monkeypatch.setattr(q, "settle", settled)
+    got = {r["g"]: r["quantiles"][0] for r in q.grouped_quantiles(spark.read.parquet(path), "g", "x", (0.5,), 64).collect()}
+    assert got == {r["g"]: r["m"] for r in spark.read.parquet(path).groupBy("g").agg(F.expr("percentile(x, 0.5)").alias("m")).collect()}
+    rows = next(df for df in moved if set(df.columns) == {"by", "x", "part"})
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
