@@ -1,7 +1,10 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from batchlens.functions import isolation
 from batchlens.operators import evaluation as ev
 from batchlens.operators import forest as forest_module
 from batchlens.operators.components import fit_pca, standardize, transform_pca
@@ -235,3 +238,49 @@ def test_trees_of_a_few_levels_move_no_rows(points, monkeypatch):
     assert scored(counted) == moved
     again = forest.fit(df, COLS, sampled="in_7")
     assert nodes.exceptAll(again).count() == again.exceptAll(nodes).count() == 0
+
+
+def plain_growth(x, node, sampled, seed, tree, limit):
+    """One node after the other."""
+    path, waiting = np.zeros(x.shape[1], dtype=np.int64), [(k, np.flatnonzero(node == k)) for k in set(node.tolist())]
+    while waiting:
+        k, rows = waiting.pop()
+        own, depth = rows[sampled[rows]], k.bit_length() - 1
+        low, high = (x[:, own].min(axis=1), x[:, own].max(axis=1)) if own.size else (np.zeros(len(x)), np.zeros(len(x)))
+        if own.size < 2 or depth >= limit or not (high > low).any():
+            path[rows] = isolation.leaf_path(depth, own.size)
+            continue
+        feature, threshold = isolation.choose_splits(seed, tree, np.array([k]), low[:, None], high[:, None])
+        right = x[feature[0], rows] > threshold[0]
+        waiting += [(2 * k, rows[~right]), (2 * k + 1, rows[right])]
+    return path
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 1.0])
+def test_growth_is_that_of_one_node_after_the_other(share):
+    rng = np.random.default_rng(int(10 * share))
+    x = np.stack([rng.integers(0, 4, 700) / 10, rng.normal(size=700).round(2), np.full(700, 7.0), np.where(rng.random(700) < 0.5, 0.0, -0.0)])
+    node, sampled = rng.choice([4, 5, 6, 7], 700), rng.random(700) < share
+    sampled[node == 6] = False  # a node no sampled row has reached
+    marks = None if sampled.all() else sampled
+    places, values = isolation.ranked(x)
+    for tree, limit in ((1, 10), (2, 60), (3, 2)):
+        want = plain_growth(x, node, np.ones(700, bool) if marks is None else sampled, 42, tree, limit).tolist()
+        levels, by_places = [], []
+        assert isolation.grow(x, node, marks, 42, tree, limit).tolist() == want
+        assert isolation.grow(places, node, marks, 42, tree, limit, values=values).tolist() == want
+        isolation.grow(x, node, marks, 42, tree, limit, levels)
+        isolation.grow(places, node, marks, 42, tree, limit, by_places, values)
+        assert all(np.array_equal(a, b) for one, other in zip(levels, by_places, strict=True) for a, b in zip(one, other))
+    assert isolation.grow(x[:, :0], node[:0], None, 42, 1, 5).size == 0
+
+
+def test_growth_holds_little_beside_its_rows():
+    """A task that grows trees over two million rows has to fit beside three others."""
+    rng = np.random.default_rng(1)
+    x, node, sampled = rng.normal(size=(6, 50_000)).round(1), np.ones(50_000, np.int64), rng.random(50_000) < 0.8
+    tracemalloc.start()
+    isolation.grow(x, node, sampled, 42, 1, 16)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4.5 * x.nbytes
