@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from batchlens.operators.audit import require_unique
 from batchlens.operators.ranking import global_rank
 from batchlens.operators.roles import Roles
-from batchlens.sources.shared import settle
+from batchlens.sources.shared import discard, lot_of, lots_for, stored_in_lots
+from batchlens.sources.shared import stored as written
 
 # Code prefixes, in the order of the four identifier columns.
 ID_PREFIXES = {
@@ -24,9 +25,9 @@ _FEW_CODES = 50_000  # codes of a column that are sent to every task
 
 
 def _long_codes(
-    df: DataFrame, prefixes: Mapping[str, str], order_by: str | None, stored: Mapping[str, DataFrame] | None
-) -> DataFrame:
-    """(col, original, masked) of all columns: what is stored, and codes of the values that are new.
+    df: DataFrame, prefixes: Mapping[str, str], order_by: str | None, stored: Mapping[str, DataFrame] | None, n_rows: int = 0
+) -> tuple[DataFrame, DataFrame]:
+    """(col, original, masked) of all columns: what is stored, and codes of the values that are new; and the table these are read from.
 
     On the way columns go by number: a name on every value would be most of what is exchanged.
     """
@@ -40,27 +41,31 @@ def _long_codes(
     place = {"_place": F.col(f"`{order_by}`")} if order_by else {}
     kept = [c.alias(name) for name, c in place.items()]
     values = df.select(F.explode(entries).alias("e"), *kept).filter("e is not null").select("e.*", *place)
-    if order_by:
-        values, order = values.groupBy("col", "original").agg(F.min("_place").alias("_first")), ["col", "_first", "original"]
-    else:
-        values, order = values.distinct(), ["col", "original"]
+    lots, order = lots_for(n_rows), ["col", "_first", "original"] if order_by else ["col", "original"]
     old, last = [], {}
     for i, c in enumerate(names):
         if stored and c in stored:
             old.append(require_unique(stored[c], ["original"]).select(F.lit(i).alias("col"), "original", "masked"))
     if old:
         known = reduce(DataFrame.unionByName, old)
-        values = values.join(known, ["col", "original"], "left_anti")
         number = F.regexp_extract("masked", r"(\d+)$", 1).try_cast("bigint")
         last = {r["col"]: r["last"] or 0 for r in known.groupBy("col").agg(F.max(number).alias("last")).collect()}
-    ranked = global_rank(settle(values), order, "_n")  # ranges are sampled, which reads the values once more
+
+    def distinct(lot: int) -> DataFrame:
+        some = values.filter(lot_of(lots, lot, ["original"]))
+        some = some.groupBy("col", "original").agg(F.min("_place").alias("_first")) if order_by else some.distinct()
+        return some.join(known.filter(lot_of(lots, lot, ["original"])), ["col", "original"], "left_anti") if old else some
+
+    fresh = stored_in_lots(df.sparkSession, lots, distinct)  # ranges are sampled, which reads the values once more
+    ranked = global_rank(fresh, order, "_n", keep=["col", "original"])
+    discard(fresh)
     before = {r["col"]: r["first"] - 1 for r in ranked.groupBy("col").agg(F.min("_n").alias("first")).collect()}
     start = F.create_map(*[F.lit(x) for i in range(len(names)) for x in (i, last.get(i, 0) - before.get(i, 0))])
     prefix = F.create_map(*[F.lit(x) for i, c in enumerate(names) for x in (i, prefixes[c])])
     code = F.concat(prefix[F.col("col")], (F.col("_n") + start[F.col("col")]).cast("string"))
     new = ranked.select("col", "original", code.alias("masked"))
     codes = known.unionByName(new) if old else new
-    return codes.withColumn("col", F.element_at(F.array(*map(F.lit, names)), F.col("col") + 1))
+    return codes.withColumn("col", F.element_at(F.array(*map(F.lit, names)), F.col("col") + 1)), ranked
 
 
 def build_mappings(
@@ -73,7 +78,7 @@ def build_mappings(
     total order; a column's codes start where the column starts in it.  Values that
     ``stored`` mappings hold keep their codes; new ones are numbered behind the last.
     """
-    codes = _long_codes(df, prefixes, order_by, stored)
+    codes, _ = _long_codes(df, prefixes, order_by, stored)
     return {c: codes.filter(F.col("col") == c).select("original", "masked") for c in prefixes}
 
 
@@ -112,33 +117,71 @@ def mask(
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Mask the identifiers and attribute names; returns the table and its five mappings.
 
-    Codes are found and put on rows of key and identifiers alone, and these meet the
-    table once, by the key, which must be unique; without a key, the table's own rows
-    meet each mapping.  ``stored`` mappings of an earlier batch are extended and not renumbered.
+    Codes of columns with few values are sent to the table's rows.  Those of the others
+    are put on rows of key and identifiers alone, which meet the table once, by the key; a
+    large table goes through these joins in lots, so that the disks need not hold the
+    exchanges of all its rows.  The key must be unique; without a key, the table's own
+    rows meet each mapping.  ``stored`` mappings of an earlier batch are extended and not renumbered.
     With ``on=False`` the table comes back untouched and there are no mappings.
     """
     if not on:
         return df, {}
     attributes, key = roles.features(df), roles.key
     needed = dict.fromkeys(c for c in (*roles.ids, key, order_by) if c in df.columns)
-    narrow = settle(df.select(*[F.col(f"`{c}`") for c in needed]))
+    narrow = written(df.select(*[F.col(f"`{c}`") for c in needed]))
+    n_rows = narrow.count()
     prefixes = {c: ID_PREFIXES[c] for c in roles.ids}
-    codes = settle(_long_codes(narrow, prefixes, order_by, stored))
+    codes, ranked = _long_codes(narrow, prefixes, order_by, stored, n_rows)
+    if stored:
+        codes = written(codes)
+        discard(ranked)
     mappings = {c: codes.filter(F.col("col") == c).select("original", "masked") for c in prefixes}
     if key in df.columns:
         require_unique(narrow, [key])
-        by_key = narrow.select(F.col(f"`{key}`").alias("_key"), *roles.ids)
         held = {r["col"]: r["n"] for r in codes.groupBy("col").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a column
+        many = [c for c in roles.ids if held.get(c, 0) > _FEW_CODES]
         for col in roles.ids:
-            # A checkpoint does not know its size, and Spark would exchange the rows to learn it.
-            few = held.get(col, 0) <= _FEW_CODES
-            by_key = apply_mapping(by_key, F.broadcast(mappings[col]) if few else mappings[col], col)
-        kept = df.columns
-        by_key = by_key.withColumnsRenamed({c: f"_{c}" for c in roles.ids})
-        wide = df.join(by_key, F.col(f"`{key}`").eqNullSafe(F.col("_key")), "left")
-        df = wide.select(*[F.col(f"_{c}").alias(c) if c in roles.ids else F.col(f"`{c}`") for c in kept])
+            if col not in many:
+                # Spark would exchange the rows to learn how small the mapping is.
+                df = apply_mapping(df, F.broadcast(mappings[col]), col)
+        if many:
+            df = _with_codes(df, key, _codes_by_key(narrow, key, many, mappings, n_rows), many, n_rows)
     else:
         for col in roles.ids:
             df = apply_mapping(df, mappings[col], col)
+    discard(narrow)
     mappings["attribute"] = name_mapping(df, attributes)
     return df.withColumnsRenamed({c: f"CMA{i}" for i, c in enumerate(attributes, 1)}), mappings
+
+
+def _codes_by_key(narrow: DataFrame, key: str, cols: Sequence[str], mappings: Mapping[str, DataFrame], n_rows: int) -> DataFrame:
+    """(_key, codes of ``cols``), found column by column; the tables on the way, ``narrow`` the first, are removed."""
+    spark, lots = narrow.sparkSession, lots_for(n_rows)
+    state = narrow.select(F.col(f"`{key}`").alias("_key"), *cols)
+    for col in cols:
+
+        def coded(lot: int, state=state, col=col) -> DataFrame:
+            some = mappings[col].filter(lot_of(lots, lot, ["original"]))
+            return apply_mapping(state.filter(lot_of(lots, lot, [F.col(col).cast("string")])), some, col)
+
+        done = stored_in_lots(spark, lots, coded)
+        discard(state)
+        state = done
+    return state
+
+
+def _with_codes(df: DataFrame, key: str, codes: DataFrame, cols: Sequence[str], n_rows: int) -> DataFrame:
+    """``df`` with ``cols`` replaced by what ``codes`` holds for each key."""
+    lots = lots_for(n_rows)
+    codes = codes.withColumnsRenamed({c: f"_{c}" for c in cols})
+    out = [F.col(f"_{c}").alias(c) if c in cols else F.col(f"`{c}`") for c in df.columns]
+
+    def joined(lot: int) -> DataFrame:
+        rows, of = df.drop(*cols).filter(lot_of(lots, lot, [F.col(f"`{key}`")])), codes.filter(lot_of(lots, lot, ["_key"]))
+        return rows.join(of, F.col(f"`{key}`").eqNullSafe(F.col("_key")), "left").select(*out)
+
+    if lots == 1:
+        return joined(0)
+    done = stored_in_lots(df.sparkSession, lots, joined)
+    discard(codes)
+    return done

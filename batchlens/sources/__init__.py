@@ -1,4 +1,4 @@
-from batchlens.sources.shared import run_folder, settle, stored
+from batchlens.sources.shared import discard, run_folder, settle, stored, stored_in_lots
 from batchlens.sources.tables import (
     describe_schema,
     preview,
@@ -10,11 +10,13 @@ from batchlens.sources.tables import (
 
 __all__ = [
     "describe_schema",
+    "discard",
     "preview",
     "read_batches",
     "run_folder",
     "settle",
     "stored",
+    "stored_in_lots",
     "table_shape",
     "write_mappings",
     "write_table",

@@ -91,3 +91,25 @@ def test_mappings_known_to_be_small_are_sent_and_not_exchanged(spark):
     assert {c: m.count() for c, m in mappings.items() if c != "attribute"} == {"material_code": 3, "component_code": 5, "material_batch_nr": 50, "component_batch_nr": 50}
     found = {r["row_key"]: (r["material_code"], r["component_code"]) for r in masked.collect()}
     assert found == {f"k{i}": (f"M{i % 3 + 1}", f"C{i % 5 + 1}") for i in range(50)}
+
+
+def shuffle_files(spark):
+    return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+
+@pytest.mark.parametrize("order_by", [None, "row_key"])
+def test_mask_in_lots_gives_the_same_codes_and_leaves_no_exchange_behind(spark, monkeypatch, order_by):
+    from batchlens.operators import masking
+    from batchlens.sources import shared
+
+    rows = [(f"k{i:03}", f"m{i % 3}" if i % 7 else None, f"c{i % 5}", f"b{i * 7 % 50}", f"d{i}", float(i)) for i in range(150)]
+    kinds = "row_key string, material_code string, component_code string, material_batch_nr string, component_batch_nr string, cma1 double"
+    df = spark.createDataFrame(rows, kinds).repartition(4)
+    expected = sorted(mask(df, order_by=order_by)[0].collect())
+    monkeypatch.setattr(masking, "_FEW_CODES", 4)
+    monkeypatch.setattr(shared, "_LOT_ROWS", 60, raising=False)
+    before = shuffle_files(spark)
+    masked, mappings = mask(df, order_by=order_by)
+    assert sorted(masked.collect()) == expected and len(expected) == 150
+    assert shuffle_files(spark) <= before
+    assert {c: m.count() for c, m in mappings.items() if c != "attribute"} == {"material_code": 3, "component_code": 5, "material_batch_nr": 50, "component_batch_nr": 150}
