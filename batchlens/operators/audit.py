@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchlens.functions import DECIMAL, hash_text, parse_decimal
+from batchlens.operators.quantiles import sent_if_few
 from batchlens.operators.ranking import global_rank
-from batchlens.sources.shared import settle, shuffles_removed
+from batchlens.sources.shared import lot_of, lots_for, settle, shuffles_removed, stored, stored_in_lots
+
+_CROWD = 1 << 17  # rows of one key that one task numbers
 
 
 def audit_types(raw: DataFrame, cols: Sequence[str], kind: str = DECIMAL) -> DataFrame:
@@ -104,18 +108,37 @@ def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def with_row_key(df: DataFrame, keys: Sequence[str], name: str = "row_key") -> DataFrame:
     """``name``: the source keys as text, null as empty, with an ordinal where several rows share them.
 
-    The ordinal counts rows of one key by a hash of all their columns.  Only rows whose
-    keys repeat are ranked, in ranges of (key, hash), so a key that a third of the table
-    shares is ranked by many tasks; all other rows stay where they are.
+    The ordinal counts rows of one key by a hash of all their columns.  Rows meet those of
+    the same key in one exchange, a large table's in lots.  Rows of keys that very many share
+    are ranked in ranges of (key, hash) instead, so a key of a third of the table is ranked by many tasks.
     """
     text = F.concat_ws("-", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in keys])
     keyed = df.withColumn("_key", text)
-    repeated = duplicate_keys(keyed, ["_key"]).select("_key")
-    alone = keyed.join(repeated, "_key", "left_anti")
     content = hash_text(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    shared = settle(keyed.join(repeated, "_key", "left_semi").withColumns({"_content": content, "_nth": F.monotonically_increasing_id()}))
-    ranked = global_rank(shared, ["_key", "_content", "_nth"], "_rank")
-    first = ranked.groupBy("_key").agg(F.min("_rank").alias("_first"))
-    ordinal = F.concat_ws("#", "_key", (F.col("_rank") - F.col("_first") + 1).cast("string"))
-    own = [F.col(f"`{c}`") for c in df.columns if c != name]
-    return alone.select(F.col("_key").alias(name), *own).unionByName(ranked.join(first, "_key").select(ordinal.alias(name), *own))
+    out = [F.col("_ordinal").alias(name), *[F.col(f"`{c}`") for c in df.columns if c != name]]
+    with shuffles_removed(df.sparkSession):
+        sizes = keyed.groupBy(F.xxhash64("_key").alias("_hash")).agg(F.count(F.lit(1)).alias("n"))
+        facts = sizes.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    few, parts = keyed, []
+    if (facts["most"] or 0) > _CROWD:
+        crowds = sent_if_few(settle(sizes.filter(F.col("n") > _CROWD).select("_hash")))
+        few = keyed.join(crowds, F.xxhash64("_key") == F.col("_hash"), "left_anti")
+        crowded = keyed.join(crowds, F.xxhash64("_key") == F.col("_hash"), "left_semi")
+        crowded = stored(crowded.withColumns({"_content": content, "_nth": F.monotonically_increasing_id()}))
+        ranked = global_rank(crowded, ["_key", "_content", "_nth"], "_rank")
+        first = ranked.groupBy("_key").agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        place = (F.col("_rank") - F.col("_first") + 1).cast("string")
+        parts = [ranked.join(first, "_key").withColumn("_ordinal", _ordinal(place)).select(*out)]
+    lots, same = lots_for(facts["rows"] or 0), Window.partitionBy("_key")
+
+    def numbered(lot: int) -> DataFrame:
+        some = few.filter(lot_of(lots, lot, ["_key"])).withColumn("_n", F.count(F.lit(1)).over(same))
+        some = some.withColumn("_content", F.when(F.col("_n") > 1, content))
+        place = F.row_number().over(same.orderBy("_content")).cast("string")
+        return some.withColumn("_place", place).withColumn("_ordinal", _ordinal(F.col("_place"))).select(*out)
+
+    return reduce(DataFrame.unionByName, parts, stored_in_lots(df.sparkSession, lots, numbered))
+
+
+def _ordinal(place: Column) -> Column:
+    return F.when(F.col("_n") > 1, F.concat_ws("#", "_key", place)).otherwise(F.col("_key"))

@@ -219,3 +219,22 @@ def test_rows_of_a_few_large_groups_stay_where_they_are(spark, tmp_path, monkeyp
     assert got == {r["g"]: r["m"] for r in spark.read.parquet(path).groupBy("g").agg(F.expr("percentile(x, 0.5)").alias("m")).collect()}
     rows = next(df for df in moved if set(df.columns) == {"by", "x", "part"})
     assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_row_keys_in_lots_and_of_crowds_leave_no_exchange_behind(spark, monkeypatch):
+    from batchlens.operators import audit
+    from batchlens.sources import shared
+
+    rows = [("a", i) for i in range(90)] + [(f"b{i % 20}", i) for i in range(60)] + [(f"c{i}", i) for i in range(30)] + [(None, 1), (None, 1)]
+    df = spark.createDataFrame(rows, "p string, v int").repartition(5)
+    expected = sorted(with_row_key(df, ["p"]).collect())
+    assert [r[0] for r in expected] == sorted(
+        [f"a#{i + 1}" for i in range(90)] + [f"b{i}#{k + 1}" for i in range(20) for k in range(3)] + [f"c{i}" for i in range(30)] + ["#1", "#2"]
+    )
+    monkeypatch.setattr(audit, "_CROWD", 50, raising=False)
+    monkeypatch.setattr(shared, "_LOT_ROWS", 100, raising=False)
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = files.getAllFiles().size()
+    keyed = with_row_key(df, ["p"])
+    assert files.getAllFiles().size() <= before
+    assert sorted(require_unique(keyed, ["row_key"]).collect()) == expected and keyed.columns == ["row_key", "p", "v"]
