@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchlens.operators.ranking import category_code, global_rank, sent_if_few
-from batchlens.sources.shared import settle
+from batchlens.sources.shared import stored
 
 
 def profile_frequency(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -64,4 +64,4 @@ def frequent_or_rare(df: DataFrame, cols: Sequence[str], threshold: int = 5) ->
 def coded_profiles(df: DataFrame, cols: Sequence[str], key: str = "row_key") -> DataFrame:
     """Every row with its profile group, singletons collapsed, and the group's integer code."""
     grouped = profile_group(with_profile(df, sent_if_few(profile_counts(df, cols)), cols), mode="singleton")
-    return category_code(settle(grouped), "profile_group", key)
+    return category_code(stored(grouped), "profile_group", key)

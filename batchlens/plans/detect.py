@@ -17,7 +17,7 @@ from batchlens.operators.forest import IsolationForest
 from batchlens.operators.roles import COUNTER, ROW_KEY, Roles, prefix_columns
 from batchlens.plans.curate import focus_slice
 from batchlens.operators.cleaning import impute_median, to_decimal, to_double
-from batchlens.sources.shared import settle
+from batchlens.sources.shared import discard, settle, stored
 
 
 def fence_screen(
@@ -40,10 +40,12 @@ def fence_screen(
 
 def component_scores(df: DataFrame, cols: Sequence[str], keep: float = 0.95) -> tuple[DataFrame, ComponentModel]:
     """Standardised, reduced to components, and the components standardised again, by row key."""
-    scaled = settle(standardize(df.select(ROW_KEY, *cols), cols))
+    scaled = stored(standardize(df.select(ROW_KEY, *cols), cols))
     model = fit_pca(scaled, cols, keep)
     scores = transform_pca(scaled, model, [ROW_KEY])
-    return settle(standardize(scores, prefix_columns(scores, "PC"))), model
+    scores = stored(standardize(scores, prefix_columns(scores, "PC")))
+    discard(scaled)
+    return scores, model
 
 
 def final_model(

@@ -113,3 +113,16 @@ def test_mask_in_lots_gives_the_same_codes_and_leaves_no_exchange_behind(spark,
     assert sorted(masked.collect()) == expected and len(expected) == 150
     assert shuffle_files(spark) <= before
     assert {c: m.count() for c, m in mappings.items() if c != "attribute"} == {"material_code": 3, "component_code": 5, "material_batch_nr": 50, "component_batch_nr": 150}
+
+
+def test_component_scores_are_one_table_by_column(spark, monkeypatch, tmp_path):
+    from batchlens.plans.detect import component_scores
+    from batchlens.sources import shared
+
+    monkeypatch.setattr(shared, "_shared_root", lambda _: str(tmp_path))
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(f"k{i}", float(a), float(a + b)) for i, (a, b) in enumerate(rng.normal(size=(200, 2)))], "row_key string, u double, v double")
+    scores, _ = component_scores(df, ["u", "v"], keep=1.0)
+    assert [p.name[:6] for p in tmp_path.iterdir()] == ["table-"]
+    assert scores.count() == 200 and scores.columns == ["row_key", "PC1", "PC2"]
+    assert {round(r["s"], 9) for r in scores.unpivot(["row_key"], ["PC1", "PC2"], "c", "v").groupBy("c").agg(F.stddev_pop("v").alias("s")).collect()} == {1.0}
