@@ -284,3 +284,19 @@ def test_growth_holds_little_beside_its_rows():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 4.5 * x.nbytes
+
+
+def test_trees_in_lots_give_the_same_scores_and_leave_no_exchange_behind(spark, monkeypatch):
+    from batchlens.operators import forest
+    from batchlens.sources import shared
+
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(f"k{i}", float(a), float(round(b, 1))) for i, (a, b) in enumerate(rng.normal(size=(300, 2)))], "row_key string, u double, v double").repartition(3)
+    expected = sorted(IsolationForest(trees=5, group_rows=64).fit_score(df, ["u", "v"], sizes=[2, 4]).collect())
+    monkeypatch.setattr(forest, "_ON_THE_WAY", 700, raising=False)
+    monkeypatch.setattr(shared, "_LOT_ROWS", 120, raising=False)
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = files.getAllFiles().size()
+    scores = IsolationForest(trees=5, group_rows=64).fit_score(df, ["u", "v"], sizes=[2, 4])
+    assert sorted(scores.collect()) == expected and len(expected) == 300
+    assert files.getAllFiles().size() <= before
